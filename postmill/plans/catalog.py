@@ -1,3 +1,4 @@
 """Imports every query module so the registry is complete."""
 
 from postmill.plans import q_curate  # noqa: F401
+from postmill.plans import q_countdown  # noqa: F401

@@ -75,8 +75,8 @@ ANSWER_SCORE = f"""CAST(CASE form
     ELSE 0.0 END AS DOUBLE)"""
 
 LOGPROBS = """SELECT vec_id, label, label + 8 AS prompt_len, label AS n_pad,
-       list_transform(embedding, x -> -abs(CAST(x AS DOUBLE))) AS lp,
-       list_reverse(list_transform(embedding, x -> -abs(CAST(x AS DOUBLE)))) AS lp_ref
+       list_transform(embedding, lambda x: -abs(CAST(x AS DOUBLE))) AS lp,
+       list_reverse(list_transform(embedding, lambda x: -abs(CAST(x AS DOUBLE)))) AS lp_ref
 FROM embeddings"""
 
 ROLLOUTS = """SELECT event_id, CAST(floor(event_id / 16) AS BIGINT) AS prompt_id, event_id % 16 AS sample_idx,
