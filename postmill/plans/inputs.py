@@ -117,3 +117,40 @@ def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 __all__ = ["candidates", "prompts", "tasks", "answers", "logprobs", "rollouts", "steps",
            "doc_tokens", "word_count"]
+
+
+def reward_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recorded reward-model replies per candidate (conv_id, turn, reply);
+    every ninth is malformed."""
+    conv = table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
+    ok = F.concat(F.lit("reward:"), ((F.length("text") % 23) - 11).cast("string"))
+    return conv.select("conv_id", "turn", F.when((F.col("conv_id") + F.col("turn")) % 9 == 0, F.lit("reward: ???"))
+                       .otherwise(ok).alias("reply"))
+
+
+def recorded_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recorded good/bad responses per benchmark prompt (item_id, variant, response)."""
+    b = table(spark, sf_dir, "benchmark")
+    v = F.explode(F.array(F.lit("good"), F.lit("bad"))).alias("variant")
+    return b.select("item_id", "text", v).select(
+        "item_id", "variant", F.concat(F.col("variant"), F.lit(": "), F.col("text")).alias("response"))
+
+
+def recorded_response_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recorded reward replies for those responses (item_id, variant, reply)."""
+    r = recorded_responses(spark, sf_dir)
+    good = (F.length("response") % 31) - 12
+    bad = (F.length("response") * 7) % 29 - 14
+    return r.select("item_id", "variant", F.concat(F.lit("reward:"), F.when(F.col("variant") == "good", good)
+                                                   .otherwise(bad).cast("string")).alias("reply"))
+
+
+def event_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reward replies from ``events``: ``reward:<value*100>``, some with an extra
+    colon, some not numeric."""
+    ev = table(spark, sf_dir, "events")
+    v = F.round(F.col("value") * 100).cast("bigint").cast("string")
+    reply = (F.when(F.col("event_id") % 7 == 0, F.lit("reward: n/a"))
+              .when(F.col("event_id") % 5 == 0, F.concat(F.lit("score:reward:"), v))
+              .otherwise(F.concat(F.lit("reward:"), v)))
+    return ev.select("event_id", reply.alias("reply"))
