@@ -35,7 +35,7 @@ def rank_runs(means: DataFrame, run: str = "run", score: str = "mean_score") ->
 
 
 def _windows(steps: DataFrame, log_steps: int) -> DataFrame:
-    return steps.withColumn("window", F.floor((F.col("step") - 1) / log_steps).cast("bigint"))
+    return steps.withColumn("log_window", F.floor((F.col("step") - 1) / log_steps).cast("bigint"))
 
 
 def rollup_mean(steps: DataFrame, metric: str, log_steps: int = K.LOG_STEPS, scale: float = 1.0) -> DataFrame:
@@ -43,10 +43,10 @@ def rollup_mean(steps: DataFrame, metric: str, log_steps: int = K.LOG_STEPS, sca
     the window; a partial last window is not logged (G7a; G7c with
     ``scale = 1 / accumulation``)."""
     w = _windows(steps, log_steps)
-    agg = w.groupBy("window").agg(F.count(F.lit(1)).alias("_n"),
+    agg = w.groupBy("log_window").agg(F.count(F.lit(1)).alias("_n"),
                                   (F.sum(F.col(metric) * F.lit(scale)) / log_steps).alias(f"avg_{metric}"))
     return agg.where(F.col("_n") == log_steps).select(
-        "window", ((F.col("window") + 1) * log_steps).alias("step"), f"avg_{metric}")
+        "log_window", ((F.col("log_window") + 1) * log_steps).alias("step"), f"avg_{metric}")
 
 
 def rollup_preference(steps: DataFrame, log_steps: int = K.LOG_STEPS) -> DataFrame:
@@ -56,16 +56,16 @@ def rollup_preference(steps: DataFrame, log_steps: int = K.LOG_STEPS) -> DataFra
     partial last window logs ``loss`` only, averaged over its own length
     (``is_final``)."""
     w = _windows(steps, log_steps)
-    per = w.groupBy("window").agg(
+    per = w.groupBy("log_window").agg(
         F.count(F.lit(1)).alias("_n"),
         F.sum("loss").alias("_loss"), F.sum("reward_acc").alias("_acc"), F.sum("reward_diff").alias("_diff"),
         F.sum("chosen_ratio").alias("_cr"), F.sum("rejected_ratio").alias("_rr"))
-    per = running_sum(per, [], "window", "_cr", "_cr_cum", chunk=1024)
-    per = running_sum(per, [], "window", "_rr", "_rr_cum", chunk=1024)
+    per = running_sum(per, [], "log_window", "_cr", "_cr_cum", chunk=1024)
+    per = running_sum(per, [], "log_window", "_rr", "_rr_cum", chunk=1024)
     full = F.col("_n") == log_steps
     return per.select(
-        "window",
-        (F.col("window") * log_steps + F.col("_n")).alias("step"),
+        "log_window",
+        (F.col("log_window") * log_steps + F.col("_n")).alias("step"),
         (F.col("_loss") / F.col("_n")).alias("loss"),
         F.when(full, F.col("_acc") / log_steps).alias("reward_acc"),
         F.when(full, F.col("_diff") / log_steps).alias("reward_diff"),
@@ -85,10 +85,10 @@ def rollup_rl(samples: DataFrame, step_loss: DataFrame, log_steps: int = K.LOG_S
     chunk_means = samples.groupBy(step, "chunk").agg(F.avg("reward").alias("_cm"))
     per_step = chunk_means.groupBy(step).agg(F.sum("_cm").alias("_rsum"), F.avg("_cm").alias("_rmean"))
     s = per_step.join(step_loss.select(step, "loss"), step)
-    s = s.withColumn("window", F.floor(F.col(step) / log_steps).cast("bigint"))
-    agg = s.groupBy("window").agg(F.count(F.lit(1)).alias("_n"),
+    s = s.withColumn("log_window", F.floor(F.col(step) / log_steps).cast("bigint"))
+    agg = s.groupBy("log_window").agg(F.count(F.lit(1)).alias("_n"),
                                   (F.sum(F.col("loss") / accumulation) / log_steps).alias("avg_loss"),
                                   (F.sum("_rsum") / log_steps).alias("avg_reward"),
                                   F.avg("_rmean").alias("mean_reward"))
     return agg.where(F.col("_n") == log_steps).select(
-        "window", ((F.col("window") + 1) * log_steps).alias("step"), "avg_loss", "avg_reward", "mean_reward")
+        "log_window", ((F.col("log_window") + 1) * log_steps).alias("step"), "avg_loss", "avg_reward", "mean_reward")

@@ -3,3 +3,4 @@
 from postmill.plans import q_curate  # noqa: F401
 from postmill.plans import q_countdown  # noqa: F401
 from postmill.plans import q_preference  # noqa: F401
+from postmill.plans import q_training  # noqa: F401

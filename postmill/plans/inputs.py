@@ -88,25 +88,28 @@ def logprobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rollouts(spark: SparkSession, sf_dir: str, k: int = 16) -> DataFrame:
     """k sampled responses per prompt from ``events``: prompt = event_id div k,
-    sample_idx = event_id % k, reward = value, seq log-prob = -(user_id % 17) / 4."""
+    sample_idx = event_id % k, reward = ln(1 + value), seq log-prob =
+    -(user_id % 17) / 4. (Transcendental rewards keep averages off exact
+    decimal rounding ties, so both engines round them alike.)"""
     ev = table(spark, sf_dir, "events")
     return ev.select("event_id",
                      F.floor(F.col("event_id") / k).alias("prompt_id"),
                      (F.col("event_id") % k).alias("sample_idx"),
-                     F.col("value").alias("reward"),
+                     F.log(F.lit(1.0) + F.col("value")).alias("reward"),
                      (-(F.col("user_id") % 17) / F.lit(4.0)).alias("seq_lp"))
 
 
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Training-step metrics from ``events`` ordered by event_id (step = id + 1)."""
+    """Training-step metrics from ``events`` ordered by event_id (step = id + 1).
+    Log and prime divisors keep window means off exact rounding ties."""
     ev = table(spark, sf_dir, "events")
     v = F.col("value")
     return ev.select((F.col("event_id") + 1).alias("step"),
-                     (v / 100.0).alias("loss"),
+                     F.log(F.lit(1.0) + v).alias("loss"),
                      F.when(v > 250, 1.0).otherwise(0.0).alias("reward_acc"),
-                     ((v - 250) / 100.0).alias("reward_diff"),
-                     (v / 1000.0).alias("chosen_ratio"),
-                     (-v / 2000.0).alias("rejected_ratio"))
+                     ((v - 250) / 97.0).alias("reward_diff"),
+                     (v / 89.0).alias("chosen_ratio"),
+                     (-v / 83.0).alias("rejected_ratio"))
 
 
 def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
