@@ -110,7 +110,8 @@ def _err(s: str) -> str:
 
 def _step(s: str, t: str) -> str:
     operand_before = f"{s}.p IN ('num', 'close')"
-    number = (f"CASE WHEN {operand_before} OR {t} RLIKE '^0+[1-9][0-9]*$' THEN {_err(s)} "
+    leading_zero = f"(left({t}, 1) = '0' AND instr({t}, '.') = 0 AND TRIM(LEADING '0' FROM {t}) != '')"
+    number = (f"CASE WHEN {operand_before} OR {leading_zero} THEN {_err(s)} "
               f"ELSE {_state(f'concat({s}.v, array(CAST({t} AS DOUBLE)))', f'{s}.o', chr(39) + 'num' + chr(39), 'false')} END")
     open_p = (f"CASE WHEN {operand_before} THEN {_err(s)} "
               f"ELSE {_state(f'{s}.v', f'concat({s}.o, array({t}))', chr(39) + 'open' + chr(39), 'false')} END")
@@ -127,7 +128,8 @@ def _step(s: str, t: str) -> str:
              f"{_state(f'{s}.v', f'concat({s}.o, array(concat(' + chr(39) + 'u' + chr(39) + f', {t})))', chr(39) + 'op' + chr(39), 'false')} "
              f"ELSE {_err(s)} END")
     operator = f"CASE WHEN {s}.p IN ('start', 'open', 'op') THEN {unary} ELSE {binary} END"
-    return (f"CASE WHEN {s}.e THEN {s} WHEN {t} RLIKE '^[0-9.]' THEN {number} "
+    return (f"CASE WHEN {s}.e THEN {s} WHEN left({t}, 1) IN ('0', '1', '2', '3', '4', '5', '6', '7', '8', '9', '.') "
+            f"THEN {number} "
             f"WHEN {t} = '(' THEN {open_p} WHEN {t} = ')' THEN {close_p} ELSE {operator} END")
 
 
@@ -185,14 +187,16 @@ def score_sql(text: str, nums: str, target: str, format_score: float = K.FORMAT_
 
 
 def score_answers(df, text: str, nums: str, target: str, format_score: float = K.FORMAT_SCORE,
-                  score: float = K.CORRECT_SCORE, prefix: bool = True, out: str = "score"):
+                  score: float = K.CORRECT_SCORE, prefix: bool = True, out: str = "score",
+                  spread_key: str | None = None):
     """Countdown reward (D4): adds ``equation`` (D1), ``valid`` (D2), ``value``
     (D3) and ``out``. 0 without an answer, ``format_score`` for wrong numbers,
     unevaluable or wrong value, ``score`` within 1e-5 of the target. ``prefix``
     prepends ``"Assistant: "`` as the leaderboards and RL loop do. The
     evaluator only runs on rows whose numbers are valid, like the reference."""
+    from postmill.plans.parallel import spread
     res = F.expr(score_sql(f"`{text}`", f"`{nums}`", f"`{target}`", format_score, score, prefix))
-    d = df.withColumn("_res", res)
+    d = spread(df, spread_key).withColumn("_res", res)
     return (d.withColumn("equation", F.col("_res.equation")).withColumn("valid", F.col("_res.valid"))
              .withColumn("value", F.col("_res.value")).withColumn(out, F.col("_res.score")).drop("_res"))
 

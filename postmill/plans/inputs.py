@@ -36,7 +36,8 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Countdown tasks, one per order: (task_id, nums array<int>, target int)."""
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("task_id"))
+    from postmill.plans.parallel import spread
+    o = spread(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("task_id")), "task_id")
     t = F.col("task_id")
     n = [(F.lit(1) + (t * a + b) % 99).cast("int") for a, b in TASK_COEFFS]
     four = (t % 2) == 1
@@ -114,7 +115,8 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pre-tokenized documents: one id per space-separated word (id = word length)."""
-    d = table(spark, sf_dir, "documents")
+    from postmill.plans.parallel import spread
+    d = spread(table(spark, sf_dir, "documents"), "doc_id")
     return d.select("doc_id", F.transform(F.split("text", " ", -1), lambda w: F.length(w)).alias("ids"))
 
 

@@ -1,0 +1,26 @@
+"""Parallelism for CPU-heavy row work.
+
+File splits follow bytes, but regex extraction, the native evaluator and token
+arrays cost CPU per *row*: a small file read as one split would run on one
+core. ``spread`` repartitions only when the input has fewer partitions than
+the session can run at once; inputs of real size already have many splits and
+pass through untouched (no shuffle).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def target_partitions(df: DataFrame, per_core: int = 2) -> int:
+    return df.sparkSession.sparkContext.defaultParallelism * per_core
+
+
+def spread(df: DataFrame, key: str | None = None, per_core: int = 2) -> DataFrame:
+    """Ensure at least ``defaultParallelism * per_core`` partitions. With
+    ``key`` the rows are hash-partitioned on it (deterministic on retry),
+    otherwise round-robin (Spark sorts first, so retries see the same split)."""
+    target = target_partitions(df, per_core)
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, key) if key else df.repartition(target)
