@@ -20,6 +20,8 @@ def spread(df: DataFrame, key: str | None = None, per_core: int = 2) -> DataFram
     """Ensure at least ``defaultParallelism * per_core`` partitions. With
     ``key`` the rows are hash-partitioned on it (deterministic on retry),
     otherwise round-robin (Spark sorts first, so retries see the same split)."""
+    if df.isStreaming:
+        return df          # micro-batches are sized by the source options
     target = target_partitions(df, per_core)
     if df.rdd.getNumPartitions() >= target:
         return df
