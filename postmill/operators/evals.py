@@ -60,8 +60,7 @@ def rollup_preference(steps: DataFrame, log_steps: int = K.LOG_STEPS) -> DataFra
         F.count(F.lit(1)).alias("_n"),
         F.sum("loss").alias("_loss"), F.sum("reward_acc").alias("_acc"), F.sum("reward_diff").alias("_diff"),
         F.sum("chosen_ratio").alias("_cr"), F.sum("rejected_ratio").alias("_rr"))
-    per = running_sum(per, [], "log_window", "_cr", "_cr_cum", chunk=1024)
-    per = running_sum(per, [], "log_window", "_rr", "_rr_cum", chunk=1024)
+    per = running_sum(per, [], "log_window", ["_cr", "_rr"], ["_cr_cum", "_rr_cum"], chunk=1024)
     full = F.col("_n") == log_steps
     return per.select(
         "log_window",

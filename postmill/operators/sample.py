@@ -36,9 +36,7 @@ def epoch_batches(df: DataFrame, id_col: str, epochs: int, batch_size: int, seed
     position in the epoch's order, ``batch_id = idx div batch_size`` (the last
     batch may be short). Positions come from hash-bucket offsets, never from an
     unpartitioned window."""
-    ep = df.sparkSession.range(epochs).select(F.col("id").cast("int").alias("epoch"))
-    # epochs is a small parameter (a handful of rows), so the product is a
-    # broadcast of a fixed-size table, expressed as an equi-join on a constant.
-    rows = df.withColumn("_j", F.lit(0)).join(F.broadcast(ep.withColumn("_j", F.lit(0))), "_j").drop("_j")
+    # One row per (row, epoch): a generator over the epoch list, no join.
+    rows = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     rows = global_index(rows, seeded_key(seed, "epoch", id_col), id_col, out="idx", partition=["epoch"])
     return rows.withColumn("batch_id", F.floor(F.col("idx") / batch_size).cast("bigint"))

@@ -22,7 +22,11 @@ def spread(df: DataFrame, key: str | None = None, per_core: int = 2) -> DataFram
     otherwise round-robin (Spark sorts first, so retries see the same split)."""
     if df.isStreaming:
         return df          # micro-batches are sized by the source options
-    target = target_partitions(df, per_core)
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        target = target_partitions(df, per_core)
+        current = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001  (no RDD access, e.g. Spark Connect): leave as is
+        return df
+    if current >= target:
         return df
     return df.repartition(target, key) if key else df.repartition(target)

@@ -44,9 +44,8 @@ def pref_pairs(spark, sf_dir):
 
 def _filtered(spark, sf_dir):
     pairs = _pairs(spark, sf_dir).join(I.prompts(spark, sf_dir), "conv_id")
-    raw = P.as_raw_preference(pairs.drop("chosen", "rejected").join(
-        pairs.select("conv_id", "chosen", "rejected"), "conv_id"))
-    return P.preference_filter(P.flatten_preference(raw.drop("chosen", "rejected")))
+    raw = P.as_raw_preference(pairs).drop("chosen", "rejected")
+    return P.preference_filter(P.flatten_preference(raw))
 
 
 _FILTER_CASE = f"""CASE WHEN {S.words('prompt')} > {K.PREF_MAX_PROMPT} THEN 'prompt_too_long'

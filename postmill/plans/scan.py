@@ -14,24 +14,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running_sum(df: DataFrame, group: list[str], order: str, value: str, out: str,
+def running_sum(df: DataFrame, group: list[str], order: str, value, out,
                 chunk: int = 4096, chunk_col: Column | None = None, inclusive: bool = True) -> DataFrame:
     """Add ``out`` = sum of ``value`` over rows of the same ``group`` with order
-    key <= this row's (``inclusive``) or < (exclusive). ``order`` must be unique
-    inside a group. ``chunk_col`` must be monotone in ``order``; by default it
-    is ``order div chunk`` (for dense integer keys)."""
+    key <= this row's (``inclusive``) or < (exclusive). ``value``/``out`` may be
+    lists to compute several sums in one pass. ``order`` must be unique inside a
+    group. ``chunk_col`` must be monotone in ``order``; by default it is
+    ``order div chunk`` (for dense integer keys)."""
+    values = [value] if isinstance(value, str) else list(value)
+    outs = [out] if isinstance(out, str) else list(out)
     ck = chunk_col if chunk_col is not None else F.floor(F.col(order) / F.lit(chunk))
     d = df.withColumn("_ck", ck)
-    totals = d.groupBy(*group, "_ck").agg(F.sum(value).alias("_ctot"))
+    totals = d.groupBy(*group, "_ck").agg(*[F.sum(v).alias(f"_ctot{i}") for i, v in enumerate(values)])
     w_chunks = (Window.partitionBy(*group) if group else Window.partitionBy()).orderBy("_ck") \
         .rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select(*group, "_ck", F.coalesce(F.sum("_ctot").over(w_chunks), F.lit(0)).alias("_cbase"))
+    bases = totals.select(*group, "_ck", *[F.coalesce(F.sum(f"_ctot{i}").over(w_chunks), F.lit(0)).alias(f"_cbase{i}")
+                                            for i in range(len(values))])
     w_rows = Window.partitionBy(*group, "_ck").orderBy(order)
     w_rows = w_rows.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    local = d.withColumn("_local", F.coalesce(F.sum(value).over(w_rows), F.lit(0)))
-    return (local.join(bases, [*group, "_ck"], "inner")
-                 .withColumn(out, F.col("_cbase") + F.col("_local"))
-                 .drop("_ck", "_cbase", "_local"))
+    local = d.select("*", *[F.coalesce(F.sum(v).over(w_rows), F.lit(0)).alias(f"_local{i}")
+                            for i, v in enumerate(values)])
+    res = local.join(bases, [*group, "_ck"], "inner")
+    res = res.select("*", *[(F.col(f"_cbase{i}") + F.col(f"_local{i}")).alias(o) for i, o in enumerate(outs)])
+    return res.drop("_ck", *[f"_cbase{i}" for i in range(len(values))], *[f"_local{i}" for i in range(len(values))])
 
 
 def hash_bucket(h: Column, bits: int = 16) -> Column:

@@ -38,3 +38,11 @@ def test_epoch_batches_partition_independent(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert sorted(a) == sorted(b)
+
+
+def test_spread_only_when_under_parallel(spark):
+    from postmill.plans.parallel import spread, target_partitions
+    one = spark.range(100).coalesce(1)
+    assert spread(one, "id").rdd.getNumPartitions() == target_partitions(one)
+    many = spark.range(100).repartition(target_partitions(one) + 3)
+    assert spread(many).rdd.getNumPartitions() == target_partitions(one) + 3
