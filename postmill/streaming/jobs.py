@@ -29,12 +29,14 @@ def score_responses(responses: DataFrame, tasks: DataFrame) -> DataFrame:
 
 def reward_windows(events: DataFrame, window: str = "1 hour", watermark: str | None = "10 minutes",
                    run: str = "event_type", reward: str = "value") -> DataFrame:
-    """Mean reward and count per (event-time window, run). ``ts`` may be
-    TIMESTAMP_NTZ (rejected by withWatermark), so it is cast to TIMESTAMP; the
-    session time zone must be UTC for engine-neutral windows."""
-    e = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    """Mean reward and count per (event-time window, run). With a watermark,
+    ``ts`` (TIMESTAMP_NTZ in the driver tables) is cast to TIMESTAMP, which
+    withWatermark requires; run streams with the session time zone at UTC."""
+    e = events
     if watermark:
-        e = e.withWatermark("ts", watermark)
+        # withWatermark rejects TIMESTAMP_NTZ; the batch form windows the NTZ
+        # values directly and does not depend on the session time zone.
+        e = e.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
     agg = e.groupBy(F.window("ts", window).alias("w"), F.col(run).alias("run")).agg(
         F.count(F.lit(1)).alias("n"), F.avg(reward).alias("mean_reward"))
     return agg.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "run", "n",
