@@ -103,7 +103,7 @@ def _seq_lp(spark, sf_dir):
     lp = lp.withColumn("am", am).withColumn("pmask", pmask)
     lp = lp.withColumn("m_pref", T.response_mask("am", T.prompt_length("pmask", minus=1)))
     lp = lp.withColumn("m_rl", T.response_mask("am", T.prompt_length("pmask")))
-    return lp.select("vec_id", "label", "embedding" if False else "lp",
+    return lp.select("vec_id", "label", "lp",
                      T.prompt_length("pmask").alias("prompt_len"),
                      LS.mask_count("m_pref").alias("n_resp_pref"),
                      LS.masked_sum("lp", "m_pref").alias("lp_sum"),
