@@ -15,20 +15,69 @@ def seeded_key(seed, *cols) -> Column:
     return F.md5(F.concat_ws(":", *parts))
 
 
+HASH_DIGITS = 15          # leading hex digits of md5 used as a uniform numeric key
+HASH_SPACE = 16 ** HASH_DIGITS
+
+
+def hash_rank_key(h: Column) -> Column:
+    """Leading 15 hex digits of a digest as a bigint; ordering by it agrees with
+    ordering by the digest string."""
+    return F.conv(F.substring(h, 1, HASH_DIGITS), 16, 10).cast("bigint")
+
+
+def top_n(df: DataFrame, n: int, order: list[Column], cutoff: Column, ascending: bool = True,
+          fraction_hint: float | None = None, margin: float = 2.0, materialize: bool = False) -> DataFrame:
+    """Exact first ``n`` rows by ``order`` without merging n rows from every
+    input split in one task.
+
+    A cutoff on the numeric ``cutoff`` column (monotone with ``order``) keeps
+    about ``margin * n`` rows: analytic when ``fraction_hint`` is given (uniform
+    keys: hint = n / rows), otherwise an ``approxQuantile`` pass. A count
+    confirms at least ``n`` rows survive, so the result is exactly the top n;
+    otherwise the plain top-k plan is used. With ``materialize`` an expensive
+    input is written once with a reliable checkpoint (the cluster's
+    ``spark.checkpoint.dir``), so the passes read it instead of recomputing."""
+    d = df.withColumn("_cut", cutoff)
+    if materialize:
+        from postmill.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(df.sparkSession)
+        d = d.checkpoint(eager=True)
+        df = d.drop("_cut")
+    total = d.count()
+    if total <= n * margin * 4:
+        return df.orderBy(*order).limit(n)
+    q = min(1.0, margin * n / total)
+    if fraction_hint is not None:
+        c = float(q)
+        cond = F.col("_cut") <= F.lit(int(c * HASH_SPACE)) if ascending else F.col("_cut") >= F.lit(int((1 - c) * HASH_SPACE))
+    else:
+        qq = q if ascending else 1.0 - q
+        c = d.approxQuantile("_cut", [qq], 0.1 * q)[0]
+        cond = F.col("_cut") <= F.lit(c) if ascending else F.col("_cut") >= F.lit(c)
+    kept = d.where(cond)
+    if kept.count() >= n:
+        return kept.orderBy(*order).limit(n).drop("_cut")
+    return df.orderBy(*order).limit(n)
+
+
 def seeded_sample(df: DataFrame, n: int, seed: int, id_col: str) -> DataFrame:
-    """Shuffle with ``seed`` and take ``n`` rows (E1). Planned as a top-k
-    (TakeOrderedAndProject): each task keeps its n best, no global sort."""
-    return df.orderBy(seeded_key(seed, id_col), F.col(id_col)).limit(n)
+    """Shuffle with ``seed`` and take ``n`` rows (E1): the first n rows by
+    md5(seed:id), id. The md5 key is uniform, so an analytic cutoff keeps about
+    2n candidates before the final top-n."""
+    key = seeded_key(seed, id_col)
+    return top_n(df, n, [key, F.col(id_col)], hash_rank_key(key), fraction_hint=1.0)
 
 
-def first_n(df: DataFrame, n: int, order_col: str) -> DataFrame:
-    """First ``n`` rows by ``order_col``."""
-    return df.orderBy(F.col(order_col)).limit(n)
+def first_n(df: DataFrame, n: int, order_col: str, materialize: bool = True) -> DataFrame:
+    """First ``n`` rows by ``order_col`` (E2). Project the needed columns first:
+    the input is materialized once when ``materialize``."""
+    return top_n(df, n, [F.col(order_col)], F.col(order_col).cast("double"), materialize=materialize)
 
 
-def last_n(df: DataFrame, n: int, order_col: str) -> DataFrame:
+def last_n(df: DataFrame, n: int, order_col: str, materialize: bool = True) -> DataFrame:
     """Last ``n`` rows by ``order_col``."""
-    return df.orderBy(F.col(order_col).desc()).limit(n)
+    return top_n(df, n, [F.col(order_col).desc()], F.col(order_col).cast("double"), ascending=False,
+                 materialize=materialize)
 
 
 def epoch_batches(df: DataFrame, id_col: str, epochs: int, batch_size: int, seed: int) -> DataFrame:

@@ -200,8 +200,8 @@ WITH a AS ({S.ANSWERS}), s AS (SELECT task_id, {S.ANSWER_SCORE} AS score FROM a)
 SELECT task_id, score FROM s WHERE score >= {K.VERIFIED_MIN_SCORE} ORDER BY task_id LIMIT {K.VERIFIED_TAKE}""")
 def verified_responses(spark, sf_dir):
     """Keep responses scoring >= 0.9, the first 1,500 by task id."""
-    s = _scored(spark, sf_dir).where(F.col("score") >= K.VERIFIED_MIN_SCORE)
-    return first_n(s, K.VERIFIED_TAKE, "task_id").select("task_id", "score")
+    s = _scored(spark, sf_dir).where(F.col("score") >= K.VERIFIED_MIN_SCORE).select("task_id", "score")
+    return first_n(s, K.VERIFIED_TAKE, "task_id")
 
 
 @query("last_n_tasks", f"""
@@ -209,5 +209,5 @@ SELECT task_id, {_prompt_sql(_intro_sql() + f" || '{_RULES}'")} AS prompt
 FROM ({S.TASKS}) ORDER BY task_id DESC LIMIT {K.EVAL_LAST_N}""")
 def last_n_tasks(spark, sf_dir):
     """Evaluation slice: the last 2,000 tasks by id, with prompts."""
-    t = last_n(I.tasks(spark, sf_dir), K.EVAL_LAST_N, "task_id")
+    t = last_n(I.tasks(spark, sf_dir), K.EVAL_LAST_N, "task_id", materialize=False)
     return t.select("task_id", CD.countdown_prompt().alias("prompt"))
