@@ -33,7 +33,7 @@ def extract_solution(text) -> Column:
     t = _c(text)
     body = F.when(F.instr(t, K.ASSISTANT_MARK) > 0, after_first(t, K.ASSISTANT_MARK)) \
             .when(F.instr(t, K.ASSISTANT_MARK_CHAT) > 0, after_first(t, K.ASSISTANT_MARK_CHAT))
-    tags = F.regexp_extract_all(last_line(body), F.lit(r"(?s)<answer>(.*?)</answer>"), F.lit(1))
+    tags = F.regexp_extract_all(last_line(body), F.lit("(?s)" + K.ANSWER_TAG_PATTERN), F.lit(1))
     return py_strip(F.try_element_at(tags, F.lit(-1)))
 
 
@@ -41,7 +41,8 @@ def extract_solution(text) -> Column:
 
 def validate_equation(eq, nums) -> Column:
     """Multiset of integers in ``eq`` equals the multiset ``nums``."""
-    found = F.transform(F.regexp_extract_all(_c(eq), F.lit(r"(\d+)"), F.lit(1)), lambda x: x.try_cast("bigint"))
+    found = F.transform(F.regexp_extract_all(_c(eq), F.lit(f"({K.NUMBER_PATTERN})"), F.lit(1)),
+                        lambda x: x.try_cast("bigint"))
     want = F.transform(_c(nums), lambda x: x.cast("bigint"))
     return F.coalesce(F.array_sort(found) == F.array_sort(want), F.lit(False))
 
@@ -161,7 +162,8 @@ def _extract_sql(t: str) -> str:
     m1, m2 = K.ASSISTANT_MARK, K.ASSISTANT_MARK_CHAT
     body = (f"CASE WHEN instr({t}, {_sql_str(m1)}) > 0 THEN substring({t}, instr({t}, {_sql_str(m1)}) + {len(m1)}) "
             f"WHEN instr({t}, {_sql_str(m2)}) > 0 THEN substring({t}, instr({t}, {_sql_str(m2)}) + {len(m2)}) END")
-    tags = f"regexp_extract_all(substring_index({body}, {_sql_str(chr(10))}, -1), {_sql_str('(?s)<answer>(.*?)</answer>')}, 1)"
+    tags = (f"regexp_extract_all(substring_index({body}, {_sql_str(chr(10))}, -1), "
+            f"{_sql_str('(?s)' + K.ANSWER_TAG_PATTERN)}, 1)")
     strip_re = _sql_str(rf"\A[{PY_WS}]+|[{PY_WS}]+\z")
     return f"regexp_replace(try_element_at({tags}, -1), {strip_re}, '')"
 
