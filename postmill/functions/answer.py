@@ -137,13 +137,15 @@ def _step(s: str, t: str) -> str:
 def _evaluate_sql(eq: str) -> str:
     tokens = f"regexp_extract_all({eq}, '{_TOKEN_RE}', 1)"
     init = _state("CAST(array() AS ARRAY<DOUBLE>)", "CAST(array() AS ARRAY<STRING>)", "'start'", "false")
-    folded = f"aggregate({tokens}, {init}, (s, t) -> {_step('s', 't')})"
+    folded = f"aggregate(tk, {init}, (s, t) -> {_step('s', 't')})"
     finish = (f"CASE WHEN f.e OR f.p IN ('op', 'open', 'start') THEN NULL ELSE "
               f"transform(array({_pop_while('f', '{top} != ' + chr(39) + '(' + chr(39))}), r -> "
               f"CASE WHEN r.e OR size(r.o) > 0 OR size(r.v) != 1 THEN NULL ELSE element_at(r.v, 1) END)[0] END")
-    well_formed = (f"{eq} RLIKE '^[0-9+*/().\\\\t\\\\f -]+$' AND "
-                   f"array_join({tokens}, '') = regexp_replace({eq}, '[ \\\\t\\\\f]', '')")
-    return f"CASE WHEN {well_formed} THEN transform(array({folded}), f -> {finish})[0] END"
+    # Tokenised once (bound as ``tk``); every non-blank character must belong
+    # to a token, otherwise the text is not an arithmetic expression.
+    covered = f"array_join(tk, '') = regexp_replace({eq}, '[ \\\\t\\\\f]', '')"
+    return (f"CASE WHEN {eq} RLIKE '^[0-9+*/().\\\\t\\\\f -]+$' THEN transform(array({tokens}), tk -> "
+            f"CASE WHEN {covered} THEN transform(array({folded}), f -> {finish})[0] END)[0] END")
 
 
 def evaluate(name: str) -> Column:
