@@ -197,7 +197,8 @@ def score_answers(df, text: str, nums: str, target: str, format_score: float = K
     (D3) and ``out``. 0 without an answer, ``format_score`` for wrong numbers,
     unevaluable or wrong value, ``score`` within 1e-5 of the target. ``prefix``
     prepends ``"Assistant: "`` as the leaderboards and RL loop do. The
-    evaluator only runs on rows whose numbers are valid, like the reference."""
+    evaluator only runs on rows whose numbers are valid, like the reference.
+    Evaluation happens in place: no shuffle, linear in the rows."""
     from postmill.plans.parallel import spread
     res = F.expr(score_sql(f"`{text}`", f"`{nums}`", f"`{target}`", format_score, score, prefix))
     d = spread(df, spread_key).withColumn("_res", res)

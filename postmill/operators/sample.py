@@ -52,7 +52,10 @@ def top_n(df: DataFrame, n: int, order: list[Column], cutoff: Column, ascending:
         cond = F.col("_cut") <= F.lit(int(c * HASH_SPACE)) if ascending else F.col("_cut") >= F.lit(int((1 - c) * HASH_SPACE))
     else:
         qq = q if ascending else 1.0 - q
-        c = d.approxQuantile("_cut", [qq], 0.1 * q)[0]
+        qs = d.approxQuantile("_cut", [qq], 0.1 * q)
+        if not qs:                       # no non-null keys: nothing to prune on
+            return df.orderBy(*order).limit(n)
+        c = qs[0]
         cond = F.col("_cut") <= F.lit(c) if ascending else F.col("_cut") >= F.lit(c)
     kept = d.where(cond)
     if kept.count() >= n:

@@ -109,3 +109,4 @@ def test_evaluator_matches_python_arithmetic(spark):
                                         ("1 // 0.1", 9.0), ("-7 // 2", -4.0), ("((2))", 2.0)])
 def test_evaluator_precedence(spark, expr, value):
     assert spark.createDataFrame([(expr,)], "e string").select(evaluate("e")).first()[0] == value
+
