@@ -92,13 +92,17 @@ def _err4(st: str) -> str:
 
 def _pop_while(s: str, cond: str) -> str:
     """Repeatedly apply the top operator while ``cond`` (over ``top``) holds.
-    Returns struct(v, o, e, d)."""
+    Returns struct(v, o, e, d). The loop is skipped outright when the stack is
+    empty or its top does not pop (the common case)."""
     c = cond.format(top="element_at(st.o, -1)")
-    return (f"aggregate(sequence(1, greatest(size({s}.o), 1)), "
+    c_first = cond.format(top=f"element_at({s}.o, -1)")
+    loop = (f"aggregate(sequence(1, size({s}.o)), "
             f"named_struct('v', {s}.v, 'o', {s}.o, 'e', {s}.e, 'd', false), "
             f"(st, i) -> CASE WHEN st.d OR st.e OR size(st.o) = 0 OR NOT ({c}) "
             f"THEN named_struct('v', st.v, 'o', st.o, 'e', st.e, 'd', true) "
             f"ELSE {_apply_top('st')} END)")
+    return (f"CASE WHEN {s}.e OR size({s}.o) = 0 OR NOT ({c_first}) "
+            f"THEN named_struct('v', {s}.v, 'o', {s}.o, 'e', {s}.e, 'd', true) ELSE {loop} END")
 
 
 def _state(v: str, o: str, p: str, e: str) -> str:
