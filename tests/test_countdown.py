@@ -88,3 +88,11 @@ def test_unsupported_size_is_flagged(spark):
 def test_balanced(spark):
     df = spark.createDataFrame([("(1 + (2))",), (")(",), ("((",)], "s string")
     assert [r.b for r in df.select(CD.balanced("s").alias("b")).collect()] == [True, False, False]
+
+
+def test_one_two_and_five_operands(spark):
+    tasks = [(1, [3, 7, 11, 2, 5], 97), (2, [1, 1, 1, 1, 1], 100), (3, [2, 3], 5), (4, [9], 9)]
+    df = spark.createDataFrame(tasks, "task_id long, nums array<int>, target int")
+    got = {r.task_id: r.answer_raw for r in CD.solve(df, sizes=(1, 2, 5)).collect()}
+    assert got == {t: _brute(n, g) for t, n, g in tasks}
+    assert got[1] == "(3 + (((7 + 2) * 11) - 5))"
