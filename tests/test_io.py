@@ -60,3 +60,14 @@ def test_reward_vector(spark, tmpdir_path):
     out = os.path.join(tmpdir_path, "rewards")
     IO.write_reward_vector(spark.createDataFrame([(0, -1.5), (1, 2.0)], "item_idx int, reward double"), out)
     assert [r.reward for r in spark.read.parquet(out).orderBy("item_idx").collect()] == [-1.5, 2.0]
+
+
+def test_corrupt_json_lines_are_kept_not_fatal(spark, tmpdir_path):
+    p = os.path.join(tmpdir_path, "bad.jsonl")
+    with open(p, "w") as f:
+        f.write('{"prompt": "ok"}\n{"prompt": \n{"prompt": "fine"}\n')
+    df = IO.read_json_lines(spark, p, IO.SCHEMAS["instruction_leaderboard"], corrupt_col="_corrupt").cache()
+    rows = df.collect()
+    assert len(rows) == 3
+    assert sum(r._corrupt is not None for r in rows) == 1
+    assert sorted(r.prompt for r in rows if r.prompt) == ["fine", "ok"]
