@@ -26,7 +26,8 @@ def hash_rank_key(h: Column) -> Column:
 
 
 def top_n(df: DataFrame, n: int, order: list[Column], cutoff: Column, ascending: bool = True,
-          fraction_hint: float | None = None, margin: float = 2.0, materialize: bool = False) -> DataFrame:
+          fraction_hint: float | None = None, margin: float = 2.0, materialize: bool = False,
+          where: Column | None = None) -> DataFrame:
     """Exact first ``n`` rows by ``order`` without merging n rows from every
     input split in one task.
 
@@ -36,13 +37,18 @@ def top_n(df: DataFrame, n: int, order: list[Column], cutoff: Column, ascending:
     confirms at least ``n`` rows survive, so the result is exactly the top n;
     otherwise the plain top-k plan is used. With ``materialize`` an expensive
     input is written once with a reliable checkpoint (the cluster's
-    ``spark.checkpoint.dir``), so the passes read it instead of recomputing."""
+    ``spark.checkpoint.dir``), so the passes read it instead of recomputing;
+    ``where`` is then applied to the materialized rows."""
     d = df.withColumn("_cut", cutoff)
     if materialize:
         from postmill.session import ensure_checkpoint_dir
         ensure_checkpoint_dir(df.sparkSession)
         d = d.checkpoint(eager=True)
         df = d.drop("_cut")
+    if where is not None:
+        # Applied after materializing, so a predicate over an expensive column
+        # is not pushed below the input's repartition.
+        d, df = d.where(where), df.where(where)
     total = d.count()
     if total <= n * margin * 4:
         return df.orderBy(*order).limit(n)
@@ -71,10 +77,13 @@ def seeded_sample(df: DataFrame, n: int, seed: int, id_col: str) -> DataFrame:
     return top_n(df, n, [key, F.col(id_col)], hash_rank_key(key), fraction_hint=1.0)
 
 
-def first_n(df: DataFrame, n: int, order_col: str, materialize: bool = True) -> DataFrame:
-    """First ``n`` rows by ``order_col`` (E2). Project the needed columns first:
-    the input is materialized once when ``materialize``."""
-    return top_n(df, n, [F.col(order_col)], F.col(order_col).cast("double"), materialize=materialize)
+def first_n(df: DataFrame, n: int, order_col: str, materialize: bool = True,
+            where: Column | None = None) -> DataFrame:
+    """First ``n`` rows by ``order_col`` among rows passing ``where``.
+    Project the needed columns first: the input is materialized once when
+    ``materialize``."""
+    return top_n(df, n, [F.col(order_col)], F.col(order_col).cast("double"), materialize=materialize,
+                 where=where)
 
 
 def last_n(df: DataFrame, n: int, order_col: str, materialize: bool = True) -> DataFrame:

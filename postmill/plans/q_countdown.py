@@ -200,8 +200,8 @@ WITH a AS ({S.ANSWERS}), s AS (SELECT task_id, {S.ANSWER_SCORE} AS score FROM a)
 SELECT task_id, score FROM s WHERE score >= {K.VERIFIED_MIN_SCORE} ORDER BY task_id LIMIT {K.VERIFIED_TAKE}""")
 def verified_responses(spark, sf_dir):
     """Keep responses scoring >= 0.9, the first 1,500 by task id."""
-    s = _scored(spark, sf_dir).where(F.col("score") >= K.VERIFIED_MIN_SCORE).select("task_id", "score")
-    return first_n(s, K.VERIFIED_TAKE, "task_id")
+    s = _scored(spark, sf_dir).select("task_id", "score")
+    return first_n(s, K.VERIFIED_TAKE, "task_id", where=F.col("score") >= K.VERIFIED_MIN_SCORE)
 
 
 @query("last_n_tasks", f"""
