@@ -35,9 +35,19 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    let_workers_import(spark)
     return spark
 
 
+def let_workers_import(spark: SparkSession) -> None:
+    """Python workers on this machine find the package wherever the driver was started;
+    on a cluster it is shipped as usual (--py-files or an installed package)."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
+
+
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str = "/tmp/postmill-checkpoints") -> str:
     """Use the cluster's shared spark.checkpoint.dir; only set our own when it is
     unset (local tests)."""
