@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from postmill.llm import bpe, tokencount
+from postmill.llm import bpe, langid, linededup, tokencount
+from postmill.session import let_workers_import
 from postmill.sources.tables import table
 
 QUERIES: dict = {}
@@ -14,13 +17,46 @@ ORACLE: dict[str, str] = {}
 
 def _query(name: str, sql: str | None = None):
     def register(fn):
-        QUERIES[name] = fn
+        @functools.wraps(fn)
+        def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+            let_workers_import(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = query
         if sql is not None:
             ORACLE[name] = sql
-        return fn
+        return query
     return register
 
 
+@_query("op1_language_id")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = langid.crc_fold(docs["doc_id"])
+    profiles = langid.learn_profiles(docs.filter(fold != 1))
+    return (langid.predict_langs(docs, profiles)
+            .select("doc_id", F.coalesce(langid.crc_fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score"))
+
+
+OP2_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT r, doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM d),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                          '{linededup.UPPER}', '{linededup.LOWER}') AS key FROM l),
+c AS (SELECT key AS common FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT r) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(common) AS n_dropped,
+       sha256(coalesce(string_agg(CASE WHEN common IS NULL THEN line END, chr(10) ORDER BY i), '')) AS kept_sha256
+FROM k LEFT JOIN c ON k.key = c.common GROUP BY r, doc_id
+"""
+
+
+@_query("op2_line_dedup", OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("line_n_lines").alias("n_lines"), F.col("line_n_dropped").alias("n_dropped"),
+                      F.sha2("text", 256).alias("kept_sha256"))
+
+
 @_query("op5_token_counts")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
