@@ -7,7 +7,7 @@ import functools
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from postmill.llm import bpe, langid, linededup, tokencount
+from postmill.llm import bpe, langid, linededup, pfair, tokencount
 from postmill.session import let_workers_import
 from postmill.sources.tables import table
 
@@ -71,3 +71,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_digest(F.col("ids")).alias("ids_sha256"),
                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@_query("op9_source_mix")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pfair.mix(table(spark, sf_dir, "documents"), keep=["doc_id", "source"])
