@@ -7,7 +7,7 @@ import functools
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from postmill.llm import bpe, langid, linededup, pfair, tokencount
+from postmill.llm import bpe, dartminhash, langid, linededup, pfair, tokencount
 from postmill.session import let_workers_import
 from postmill.sources.tables import table
 
@@ -76,3 +76,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op9_source_mix")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfair.mix(table(spark, sf_dir, "documents"), keep=["doc_id", "source"])
+
+
+@_query("op10_near_duplicates")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dartminhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select(F.col("uid").alias("doc_id"), "class_id", "exact_id", (F.col("uid") == F.col("class_id")).alias("kept"))
