@@ -13,18 +13,22 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 HEAVY_KEYS = 4096  # keys that hold over 1/HEAVY_KEYS of the rows: fewer than HEAVY_KEYS by counting
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialize ``df`` in the shared checkpoint folder and cut its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset
-    (local tests) a temporary one is used.
+    Only where that is unset (local tests) a temporary one is used.
     """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (shared or os.path.join(tempfile.gettempdir(), "postmill-llm")).rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Materialize ``df`` in the shared folder and cut its lineage."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if not shared and not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "postmill-llm-checkpoints"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

@@ -7,7 +7,7 @@ import functools
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from postmill.llm import bpe, dartminhash, langid, linededup, pfair, tokencount
+from postmill.llm import bpe, dartminhash, langid, linededup, pfair, quality, tokencount
 from postmill.session import let_workers_import
 from postmill.sources.tables import table
 
@@ -82,3 +82,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dartminhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select(F.col("uid").alias("doc_id"), "class_id", "exact_id", (F.col("uid") == F.col("class_id")).alias("kept"))
+
+
+@_query("op6_quality")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select(F.col("k_id").alias("doc_id"), "llr", "host_rate", "path_rate", "posterior", "kept")
