@@ -7,7 +7,7 @@ import functools
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from postmill.llm import ann, bpe, dartminhash, langid, linededup, pfair, quality, tokencount, topk
+from postmill.llm import ann, bpe, dartminhash, htmlcrf, langid, linededup, pfair, quality, tokencount, topk
 from postmill.session import let_workers_import
 from postmill.sources.tables import table
 
@@ -57,6 +57,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("text", 256).alias("kept_sha256"))
 
 
+@_query("op3_main_text")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return htmlcrf.extract(pages, htmlcrf.train(pages))
+
+
 OP4_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
