@@ -3,7 +3,7 @@ explicit order; nothing depends on file or partition order."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postmill.plans.scan import global_index
@@ -15,81 +15,42 @@ def seeded_key(seed, *cols) -> Column:
     return F.md5(F.concat_ws(":", *parts))
 
 
-HASH_DIGITS = 15          # leading hex digits of md5 used as a uniform numeric key
-HASH_SPACE = 16 ** HASH_DIGITS
-
-
-def hash_rank_key(h: Column) -> Column:
-    """Leading 15 hex digits of a digest as a bigint; ordering by it agrees with
-    ordering by the digest string."""
-    return F.conv(F.substring(h, 1, HASH_DIGITS), 16, 10).cast("bigint")
-
-
-def top_n(df: DataFrame, n: int, order: list[Column], cutoff: Column, ascending: bool = True,
-          fraction_hint: float | None = None, margin: float = 2.0, materialize: bool = False,
-          where: Column | None = None) -> DataFrame:
-    """Exact first ``n`` rows by ``order`` without merging n rows from every
-    input split in one task.
-
-    A cutoff on the numeric ``cutoff`` column (monotone with ``order``) keeps
-    about ``margin * n`` rows: analytic when ``fraction_hint`` is given (uniform
-    keys: hint = n / rows), otherwise an ``approxQuantile`` pass. A count
-    confirms at least ``n`` rows survive, so the result is exactly the top n;
-    otherwise the plain top-k plan is used. With ``materialize`` an expensive
-    input is written once with a reliable checkpoint (the cluster's
-    ``spark.checkpoint.dir``), so the passes read it instead of recomputing;
-    ``where`` is then applied to the materialized rows."""
-    d = df.withColumn("_cut", cutoff)
-    if materialize:
-        from postmill.session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(df.sparkSession)
-        d = d.checkpoint(eager=True)
-        df = d.drop("_cut")
-    if where is not None:
-        # Applied after materializing, so a predicate over an expensive column
-        # is not pushed below the input's repartition.
-        d, df = d.where(where), df.where(where)
-    total = d.count()
-    if total <= n * margin * 4:
-        return df.orderBy(*order).limit(n)
-    q = min(1.0, margin * n / total)
-    if fraction_hint is not None:
-        c = float(q)
-        cond = F.col("_cut") <= F.lit(int(c * HASH_SPACE)) if ascending else F.col("_cut") >= F.lit(int((1 - c) * HASH_SPACE))
-    else:
-        qq = q if ascending else 1.0 - q
-        qs = d.approxQuantile("_cut", [qq], 0.1 * q)
-        if not qs:                       # no non-null keys: nothing to prune on
-            return df.orderBy(*order).limit(n)
-        c = qs[0]
-        cond = F.col("_cut") <= F.lit(c) if ascending else F.col("_cut") >= F.lit(c)
-    kept = d.where(cond)
-    if kept.count() >= n:
-        return kept.orderBy(*order).limit(n).drop("_cut")
-    return df.orderBy(*order).limit(n)
+BUCKETS = 64
+
+
+def top_n(df: DataFrame, n: int, order: list[Column], spread_by: list[Column]) -> DataFrame:
+    """First ``n`` rows by ``order``, one plan for every size.
+
+    The first step keeps n rows of each of BUCKETS hash buckets (limited before the
+    shuffle too), so the last merge reads BUCKETS * n rows however many splits the
+    input has. ``order`` must say where nulls go."""
+    w = Window.partitionBy("_bucket").orderBy(*order)
+    kept = (df.withColumn("_bucket", F.pmod(F.xxhash64(*spread_by), F.lit(BUCKETS)))
+              .withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n).drop("_rank", "_bucket"))
+    return kept.orderBy(*order).limit(n)
 
 
 def seeded_sample(df: DataFrame, n: int, seed: int, id_col: str) -> DataFrame:
     """Shuffle with ``seed`` and take ``n`` rows (E1): the first n rows by
-    md5(seed:id), id. The md5 key is uniform, so an analytic cutoff keeps about
-    2n candidates before the final top-n."""
-    key = seeded_key(seed, id_col)
-    return top_n(df, n, [key, F.col(id_col)], hash_rank_key(key), fraction_hint=1.0)
+    md5(seed:id), id; null ids come last."""
+    return top_n(df, n, [seeded_key(seed, id_col), F.col(id_col).asc_nulls_last()], [F.col(id_col)])
 
 
-def first_n(df: DataFrame, n: int, order_col: str, materialize: bool = True,
-            where: Column | None = None) -> DataFrame:
-    """First ``n`` rows by ``order_col`` among rows passing ``where``.
-    Project the needed columns first: the input is materialized once when
-    ``materialize``."""
-    return top_n(df, n, [F.col(order_col)], F.col(order_col).cast("double"), materialize=materialize,
-                 where=where)
+def first_n(df: DataFrame, n: int, order_col: str, where: Column | None = None) -> DataFrame:
+    """First ``n`` rows by ``order_col`` among rows passing ``where`` (E2). Any
+    orderable column; nulls come last. ``where`` ranks rows instead of filtering the
+    input, so a costly condition is evaluated once, where its columns are."""
+    order = F.col(order_col).asc_nulls_last()
+    if where is None:
+        return top_n(df, n, [order], [F.col(order_col)])
+    d = df.withColumn("_passes", F.coalesce(where, F.lit(False)))
+    return top_n(d, n, [F.col("_passes").desc(), order], [F.col(order_col)]).where("_passes").drop("_passes")
 
 
-def last_n(df: DataFrame, n: int, order_col: str, materialize: bool = True) -> DataFrame:
-    """Last ``n`` rows by ``order_col``."""
-    return top_n(df, n, [F.col(order_col).desc()], F.col(order_col).cast("double"), ascending=False,
-                 materialize=materialize)
+def last_n(df: DataFrame, n: int, order_col: str) -> DataFrame:
+    """Last ``n`` rows by ``order_col`` (E3); nulls are never among the last
+    while other rows are left."""
+    return top_n(df, n, [F.col(order_col).desc_nulls_last()], [F.col(order_col)])
 
 
 def epoch_batches(df: DataFrame, id_col: str, epochs: int, batch_size: int, seed: int) -> DataFrame:

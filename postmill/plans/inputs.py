@@ -2,7 +2,7 @@
 
 The driver's tables carry no tasks, scores or log-probs, so they are derived
 with integer arithmetic that Spark and the DuckDB oracle compute identically
-(the same derivations are spelled in SQL in ``plans/oracle.py``). Every row of
+(the same derivations are spelled in SQL in ``plans/sqlbits.py``). Every row of
 the source table contributes; nothing is subset.
 """
 
@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from postmill.functions.text import word_count
 from postmill.sources.tables import table
 
-# Coefficients of the task-number generator: n_i = 1 + (t * a_i + b_i) % 99.
-TASK_COEFFS = ((7, 3), (13, 5), (29, 11), (41, 17))
+# Coefficients of the task-number generator:
+# n_i = 1 + (t * a_i + (t div 99) * b_i + (t div 9801) * c_i + d_i) % 99, so distinct tasks grow with the orders.
+TASK_COEFFS = ((7, 5, 3, 3), (13, 17, 7, 5), (29, 31, 19, 11), (41, 2, 37, 17))
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,10 +37,11 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Countdown tasks, one per order: (task_id, nums array<int>, target int)."""
-    from postmill.plans.parallel import spread
-    o = spread(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("task_id")), "task_id")
+    # Only the ids are dealt out: scoring and prompts cost far more than moving them.
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("task_id"))
+    o = o.repartition(2 * spark.sparkContext.defaultParallelism, "task_id")
     t = F.col("task_id")
-    n = [(F.lit(1) + (t * a + b) % 99).cast("int") for a, b in TASK_COEFFS]
+    n = [(F.lit(1) + (t * a + F.floor(t / 99) * b + F.floor(t / 9801) * c + d) % 99).cast("int") for a, b, c, d in TASK_COEFFS]
     four = (t % 2) == 1
     nums = F.when(four, F.array(*n)).otherwise(F.array(*n[:3]))
     target = F.when(t % 4 < 2, F.abs(n[0] + n[1] - n[2] - F.when(four, n[3]).otherwise(F.lit(0))))\
@@ -115,8 +117,7 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pre-tokenized documents: one id per space-separated word (id = word length)."""
-    from postmill.plans.parallel import spread
-    d = spread(table(spark, sf_dir, "documents"), "doc_id")
+    d = table(spark, sf_dir, "documents")
     return d.select("doc_id", F.transform(F.split("text", " ", -1), lambda w: F.length(w)).alias("ids"))
 
 

@@ -130,9 +130,8 @@ def countdown_hint_prompts(spark, sf_dir):
 @query("countdown_simplified")
 def countdown_simplified(spark, sf_dir):
     """Simplified answers, their re-check, balance flag, the answer-at-the-end
-    prompt and the teacher request (D7, D8, D11, B12, B14). No SQL oracle: the
-    simplification rules are iterative regex rewrites; tests compare with a
-    brute-force search written from the definition."""
+    prompt and the teacher request (D7, D8, D11, B12, B14). No SQL oracle: tests
+    compare every tree's plain text with exact arithmetic on the full text."""
     s = CD.verify(CD.solve(I.tasks(spark, sf_dir)))
     return s.select("task_id", "answer", "answer_verified",
                     CD.balanced(F.col("answer_raw")).alias("raw_balanced"),
@@ -209,5 +208,5 @@ SELECT task_id, {_prompt_sql(_intro_sql() + f" || '{_RULES}'")} AS prompt
 FROM ({S.TASKS}) ORDER BY task_id DESC LIMIT {K.EVAL_LAST_N}""")
 def last_n_tasks(spark, sf_dir):
     """Evaluation slice: the last 2,000 tasks by id, with prompts."""
-    t = last_n(I.tasks(spark, sf_dir), K.EVAL_LAST_N, "task_id", materialize=False)
+    t = last_n(I.tasks(spark, sf_dir), K.EVAL_LAST_N, "task_id")
     return t.select("task_id", CD.countdown_prompt().alias("prompt"))

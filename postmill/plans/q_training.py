@@ -17,7 +17,8 @@ from postmill.plans.registry import query
 from postmill.plans.scan import running_sum
 from postmill.sources.tables import table
 
-L = 64  # sequence length used by the token queries
+SEQ = 1280  # sequence length of the supervised rows
+L = 64      # token log-probs of a recorded sequence (the length of its array)
 
 
 def _txt(arr):
@@ -30,15 +31,15 @@ DOC_IDS = "list_transform(string_split(text, ' '), lambda w: CAST(length(w) AS I
 @query("pad_truncate", f"""
 WITH d AS (SELECT doc_id, {DOC_IDS} AS ids FROM documents)
 SELECT doc_id, CAST(len(ids) AS INTEGER) AS n_tokens,
-       array_to_string(list_resize(ids[1:{L}], {L}, 0), ',') AS ids_right,
-       CAST(least(len(ids), {L}) AS INTEGER) AS mask_sum,
-       array_to_string(list_concat(list_transform(range(greatest(0, {L} - len(ids))), lambda x: 0), ids[1:{L}]), ',') AS ids_left
+       array_to_string(list_resize(ids[1:{SEQ}], {SEQ}, 0), ',') AS ids_right,
+       CAST(least(len(ids), {SEQ}) AS INTEGER) AS mask_sum,
+       array_to_string(list_concat(list_transform(range(greatest(0, {SEQ} - len(ids))), lambda x: 0), ids[1:{SEQ}]), ',') AS ids_left
 FROM d""")
 def pad_truncate(spark, sf_dir):
     """Truncate / pad to a fixed length with an attention mask, right and left (F1)."""
     d = I.doc_tokens(spark, sf_dir)
-    r_ids, r_mask = T.pad_truncate("ids", L, 0, "right")
-    l_ids, _ = T.pad_truncate("ids", L, 0, "left")
+    r_ids, r_mask = T.pad_truncate("ids", SEQ, 0, "right")
+    l_ids, _ = T.pad_truncate("ids", SEQ, 0, "left")
     return d.select("doc_id", F.size("ids").alias("n_tokens"), _txt(r_ids).alias("ids_right"),
                     T.prompt_length(r_mask).alias("mask_sum"), _txt(l_ids).alias("ids_left"))
 
@@ -61,23 +62,23 @@ c AS (SELECT conv_id, flatten(list(tok ORDER BY turn)) AS ids,
              arg_max(s, turn) FILTER (WHERE role = 'assistant') AS ls,
              arg_max(e, turn) FILTER (WHERE role = 'assistant') AS le,
              list(e) FILTER (WHERE role = 'assistant') AS ends FROM o2 GROUP BY conv_id),
-p AS (SELECT conv_id, list_resize(ids[1:{L}], {L}, 0) AS pid, least(len(ids), {L}) AS n_real, ls, le,
+p AS (SELECT conv_id, list_resize(ids[1:{SEQ}], {SEQ}, 0) AS pid, least(len(ids), {SEQ}) AS n_real, ls, le,
              coalesce(ends, []) AS ends FROM c),
 q AS (SELECT conv_id,
-        list_transform(range({L}), lambda i: CASE WHEN ls IS NOT NULL AND i >= least(ls, {L})
-            AND (i < least(le, {L}) OR (i = least(le, {L}) AND least(le, {L}) < {L})) THEN pid[i + 1] ELSE -100 END) AS labels,
-        list_transform(range({L}), lambda i: CASE WHEN i < n_real
-            OR list_contains(list_transform(ends, lambda x: least(x, {L - 1})), i) THEN 1 ELSE 0 END) AS mask
+        list_transform(range({SEQ}), lambda i: CASE WHEN ls IS NOT NULL AND i >= least(ls, {SEQ})
+            AND (i < least(le, {SEQ}) OR (i = least(le, {SEQ}) AND least(le, {SEQ}) < {SEQ})) THEN pid[i + 1] ELSE -100 END) AS labels,
+        list_transform(range({SEQ}), lambda i: CASE WHEN i < n_real
+            OR list_contains(list_transform(ends, lambda x: least(x, {SEQ - 1})), i) THEN 1 ELSE 0 END) AS mask
       FROM p)
 SELECT conv_id, array_to_string(labels, ',') AS labels, array_to_string(mask, ',') AS mask,
        CAST(len(list_filter(labels, lambda x: x <> -100)) AS INTEGER) AS n_labels FROM q""")
 def sft_labels(spark, sf_dir):
     """Loss labels from assistant spans, only the last span kept (F2). Token
     offsets are a chunked running sum; only turns starting inside the first
-    L tokens are gathered, so a conversation never collects more than L ids."""
+    SEQ tokens are gathered, so a conversation never collects more than SEQ ids."""
     t = _conv_tokens(spark, sf_dir)
-    head = t.where(F.col("start_tok") < L).withColumn(
-        "part", F.slice("tok", 1, F.lit(L) - F.col("start_tok").cast("int")))
+    head = t.where(F.col("start_tok") < SEQ).withColumn(
+        "part", F.slice("tok", 1, F.lit(SEQ) - F.col("start_tok").cast("int")))
     asst = F.col("role") == "assistant"
     span = F.struct(F.col("start_tok").alias("start"), F.col("end_tok").alias("end"))
     ids = head.groupBy("conv_id").agg(
@@ -88,9 +89,9 @@ def sft_labels(spark, sf_dir):
     c = ids.join(last, "conv_id")
     spans = F.concat(F.transform("_spans", lambda s: s["sp"]),
                      F.filter(F.array("last_span"), lambda s: s.isNotNull()))
-    pid, _ = T.pad_truncate("ids", L, 0, "right")
-    c = c.select("conv_id", pid.alias("pid"), F.least(F.col("n_total"), F.lit(L)).alias("n_real"), spans.alias("spans"))
-    labels, mask = T.span_labels("pid", "n_real", "spans", L, keep="last")
+    pid, _ = T.pad_truncate("ids", SEQ, 0, "right")
+    c = c.select("conv_id", pid.alias("pid"), F.least(F.col("n_total"), F.lit(SEQ)).alias("n_real"), spans.alias("spans"))
+    labels, mask = T.span_labels("pid", "n_real", "spans", SEQ, keep="last")
     c = c.select("conv_id", labels.alias("labels"), mask.alias("mask"))
     return c.select("conv_id", _txt(F.col("labels")).alias("labels"), _txt(F.col("mask")).alias("mask"),
                     F.size(F.filter("labels", lambda x: x != K.IGNORE_INDEX)).alias("n_labels"))

@@ -44,10 +44,10 @@ TASKS = """SELECT task_id, CASE WHEN task_id % 2 = 1 THEN [n1, n2, n3, n4] ELSE
             ELSE (task_id * 17 + 3) % 100 END AS INTEGER) AS target,
        n1, n2, n3, CASE WHEN task_id % 2 = 1 THEN n4 END AS n4
 FROM (SELECT o_orderkey AS task_id,
-             CAST(1 + (o_orderkey * 7 + 3) % 99 AS INTEGER) AS n1,
-             CAST(1 + (o_orderkey * 13 + 5) % 99 AS INTEGER) AS n2,
-             CAST(1 + (o_orderkey * 29 + 11) % 99 AS INTEGER) AS n3,
-             CAST(1 + (o_orderkey * 41 + 17) % 99 AS INTEGER) AS n4
+             CAST(1 + (o_orderkey * 7 + (o_orderkey // 99) * 5 + (o_orderkey // 9801) * 3 + 3) % 99 AS INTEGER) AS n1,
+             CAST(1 + (o_orderkey * 13 + (o_orderkey // 99) * 17 + (o_orderkey // 9801) * 7 + 5) % 99 AS INTEGER) AS n2,
+             CAST(1 + (o_orderkey * 29 + (o_orderkey // 99) * 31 + (o_orderkey // 9801) * 19 + 11) % 99 AS INTEGER) AS n3,
+             CAST(1 + (o_orderkey * 41 + (o_orderkey // 99) * 2 + (o_orderkey // 9801) * 37 + 17) % 99 AS INTEGER) AS n4
       FROM orders)"""
 
 # Correct-equation text and its value, as built by inputs.answers.

@@ -34,7 +34,6 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         builder = builder.config("spark.driver.memory", os.environ.get("POSTMILL_DRIVER_MEM", "16g"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     let_workers_import(spark)
     return spark
 
@@ -46,14 +45,3 @@ def let_workers_import(spark: SparkSession) -> None:
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
-
-
-def ensure_checkpoint_dir(spark: SparkSession, fallback: str = "/tmp/postmill-checkpoints") -> str:
-    """Use the cluster's shared spark.checkpoint.dir; only set our own when it is
-    unset (local tests)."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = fallback
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
-    return d

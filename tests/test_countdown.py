@@ -2,6 +2,10 @@
 
 import itertools
 import random
+import re
+from fractions import Fraction  # noqa: F401  (used by evaluated text)
+
+import numpy as np
 
 from pyspark.sql import functions as F
 
@@ -39,19 +43,51 @@ def _brute(nums, target):
     return ""
 
 
-def test_template_counts_and_order():
-    assert len(CD.template_rows(3)) == 192
-    assert len(CD.template_rows(4)) == 7680
-    ords = [r[1] for r in CD.template_rows(4)]
-    assert ords == list(range(7680))
-
-
-def test_simplify_rules():
-    assert CD.simplify_parentheses("(15 + (5 / (75 / 90)))") == "15 + 5 / (75 / 90)"
-    assert CD.simplify_parentheses("9 / (5 * (3 - 1))") == "9 / 5 * (3 - 1)"   # not value preserving
-    assert CD.simplify_parentheses("a + (b - c) * d") == "a  + b - c * d"
-    assert CD.simplify_parentheses("(8 - (3 + 5))") == "8 - 3 - 5"
-    assert CD.simplify_parentheses("((1 + 2))") == "1 + 2"
+def test_tree_numbers_follow_the_enumeration():
+    for n in (1, 2, 3, 4):
+        operands = tuple(range(2, 2 + n))
+        trees = [CD.tree(k, operands) for k in range(CD.tree_count(n))]
+        values = CD.tree_values(np.array([operands], float))[0]
+        assert len(set(map(CD.full_text, trees))) == len(trees) == len(values)
+        for t, v in zip(trees, values):
+            assert abs(eval(CD.full_text(t)) - v) < 1e-9
+    assert [CD.tree_count(n) for n in (3, 4, 5)] == [32, 320, 3584]
+
+
+def _drops(text):
+    """The text without each one of its pairs of parentheses in turn."""
+    stack = []
+    for i, ch in enumerate(text):
+        if ch == "(":
+            stack.append(i)
+        elif ch == ")":
+            j = stack.pop()
+            yield text[:j] + text[j + 1:i] + text[i + 1:]
+
+
+def test_simplified_text_keeps_the_value_and_needs_its_parentheses():
+    # operands as powers of unlike primes tell almost all expressions apart
+    for operands in ((3, 7, 11), (3, 7, 11, 19)):
+        for k in range(CD.tree_count(len(operands))):
+            t = CD.tree(k, operands)
+            exact = lambda x: eval(re.sub(r"\d+", lambda m: f"Fraction({m[0]})", x))
+            try:
+                want = exact(CD.full_text(t))
+            except ZeroDivisionError:
+                continue
+            text = CD.plain_text(t)
+            assert exact(text) == want and re.findall(r"\d+", text) == [str(x) for x in operands]
+            assert all(exact(x) != want for x in _drops(text))
+
+
+def test_simplified_examples():
+    plus, minus = ("+", 3, 5), ("-", 3, 5)
+    assert CD.plain_text(("+", 15, ("/", 5, ("/", 75, 90)))) == "15 + 5 / (75 / 90)"
+    assert CD.plain_text(("/", 9, ("*", 5, minus))) == "9 / (5 * (3 - 5))"
+    assert CD.plain_text(("-", 8, plus)) == "8 - 3 - 5"
+    assert CD.plain_text(("-", 8, minus)) == "8 - 3 + 5"
+    assert CD.plain_text(("*", 8, ("/", 3, 5))) == "8 * 3 / 5"
+    assert CD.plain_text(4) == "4"
 
 
 def test_solve_matches_brute_force(spark):
@@ -62,11 +98,12 @@ def test_solve_matches_brute_force(spark):
         nums = [rnd.randint(0, 99) for _ in range(n)]
         tasks.append((nums, rnd.randint(0, 99)))
     df = spark.createDataFrame([(i, t[0], t[1]) for i, t in enumerate(tasks)], "task_id long, nums array<int>, target int")
-    got = {r.task_id: r for r in CD.verify(CD.solve(df, sizes=(2, 3, 4))).collect()}
+    got = {r.task_id: r for r in CD.verify(CD.solve(df)).collect()}
     for i, (nums, target) in enumerate(tasks):
         want = _brute(nums, target)
         assert got[i].answer_raw == want, (nums, target)
-        assert got[i].answer == (CD.simplify_parentheses(want) if want else "")
+        assert "(" not in got[i].answer or got[i].answer_raw != got[i].answer
+        assert got[i].answer_verified in (None, True)
         assert got[i].solved == bool(want)
     assert got[0].answer_raw == "(15 + (5 / (75 / 90)))"
     assert got[1].answer_raw == ""
@@ -79,10 +116,17 @@ def test_solution_scores_one(spark):
     assert [r.score for r in score_answers(s, "text", "nums", "target").collect()] == [1.0, 1.0]
 
 
-def test_unsupported_size_is_flagged(spark):
-    df = spark.createDataFrame([(1, [1, 2, 3, 4, 5, 6], 7)], "task_id long, nums array<int>, target int")
-    r = CD.solve(df).first()
-    assert r.solved is None and r.answer == ""
+def test_negative_null_and_empty_operands_are_unsolved(spark):
+    rows = [(1, [-3, 5], 2), (2, None, 7), (3, [], 7), (4, [1, None], 1), (5, [7], None), (6, [7], 5)]
+    df = spark.createDataFrame(rows, "task_id long, nums array<int>, target int")
+    assert {(r.solved, r.answer, r.answer_raw) for r in CD.solve(df).collect()} == {(False, "", "")}
+
+
+def test_search_runs_in_as_many_tasks_as_asked(spark):
+    df = spark.createDataFrame([(i, [i % 50, i // 50 + 1, 7], i) for i in range(2000)], "task_id long, nums array<int>, target int")
+    used = CD.solve(df, partitions=16)
+    plan = used._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and ", 16" in plan
 
 
 def test_balanced(spark):
@@ -90,9 +134,9 @@ def test_balanced(spark):
     assert [r.b for r in df.select(CD.balanced("s").alias("b")).collect()] == [True, False, False]
 
 
-def test_one_two_and_five_operands(spark):
-    tasks = [(1, [3, 7, 11, 2, 5], 97), (2, [1, 1, 1, 1, 1], 100), (3, [2, 3], 5), (4, [9], 9)]
+def test_one_two_five_and_six_operands(spark):
+    tasks = [(1, [3, 7, 11, 2, 5], 97), (2, [1, 1, 1, 1, 1], 100), (3, [2, 3], 5), (4, [9], 9), (5, [1, 2, 3, 4, 5, 6], 21)]
     df = spark.createDataFrame(tasks, "task_id long, nums array<int>, target int")
-    got = {r.task_id: r.answer_raw for r in CD.solve(df, sizes=(1, 2, 5)).collect()}
+    got = {r.task_id: r.answer_raw for r in CD.solve(df).collect()}
     assert got == {t: _brute(n, g) for t, n, g in tasks}
     assert got[1] == "(3 + (((7 + 2) * 11) - 5))"

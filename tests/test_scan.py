@@ -40,9 +40,12 @@ def test_epoch_batches_partition_independent(spark):
     assert sorted(a) == sorted(b)
 
 
-def test_spread_only_when_under_parallel(spark):
-    from postmill.plans.parallel import spread, target_partitions
-    one = spark.range(100).coalesce(1)
-    assert spread(one, "id").rdd.getNumPartitions() == target_partitions(one)
-    many = spark.range(100).repartition(target_partitions(one) + 3)
-    assert spread(many).rdd.getNumPartitions() == target_partitions(one) + 3
+def test_first_last_and_sample_do_not_depend_on_size_or_nulls(spark):
+    from postmill.operators.sample import first_n, last_n, seeded_sample
+    for rows in (7, 10, 4000):
+        df = spark.createDataFrame([(None, "x")] + [(f"k{i:05d}", "x") for i in range(1, rows)], "k string, v string").repartition(5)
+        assert [r.k for r in first_n(df, 1, "k").collect()] == ["k00001"]
+        assert [r.k for r in last_n(df, 2, "k").collect()] == [f"k{rows - 1:05d}", f"k{rows - 2:05d}"]
+        assert len(seeded_sample(df, 5, 3, "k").collect()) == 5
+    few = spark.createDataFrame([(None,), (1,)], "k long")
+    assert [r.k for r in first_n(few, 5, "k").collect()] == [1, None]
