@@ -34,60 +34,62 @@ def rank_runs(means: DataFrame, run: str = "run", score: str = "mean_score") ->
     return means.withColumn("rank", F.dense_rank().over(Window.orderBy(F.col(score).desc())))
 
 
-def _windows(steps: DataFrame, log_steps: int) -> DataFrame:
-    return steps.withColumn("log_window", F.floor((F.col("step") - 1) / log_steps).cast("bigint"))
-
-
-def rollup_mean(steps: DataFrame, metric: str, log_steps: int = K.LOG_STEPS, scale: float = 1.0) -> DataFrame:
-    """Logged value every ``log_steps`` steps: Σ(metric * scale) / log_steps over
-    the window; a partial last window is not logged (G7a; G7c with
-    ``scale = 1 / accumulation``)."""
-    w = _windows(steps, log_steps)
-    agg = w.groupBy("log_window").agg(F.count(F.lit(1)).alias("_n"),
-                                  (F.sum(F.col(metric) * F.lit(scale)) / log_steps).alias(f"avg_{metric}"))
-    return agg.where(F.col("_n") == log_steps).select(
-        "log_window", ((F.col("log_window") + 1) * log_steps).alias("step"), f"avg_{metric}")
-
-
-def rollup_preference(steps: DataFrame, log_steps: int = K.LOG_STEPS) -> DataFrame:
-    """Preference-training log (G7b). loss / reward_acc / reward_diff reset each
-    window; the two ratio sums never reset in the reference, so they are
-    cumulative sums / log_steps (kept as-is, plus the true window means). A
-    partial last window logs ``loss`` only, averaged over its own length
-    (``is_final``)."""
-    w = _windows(steps, log_steps)
-    per = w.groupBy("log_window").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.sum("loss").alias("_loss"), F.sum("reward_acc").alias("_acc"), F.sum("reward_diff").alias("_diff"),
-        F.sum("chosen_ratio").alias("_cr"), F.sum("rejected_ratio").alias("_rr"))
-    per = running_sum(per, [], "log_window", ["_cr", "_rr"], ["_cr_cum", "_rr_cum"], chunk=1024)
-    full = F.col("_n") == log_steps
+def _windows(steps: DataFrame, aggs: list, log_steps: int, run: str, step: str, first: int) -> DataFrame:
+    """One row per (run, log window): ``aggs``, the recorded steps ``_n``, and whether the
+    run went on past the window's end (``_full``). Steps may be missing, so a window is
+    judged by its run's last step, not by its count; only a run's true last window can
+    be partial."""
+    d = steps.withColumn("log_window", F.floor((F.col(step) - first) / log_steps).cast("bigint"))
+    per = d.groupBy(run, "log_window").agg(F.count(F.lit(1)).alias("_n"), F.max(step).alias("_last"), *aggs)
+    ends = d.groupBy(F.col(run).alias("_run")).agg(F.max(step).alias("_end"))
+    per = per.join(ends, F.col(run).eqNullSafe(F.col("_run"))).drop("_run")
+    return per.withColumn("_full", (F.col("log_window") + 1) * log_steps + (first - 1) <= F.col("_end"))
+
+
+def rollup_mean(steps: DataFrame, metric: str, log_steps: int = K.LOG_STEPS, scale: float = 1.0,
+                run: str = "run") -> DataFrame:
+    """Logged value of each run every ``log_steps`` steps: the mean of metric * scale
+    over the window's recorded steps; a run's partial last window is not logged (G7a;
+    G7c with ``scale = 1 / accumulation``)."""
+    per = _windows(steps, [F.sum(F.col(metric) * F.lit(scale)).alias("_sum")], log_steps, run, "step", 1)
+    return per.where("_full").select(run, "log_window", ((F.col("log_window") + 1) * log_steps).alias("step"),
+                                     (F.col("_sum") / F.col("_n")).alias(f"avg_{metric}"))
+
+
+def rollup_preference(steps: DataFrame, log_steps: int = K.LOG_STEPS, run: str = "run") -> DataFrame:
+    """Preference-training log of each run (G7b). loss / reward_acc / reward_diff reset
+    each window; the two ratio sums never reset in the reference, so they are
+    cumulative sums / log_steps (kept as-is, plus the true window means). A run's
+    partial last window logs ``loss`` only, averaged over its own steps (``is_final``)."""
+    sums = [F.sum(c).alias(a) for c, a in (("loss", "_loss"), ("reward_acc", "_acc"), ("reward_diff", "_diff"),
+                                           ("chosen_ratio", "_cr"), ("rejected_ratio", "_rr"))]
+    per = _windows(steps, sums, log_steps, run, "step", 1)
+    per = running_sum(per, [run], "log_window", ["_cr", "_rr"], ["_cr_cum", "_rr_cum"], chunk=1024)
+    full = F.col("_full")
     return per.select(
-        "log_window",
-        (F.col("log_window") * log_steps + F.col("_n")).alias("step"),
+        run, "log_window",
+        F.when(full, (F.col("log_window") + 1) * log_steps).otherwise(F.col("_last")).alias("step"),
         (F.col("_loss") / F.col("_n")).alias("loss"),
-        F.when(full, F.col("_acc") / log_steps).alias("reward_acc"),
-        F.when(full, F.col("_diff") / log_steps).alias("reward_diff"),
+        F.when(full, F.col("_acc") / F.col("_n")).alias("reward_acc"),
+        F.when(full, F.col("_diff") / F.col("_n")).alias("reward_diff"),
         F.when(full, F.col("_cr_cum") / log_steps).alias("chosen_ratio"),
         F.when(full, F.col("_rr_cum") / log_steps).alias("rejected_ratio"),
-        F.when(full, F.col("_cr") / log_steps).alias("chosen_ratio_window"),
-        F.when(full, F.col("_rr") / log_steps).alias("rejected_ratio_window"),
+        F.when(full, F.col("_cr") / F.col("_n")).alias("chosen_ratio_window"),
+        F.when(full, F.col("_rr") / F.col("_n")).alias("rejected_ratio_window"),
         (~full).alias("is_final"))
 
 
 def rollup_rl(samples: DataFrame, step_loss: DataFrame, log_steps: int = K.LOG_STEPS,
               accumulation: int = 16, step: str = "prompt_id") -> DataFrame:
-    """RL log (G7d): loss is the per-step loss / accumulation summed over the
-    window / log_steps; reward adds one mean per generation chunk, so the
-    logged value is Σ chunk means / log_steps (k/chunk times the true mean,
-    which is reported too)."""
+    """RL log (G7d): loss is the per-step loss / accumulation averaged over the
+    window's steps; reward adds one mean per generation chunk, so the logged value is
+    the mean over steps of the sum of chunk means (k/chunk times the true mean, which
+    is reported too). Only the true last window can be dropped as partial."""
     chunk_means = samples.groupBy(step, "chunk").agg(F.avg("reward").alias("_cm"))
     per_step = chunk_means.groupBy(step).agg(F.sum("_cm").alias("_rsum"), F.avg("_cm").alias("_rmean"))
-    s = per_step.join(step_loss.select(step, "loss"), step)
-    s = s.withColumn("log_window", F.floor(F.col(step) / log_steps).cast("bigint"))
-    agg = s.groupBy("log_window").agg(F.count(F.lit(1)).alias("_n"),
-                                  (F.sum(F.col("loss") / accumulation) / log_steps).alias("avg_loss"),
-                                  (F.sum("_rsum") / log_steps).alias("avg_reward"),
-                                  F.avg("_rmean").alias("mean_reward"))
-    return agg.where(F.col("_n") == log_steps).select(
-        "log_window", ((F.col("log_window") + 1) * log_steps).alias("step"), "avg_loss", "avg_reward", "mean_reward")
+    s = per_step.join(step_loss.select(step, "loss"), step).withColumn("run", F.lit(0))
+    per = _windows(s, [F.sum(F.col("loss") / accumulation).alias("_loss"), F.sum("_rsum").alias("_reward"),
+                       F.avg("_rmean").alias("mean_reward")], log_steps, "run", step, 0)
+    return per.where("_full").select("log_window", ((F.col("log_window") + 1) * log_steps).alias("step"),
+                                     (F.col("_loss") / F.col("_n")).alias("avg_loss"),
+                                     (F.col("_reward") / F.col("_n")).alias("avg_reward"), "mean_reward")

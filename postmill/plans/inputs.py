@@ -103,11 +103,12 @@ def rollouts(spark: SparkSession, sf_dir: str, k: int = 16) -> DataFrame:
 
 
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Training-step metrics from ``events`` ordered by event_id (step = id + 1).
+    """Training-step metrics from ``events``: the event type is the run, step = event_id + 1,
+    so every run has gaps and a last step of its own.
     Log and prime divisors keep window means off exact rounding ties."""
     ev = table(spark, sf_dir, "events")
     v = F.col("value")
-    return ev.select((F.col("event_id") + 1).alias("step"),
+    return ev.select(F.col("event_type").alias("run"), (F.col("event_id") + 1).alias("step"),
                      F.log(F.lit(1.0) + v).alias("loss"),
                      F.when(v > 250, 1.0).otherwise(0.0).alias("reward_acc"),
                      ((v - 250) / 97.0).alias("reward_diff"),

@@ -227,13 +227,17 @@ def loo_loss(spark, sf_dir):
 WITH d AS (SELECT doc_id, doc_id // 4 AS batch_id, {DOC_IDS} AS ids FROM documents),
 m AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch_id) AS padded_len FROM d)
 SELECT doc_id, CAST(batch_id AS BIGINT) AS batch_id, CAST(padded_len AS INTEGER) AS padded_len,
-       CAST(len(list_filter(ids, lambda x: x <> 0)) AS INTEGER) AS n_nonpad FROM m""")
+       CAST(len(list_filter(ids, lambda x: x <> 0)) AS INTEGER) AS n_nonpad,
+       array_to_string(list_concat(ids, list_transform(range(padded_len - len(ids)), lambda x: 0)), ',') AS ids,
+       array_to_string(list_concat(list_transform(ids, lambda x: CASE WHEN x <> 0 THEN 1 ELSE 0 END),
+                                   list_transform(range(padded_len - len(ids)), lambda x: 0)), ',') AS mask FROM m""")
 def batch_collate(spark, sf_dir):
     """Pad each batch to its longest row (F5) and count non-pad ids."""
     d = I.doc_tokens(spark, sf_dir).withColumn("batch_id", F.floor(F.col("doc_id") / 4).cast("bigint"))
     c = T.collate(d, "batch_id", "ids", 0)
-    return c.select("doc_id", "batch_id", "padded_len",
-                    F.size(F.filter(T.nonpad_mask("ids", 0), lambda m: m)).alias("n_nonpad"))
+    mask = T.nonpad_mask("ids", 0)
+    return c.select("doc_id", "batch_id", "padded_len", F.size(F.filter(mask, lambda m: m)).alias("n_nonpad"),
+                    _txt(F.col("ids")).alias("ids"), _txt(F.transform(mask, lambda m: m.cast("int"))).alias("mask"))
 
 
 ANS_SCORES = f"WITH a AS ({S.ANSWERS}) SELECT task_id, {S.ANSWER_SCORE} AS score FROM a"
@@ -280,42 +284,47 @@ def run_rank(spark, sf_dir):
     return r.select("run", F.round("mean_score", 6).alias("mean_score"), "rank")
 
 
-@query("log_rollup_sft", f"""
-WITH s AS ({S.STEPS}), w AS (SELECT (step - 1) // 10 AS log_window, count(*) AS n, sum(loss) / 10 AS avg_loss FROM s GROUP BY 1)
-SELECT CAST(log_window AS BIGINT) AS log_window, (log_window + 1) * 10 AS step, round(avg_loss, 6) AS avg_loss FROM w WHERE n = 10""")
+def _mean_rollup_sql(scale: str) -> str:
+    return f"""
+WITH s AS ({S.STEPS}), e AS (SELECT run, max(step) AS last_step FROM s GROUP BY 1),
+w AS (SELECT run, (step - 1) // 10 AS log_window, avg(loss * {scale}) AS avg_loss FROM s GROUP BY 1, 2)
+SELECT w.run, CAST(log_window AS BIGINT) AS log_window, (log_window + 1) * 10 AS step, round(avg_loss, 6) AS avg_loss
+FROM w JOIN e ON w.run = e.run WHERE (log_window + 1) * 10 <= last_step"""
+
+
+@query("log_rollup_sft", _mean_rollup_sql("1.0"))
 def log_rollup_sft(spark, sf_dir):
-    """Supervised-training log: mean loss every 10 steps."""
+    """Supervised-training log: mean loss of each run every 10 steps."""
     r = EV.rollup_mean(I.steps(spark, sf_dir), "loss")
-    return r.select("log_window", "step", F.round("avg_loss", 6).alias("avg_loss"))
+    return r.select("run", "log_window", "step", F.round("avg_loss", 6).alias("avg_loss"))
 
 
-@query("log_rollup_rm", f"""
-WITH s AS ({S.STEPS}), w AS (SELECT (step - 1) // 10 AS log_window, count(*) AS n, sum(loss * (1.0 / 16)) / 10 AS avg_loss FROM s GROUP BY 1)
-SELECT CAST(log_window AS BIGINT) AS log_window, (log_window + 1) * 10 AS step, round(avg_loss, 6) AS avg_loss FROM w WHERE n = 10""")
+@query("log_rollup_rm", _mean_rollup_sql("(1.0 / 16)"))
 def log_rollup_rm(spark, sf_dir):
     """Reward-model log: loss already divided by 16 accumulation steps."""
     r = EV.rollup_mean(I.steps(spark, sf_dir), "loss", scale=1.0 / 16)
-    return r.select("log_window", "step", F.round("avg_loss", 6).alias("avg_loss"))
+    return r.select("run", "log_window", "step", F.round("avg_loss", 6).alias("avg_loss"))
 
 
 @query("log_rollup_pref", f"""
-WITH s AS ({S.STEPS}),
-w AS (SELECT (step - 1) // 10 AS log_window, count(*) AS n, sum(loss) AS l, sum(reward_acc) AS a, sum(reward_diff) AS d,
-             sum(chosen_ratio) AS c, sum(rejected_ratio) AS r FROM s GROUP BY 1),
-cw AS (SELECT *, sum(c) OVER (ORDER BY log_window ROWS UNBOUNDED PRECEDING) AS cc,
-              sum(r) OVER (ORDER BY log_window ROWS UNBOUNDED PRECEDING) AS rc FROM w)
-SELECT CAST(log_window AS BIGINT) AS log_window, log_window * 10 + n AS step, round(l / n, 6) AS loss,
-       CASE WHEN n = 10 THEN round(a / 10, 6) END AS reward_acc, CASE WHEN n = 10 THEN round(d / 10, 6) END AS reward_diff,
-       CASE WHEN n = 10 THEN round(cc / 10, 6) END AS chosen_ratio, CASE WHEN n = 10 THEN round(rc / 10, 6) END AS rejected_ratio,
-       CASE WHEN n = 10 THEN round(c / 10, 6) END AS chosen_ratio_window,
-       CASE WHEN n = 10 THEN round(r / 10, 6) END AS rejected_ratio_window, n <> 10 AS is_final
+WITH s AS ({S.STEPS}), e AS (SELECT run, max(step) AS last_step FROM s GROUP BY 1),
+w AS (SELECT run, (step - 1) // 10 AS log_window, count(*) AS n, sum(loss) AS l, sum(reward_acc) AS a, sum(reward_diff) AS d,
+             sum(chosen_ratio) AS c, sum(rejected_ratio) AS r FROM s GROUP BY 1, 2),
+cw AS (SELECT w.*, last_step, (log_window + 1) * 10 <= last_step AS f,
+              sum(c) OVER (PARTITION BY w.run ORDER BY log_window ROWS UNBOUNDED PRECEDING) AS cc,
+              sum(r) OVER (PARTITION BY w.run ORDER BY log_window ROWS UNBOUNDED PRECEDING) AS rc FROM w JOIN e ON w.run = e.run)
+SELECT run, CAST(log_window AS BIGINT) AS log_window, CASE WHEN f THEN (log_window + 1) * 10 ELSE last_step END AS step,
+       round(l / n, 6) AS loss, CASE WHEN f THEN round(a / n, 6) END AS reward_acc, CASE WHEN f THEN round(d / n, 6) END AS reward_diff,
+       CASE WHEN f THEN round(cc / 10, 6) END AS chosen_ratio, CASE WHEN f THEN round(rc / 10, 6) END AS rejected_ratio,
+       CASE WHEN f THEN round(c / n, 6) END AS chosen_ratio_window,
+       CASE WHEN f THEN round(r / n, 6) END AS rejected_ratio_window, NOT f AS is_final
 FROM cw""")
 def log_rollup_pref(spark, sf_dir):
     """Preference-training log with the never-reset ratio sums kept as-is."""
     r = EV.rollup_preference(I.steps(spark, sf_dir))
     cols = ["loss", "reward_acc", "reward_diff", "chosen_ratio", "rejected_ratio",
             "chosen_ratio_window", "rejected_ratio_window"]
-    return r.select("log_window", "step", *_r6(*cols), "is_final")
+    return r.select("run", "log_window", "step", *_r6(*cols), "is_final")
 
 
 @query("log_rollup_rl", f"""
@@ -324,10 +333,10 @@ pl AS (SELECT prompt_id, -avg(advantage * seq_lp) AS loss FROM a GROUP BY 1),
 c AS (SELECT prompt_id, sample_idx // 2 AS chunk, avg(reward) AS cm FROM a GROUP BY 1, 2),
 ps AS (SELECT prompt_id, sum(cm) AS rs, avg(cm) AS rm FROM c GROUP BY 1),
 s AS (SELECT ps.prompt_id, rs, rm, loss, ps.prompt_id // 10 AS log_window FROM ps JOIN pl ON ps.prompt_id = pl.prompt_id),
-w AS (SELECT log_window, count(*) AS n, sum(loss / 16) / 10 AS avg_loss, sum(rs) / 10 AS avg_reward, avg(rm) AS mean_reward
-      FROM s GROUP BY 1)
+w AS (SELECT log_window, avg(loss / 16) AS avg_loss, avg(rs) AS avg_reward, avg(rm) AS mean_reward FROM s GROUP BY 1)
 SELECT CAST(log_window AS BIGINT) AS log_window, (log_window + 1) * 10 AS step, round(avg_loss, 6) AS avg_loss,
-       round(avg_reward, 6) AS avg_reward, round(mean_reward, 6) AS mean_reward FROM w WHERE n = 10""")
+       round(avg_reward, 6) AS avg_reward, round(mean_reward, 6) AS mean_reward FROM w
+WHERE (log_window + 1) * 10 - 1 <= (SELECT max(prompt_id) FROM s)""")
 def log_rollup_rl(spark, sf_dir):
     """RL log: loss / accumulation and the chunk-summed reward per 10 steps (G7d)."""
     r = EN.samples_per_prompt(I.rollouts(spark, sf_dir))

@@ -82,6 +82,6 @@ FROM embeddings"""
 ROLLOUTS = """SELECT event_id, CAST(floor(event_id / 16) AS BIGINT) AS prompt_id, event_id % 16 AS sample_idx,
        ln(1 + value) AS reward, -(user_id % 17) / CAST(4 AS DOUBLE) AS seq_lp FROM events"""
 
-STEPS = """SELECT event_id + 1 AS step, ln(1 + value) AS loss,
+STEPS = """SELECT event_type AS run, event_id + 1 AS step, ln(1 + value) AS loss,
        CAST(CASE WHEN value > 250 THEN 1 ELSE 0 END AS DOUBLE) AS reward_acc, (value - 250) / 97.0 AS reward_diff,
        value / 89.0 AS chosen_ratio, -value / 83.0 AS rejected_ratio FROM events"""
