@@ -3,10 +3,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from postmill import constants as K
-from postmill.functions.answer import extract_solution, score_answers, validate_equation
+from postmill.functions.answer import evaluate, extract_solution, score_answers, validate_equation
 from postmill.functions.text import py_strip
 from postmill.operators import countdown as CD
 from postmill.operators.sample import first_n, last_n
@@ -210,3 +212,38 @@ def last_n_tasks(spark, sf_dir):
     """Evaluation slice: the last 2,000 tasks by id, with prompts."""
     t = last_n(I.tasks(spark, sf_dir), K.EVAL_LAST_N, "task_id")
     return t.select("task_id", CD.countdown_prompt().alias("prompt"))
+
+
+# Arithmetic forms by task_id % 12: (text in Spark and SQL pieces, value in SQL).
+ARITHMETIC = (
+    ("({a} + {b}) * {c}", "(a + b) * c"), ("{a} / {b}", "a / b"), ("{a} // {b}", "floor(a / b)"), ("{a} ** 2", "a * a"),
+    ("-{a} + {b}", "b - a"), ("{a}.25 - {b} * .5", "a + 0.25 - b * 0.5"), ("05 + {a}", None), ("{a} / ({b} - {b})", None),
+    ("{a} - ({b} - ({c} / 4))", "a - (b - c / 4)"), ("2 ** -1 * {a}", "a / 2"), ("{a} // -{b}", "floor(a / -b)"), ("(({a}) + {b}", None),
+)
+
+
+def _arithmetic_sql() -> str:
+    text = " ".join(f"WHEN {k} THEN " + " || ".join(f"'{p}'" if i % 2 == 0 else f"CAST({p} AS VARCHAR)" for i, p in enumerate(_pieces(t)))
+                    for k, (t, _) in enumerate(ARITHMETIC))
+    value = " ".join(f"WHEN {k} THEN {v or 'NULL'}" for k, (_, v) in enumerate(ARITHMETIC))
+    return f"""WITH t AS (SELECT task_id, n1, n2, n3, CAST(n1 AS DOUBLE) AS a, CAST(n2 AS DOUBLE) AS b, CAST(n3 AS DOUBLE) AS c FROM ({S.TASKS}))
+SELECT task_id, CASE task_id % {len(ARITHMETIC)} {text} END AS equation,
+       round(CAST(CASE task_id % {len(ARITHMETIC)} {value} END AS DOUBLE), 6) AS value FROM t"""
+
+
+def _pieces(form: str) -> list[str]:
+    """Literal and number-column pieces in turn."""
+    return re.split(r"\{(n\d)\}", form.replace("{a}", "{n1}").replace("{b}", "{n2}").replace("{c}", "{n3}"))
+
+
+@query("answer_arithmetic", _arithmetic_sql())
+def answer_arithmetic(spark, sf_dir):
+    """The evaluator on parentheses, every operator, unary signs, decimals, leading zeros,
+    division by zero and unbalanced text (D3); the oracle computes from the numbers."""
+    t = I.tasks(spark, sf_dir)
+    form = F.col("task_id") % len(ARITHMETIC)
+    number = {f"n{i}": F.element_at("nums", i).cast("string") for i in (1, 2, 3)}
+    equation = F.coalesce(*[F.when(form == k, F.concat(*[number.get(p, F.lit(p)) for p in _pieces(text)]))
+                            for k, (text, _) in enumerate(ARITHMETIC)])
+    t = t.select("task_id", equation.alias("equation"))
+    return t.select("task_id", "equation", F.round(evaluate("equation"), 6).alias("value"))

@@ -133,3 +133,19 @@ FROM o WHERE role = 'assistant'""")
 def assistant_spans(spark, sf_dir):
     """Character spans of assistant messages in the rendered string."""
     return C.assistant_spans(table(spark, sf_dir, "conversations"))
+
+
+@query("nested_first_turns", f"""
+WITH c AS (SELECT conv_id, list({{'turn': turn, 'role': role, 'text': text}} ORDER BY turn) AS m FROM conversations GROUP BY conv_id),
+f AS (SELECT conv_id, list_filter(m, lambda x: x.role = 'user') AS u, list_filter(m, lambda x: x.role = 'assistant') AS a FROM c)
+SELECT conv_id, u[1].text AS user_text, a[1].text AS assistant_text,
+       CAST(coalesce(list_sum(list_transform(u, lambda x: len(string_split(x.text, ' ')))), 0) AS INTEGER) AS user_words
+FROM f""")
+def nested_first_turns(spark, sf_dir):
+    """First user and assistant message of nested ``messages`` arrays, and the words of
+    all user messages (B3 nested form, C1). One row is one conversation, as stored."""
+    t = table(spark, sf_dir, "conversations")
+    m = t.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("messages"))
+    return m.select("conv_id", C.first_message("messages", "user")["content"].alias("user_text"),
+                    C.first_message("messages", "assistant")["content"].alias("assistant_text"),
+                    C.role_words("messages", ["user"]).alias("user_words"))

@@ -16,6 +16,7 @@ from postmill.operators.sample import seeded_sample as _seeded_sample
 from postmill.plans import inputs as I
 from postmill.plans import sqlbits as S
 from postmill.plans.registry import query
+from postmill.sources.io import parse_array_lines
 from postmill.sources.tables import table
 
 NL = "chr(10)"
@@ -209,3 +210,28 @@ def union_sources(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.lit("documents").alias("source"), F.col("doc_id").alias("id"), "text")
     b = table(spark, sf_dir, "benchmark").select(F.lit("benchmark").alias("source"), F.col("item_id").alias("id"), "text")
     return d.unionByName(b).select("source", "id", F.length("text").alias("n_chars"))
+
+
+@query("json_array_rows", """
+WITH e AS (SELECT event_id, CASE WHEN event_id % 11 = 3 THEN '{"k": ' ELSE props END AS body FROM events)
+SELECT event_id, TRY_CAST(CASE WHEN json_valid(body) THEN json_extract_string(body, '$.k') END AS BIGINT) AS k,
+       NOT json_valid(body) AS rejected FROM e""")
+def json_array_rows(spark, sf_dir):
+    """Elements of a JSON array, one a line, with an explicit schema; elements that do
+    not parse are kept as rejects (A1, A2)."""
+    body = F.when(F.col("event_id") % 11 == 3, '{"k": ').otherwise(F.col("props"))
+    lines = table(spark, sf_dir, "events").select("event_id", F.concat(
+        F.when(F.col("event_id") == 0, "[ ").otherwise("  "), body, F.lit(" ,")).alias("line"))
+    r = parse_array_lines(lines, "line", "k bigint")
+    return r.select("event_id", F.when(~F.col("rejected"), F.col("row.k")).alias("k"), "rejected")
+
+
+@query("reward_requests", """
+WITH r AS (SELECT item_id, 'good' AS variant, text, 'good: ' || text AS response FROM benchmark
+           UNION ALL SELECT item_id, 'bad', text, 'bad: ' || text FROM benchmark)
+SELECT item_id, variant, '[{"role":"user","content":' || to_json(text) || '},{"role":"assistant","content":' || to_json(response)
+       || '}]' AS request FROM r""")
+def reward_requests(spark, sf_dir):
+    """Reward-model requests as JSON text, one line per recorded response."""
+    r = I.recorded_responses(spark, sf_dir).join(table(spark, sf_dir, "benchmark"), "item_id")
+    return r.select("item_id", "variant", F.to_json(EN.reward_request("text", "response")).alias("request"))

@@ -32,11 +32,30 @@ SCHEMAS = {
 
 
 def read_json_array(spark: SparkSession, paths: str | Sequence[str], schema: str) -> DataFrame:
-    """One or more JSON-array files, concatenated with duplicates kept (A1)."""
+    """One or more JSON-array files of any layout, concatenated with duplicates kept (A1).
+    A file is one task; ``read_json_array_lines`` splits files with one element a line."""
     ps = [paths] if isinstance(paths, str) else list(paths)
     return spark.read.schema(schema).option("multiLine", True).json(ps)
 
 
+def parse_array_lines(lines: DataFrame, line: str, schema: str) -> DataFrame:
+    """Rows of a JSON array written one element a line: brackets, commas and blank lines
+    go, the rest is parsed into ``row``; what does not parse has ``rejected`` set (A1)."""
+    text = F.regexp_replace(F.btrim(F.col(line)), r"^\[\s*|\s*\]$", "")
+    d = lines.withColumn("_text", F.btrim(F.regexp_replace(text, r"\s*,$", ""))).where(F.length("_text") > 0)
+    fields = d.withColumn("row", F.from_json("_text", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"}))
+    return fields.withColumn("rejected", F.col("row").isNull() | F.col("row._bad").isNotNull()).drop("_text")
+
+
+def read_json_array_lines(spark: SparkSession, paths: str | Sequence[str], schema: str) -> DataFrame:
+    """JSON-array files with one element a line, split across tasks like any text (A1).
+    Bad elements are kept as rows with ``rejected`` set."""
+    ps = [paths] if isinstance(paths, str) else list(paths)
+    names = spark.createDataFrame([], schema).columns
+    out = parse_array_lines(spark.read.text(ps), "value", schema)
+    return out.select(*[F.col("row")[n].alias(n) for n in names], "rejected")
+
+
 def read_json_lines(spark: SparkSession, path: str | Sequence[str], schema: str, mode: str = "PERMISSIVE",
                     corrupt_col: str | None = None) -> DataFrame:
     """JSON lines, one object per non-blank line (A2). With ``corrupt_col`` bad

@@ -71,3 +71,12 @@ def test_corrupt_json_lines_are_kept_not_fatal(spark, tmpdir_path):
     assert len(rows) == 3
     assert sum(r._corrupt is not None for r in rows) == 1
     assert sorted(r.prompt for r in rows if r.prompt) == ["fine", "ok"]
+
+
+def test_array_lines_split_and_keep_rejects(spark, tmpdir_path):
+    path = f"{tmpdir_path}/a.json"
+    with open(path, "w") as f:
+        f.write('[\n  {"nums": [1, 2], "target": 3},\n\n{"nums": [4], "target": 4} ,\n{"nums": [9],\n{"nums": [5], "target": 5}]\n')
+    got = IO.read_json_array_lines(spark, path, IO.SCHEMAS["countdown_task"]).collect()
+    assert [(r.nums, r.target) for r in got if not r.rejected] == [([1, 2], 3), ([4], 4), ([5], 5)]
+    assert sum(r.rejected for r in got) == 1
