@@ -8,8 +8,6 @@ an absent one costing the whole profile length.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,67 +17,65 @@ from pyspark.sql import types as T
 
 from postmill.llm.common import slices
 
-ORDERS = (1, 2, 3)
 PROFILE = 400     # n-grams of a profile
 BUCKETS = 32      # of the first of two top-k steps, so that no task ranks a whole language
-CACHE = 100_000
 UNKNOWN = "und"
-WORD = re.compile(r"[^\W\d_]+")
+BLANK = 32
+BITS = 21         # of a code point in a packed n-gram
 
+_letters: list[np.ndarray] = []
 
-def word_grams(word: str) -> list[str]:
-    """N-grams of a word with a blank at both ends; the lone blank is none."""
-    padded = f" {word} "
-    return [padded[i:i + n] for n in ORDERS for i in range(len(padded) - n + 1) if n > 1 or padded[i] != " "]
 
+def letters() -> np.ndarray:
+    """Whether each code point is a letter."""
+    if not _letters:
+        _letters.append(np.array([chr(c).isalpha() for c in range(0x110000)]))
+    return _letters[0]
 
-class GramCounter:
-    """Counts n-grams by way of distinct words, whose n-grams are kept."""
 
-    def __init__(self):
-        self.words: dict[str, list[str]] = {}
+def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct letter n-grams (n = 1, 2, 3) of a text in order, and their counts.
 
-    def count(self, words: Counter) -> dict[str, int]:
-        out: dict[str, int] = {}
-        get, known = out.get, self.words
-        for w, n in words.items():
-            grams = known.get(w)
-            if grams is None:
-                if len(known) >= CACHE:
-                    known.clear()
-                grams = known[w] = word_grams(w)
-            for g in grams:
-                out[g] = get(g, 0) + n
-        return out
+    Letters are lower-cased; everything else is one blank between words and at both
+    ends. N-grams lie inside a word with its two blanks; the lone blank is none. An
+    n-gram is its code points, BITS each, in one integer: shorter ones come first.
+    """
+    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    codes = np.concatenate([[BLANK], np.where(letters()[codes], codes, BLANK), [BLANK]])
+    blank = codes == BLANK
+    s = codes[np.concatenate([[True], ~(blank[1:] & blank[:-1])])]
+    if len(s) < 3:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    two = s[:-1] << BITS | s[1:]
+    three = (two[:-1] << BITS | s[2:])[s[1:-1] != BLANK]
+    every = np.sort(np.concatenate([s[s != BLANK], two, three]))
+    at = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1], [True]]))
+    return every[at[:-1]], np.diff(at)
 
 
-def ranked(counts: dict[str, int], k: int) -> list[str]:
-    """The k most frequent n-grams, ties in code-point order."""
-    order = sorted(counts)
-    order.sort(key=counts.get, reverse=True)
-    return order[:k]
+def ranked(text: str, k: int) -> np.ndarray:
+    """The k most frequent n-grams of a text, ties in their order."""
+    keys, counts = grams(text)
+    return keys[np.argsort(-counts, kind="stable")[:k]]
 
 
 class Profiles:
     """Ranks of every profile n-gram in every language, and the distance of texts to them."""
 
-    def __init__(self, by_lang: dict[str, list[str]], k: int = PROFILE):
+    def __init__(self, by_lang: dict[str, list[int]], k: int = PROFILE):
         self.langs, self.k = sorted(by_lang), k
-        grams = sorted({g for p in by_lang.values() for g in p})
-        self.row = {g: i for i, g in enumerate(grams)}
-        self.rank = np.full((len(grams) + 1, len(self.langs)), -1, np.int32)
+        self.keys = np.array(sorted({g for p in by_lang.values() for g in p}) + [2**63 - 1], np.int64)
+        self.rank = np.full((len(self.keys), len(self.langs)), -1, np.int64)
         for col, lang in enumerate(self.langs):
-            for place, g in enumerate(by_lang[lang]):
-                self.rank[self.row[g], col] = place
+            self.rank[np.searchsorted(self.keys, by_lang[lang]), col] = np.arange(len(by_lang[lang]))
 
-    def predict(self, text: str | None, counter: GramCounter) -> tuple[str, float]:
-        words = Counter(WORD.findall(text.lower())) if text else None
-        if not words or not self.langs:
+    def predict(self, text: str | None) -> tuple[str, float]:
+        own = ranked(text, self.k) if text and self.langs else ()
+        if not len(own):
             return UNKNOWN, 0.0
-        own = ranked(counter.count(words), self.k)
-        get, absent = self.row.get, len(self.rank) - 1
-        places = self.rank[[get(g, absent) for g in own]]
-        far = np.where(places < 0, self.k, np.abs(places - np.arange(len(own), dtype=np.int32)[:, None])).sum(axis=0)
+        row = np.searchsorted(self.keys, own)
+        places = np.where((self.keys[row] == own)[:, None], self.rank[row], -1)
+        far = np.where(places < 0, self.k, np.abs(places - np.arange(len(own))[:, None])).sum(axis=0)
         best = int(far.argmin())
         return self.langs[best], 1.0 - float(far[best]) / (self.k * len(own))
 
@@ -94,19 +90,18 @@ def learn_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
         docs[lang_col].cast("string").alias("lang"), docs[text_col].cast("string").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = GramCounter()
         for batch in batches:
             for start, size in slices(batch.column(1)):
                 part = batch.slice(start, size)
-                words: dict[str, Counter] = {}
+                texts: dict[str, list[str]] = {}
                 for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    words.setdefault(lang, Counter()).update(WORD.findall(text.lower()))
-                for lang, own in words.items():
-                    grams = counter.count(own)
-                    yield pa.RecordBatch.from_pydict({"lang": [lang] * len(grams), "gram": list(grams), "n": list(grams.values())},
-                                                     schema=pa.schema([("lang", pa.string()), ("gram", pa.string()), ("n", pa.int64())]))
+                    texts.setdefault(lang, []).append(text)
+                for lang, own in texts.items():
+                    keys, counts = grams("\n".join(own))
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys), pa.array(counts.astype(np.int64))],
+                                                     names=["lang", "gram", "n"])
 
-    counts = src.mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = src.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     first = Window.partitionBy("lang", "bucket").orderBy(F.desc("n"), "gram")
     top = (counts.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(BUCKETS))).withColumn("place", F.row_number().over(first))
            .filter(f"place <= {k}").withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")))
@@ -129,11 +124,11 @@ def predict_langs(docs: DataFrame, profiles: Profiles, text_col: str = "text", k
                            T.StructField("score", T.DoubleType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, counter, n = shared.value, GramCounter(), len(keep)
+        model, n = shared.value, len(keep)
         for batch in batches:
             for start, size in slices(batch.column(n)):
                 part = batch.slice(start, size)
-                got = [model.predict(t, counter) for t in part.column(n).to_pylist()]
+                got = [model.predict(t) for t in part.column(n).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], pa.array([x for x, _ in got], pa.string()),
                                                   pa.array([x for _, x in got], pa.float64())], names=schema.names)
 

@@ -1,5 +1,8 @@
+import re
 from collections import Counter
 
+import pytest
+
 from postmill.llm import langid as G
 from postmill.llm.queries import QUERIES
 from tests.conftest import SF_CHECK
@@ -15,26 +18,49 @@ def test_query_predicts_held_out_documents(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
-def brute_distance(text, profile, k):
-    grams = Counter()
-    for w in G.WORD.findall(text.lower()):
+def unpack(key):
+    out = ""
+    while key:
+        key, c = divmod(key, 1 << G.BITS)
+        out = chr(c) + out
+    return out
+
+
+def brute_counts(text):
+    counts = Counter()
+    for w in re.findall(r"[^\W\d_]+", text.lower()):
         p = f" {w} "
-        grams.update(g for n in G.ORDERS for i in range(len(p) - n + 1) if (g := p[i:i + n]) != " ")
-    own = [g for g, _ in sorted(grams.items(), key=lambda x: (-x[1], x[0]))][:k]
+        counts.update(g for n in (1, 2, 3) for i in range(len(p) - n + 1) if (g := p[i:i + n]) != " ")
+    return counts
+
+
+def brute_distance(text, profile, k):
+    counts = brute_counts(text)
+    own = sorted(counts, key=lambda g: (-counts[g], len(g), g))[:k]
     return sum(abs(i - profile.index(g)) if g in profile else k for i, g in enumerate(own)) / (k * len(own))
 
 
+@pytest.mark.parametrize("text", ["", " ", "a", "The cat's 2 hats_and ÉTÉ!\nx", "日本 語", "aa aa  b\tc", "ﬁ İ ΑΣ 🙂 z"])
+def test_grams_match_brute_force(text):
+    keys, counts = G.grams(text)
+    assert {unpack(k): c for k, c in zip(keys.tolist(), counts.tolist())} == brute_counts(text)
+    assert list(keys) == sorted(keys)
+
+
 def test_profiles_and_distances_match_brute_force(spark):
     rows = [(1, "the cat sat on the mat", "en"), (2, "le chat est sur la table", "fr"), (3, "the dog", "en"), (4, "x", None), (5, None, "en")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     p = G.learn_profiles(docs, k=30)
     assert p.langs == ["en", "fr"]
-    prof = {lang: [g for g, i in sorted(((g, p.rank[r, c]) for g, r in p.row.items()), key=lambda x: x[1]) if i >= 0] for c, lang in enumerate(p.langs)}
-    assert all(len(v) <= 30 for v in prof.values())
-    counter = G.GramCounter()
+    prof = {}
+    for c, lang in enumerate(p.langs):
+        places = sorted((int(p.rank[r, c]), unpack(int(k))) for r, k in enumerate(p.keys) if p.rank[r, c] >= 0)
+        prof[lang] = [g for _, g in places]
+        counts = brute_counts(" ".join(t for _, t, x in rows if x == lang and t))
+        assert prof[lang] == sorted(counts, key=lambda g: (-counts[g], len(g), g))[:30]
     for text in ("the cat", "la table", "zzz"):
         want = min((brute_distance(text, prof[x], 30), x) for x in p.langs)
-        lang, score = p.predict(text, counter)
+        lang, score = p.predict(text)
         assert lang == want[1] and abs(score - (1 - want[0])) < 1e-12
 
 
