@@ -175,7 +175,8 @@ def nearest(table: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_i
     candidates gets all of them. A row repeated as it is counts once.
     """
     vectors = B.clean(table, id_col, vec_col, integers=False, zero=False)
-    size = vectors.agg(F.count("*").alias("n"), F.max("length").alias("m"), F.max(F.length("vec") / 8).alias("dim")).first()
+    size = vectors.agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("queries"), F.max("length").alias("m"),
+                       F.max(F.length("vec") / 8).alias("dim")).first()
     if not size["n"]:
         return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     proj = Projection(int(size["dim"]), size["m"])
@@ -187,7 +188,7 @@ def nearest(table: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_i
     order = ("cell", F.xxhash64("vec_id"), "vec_id", "vec")
     placed = in_cells(vectors, proj, tree).repartitionByRange(n, *order).sortWithinPartitions(*order)
     blocks = checkpointed(B.pack(placed, B.BLOCK_ROWS, lambda x: kd_order(proj.vectors(x))))
-    queries = checkpointed(B.query_blocks(vectors, every))
+    queries = checkpointed(B.query_blocks(vectors, every, size["queries"]))
     head = blocks.orderBy(F.desc(F.length("ids")), "block").limit(1).collect()[0]
     hits = B.search(queries, blocks, head, searcher(proj, k, confidence), k, "double")
     return B.ranked(hits, k)

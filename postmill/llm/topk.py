@@ -92,10 +92,11 @@ def exact_top_k(table: DataFrame, k: int = 5, every: int = 50, id_col: str = "ve
     """
     vectors = B.clean(table, id_col, vec_col, integers=True, zero=True)
     turn = rotation(vectors)
-    n = max(1, -(-vectors.count() // B.BLOCK_ROWS))
+    size = vectors.agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("queries")).first()
+    n = max(1, -(-size["n"] // B.BLOCK_ROWS))
     order = (F.desc("length"), "vec_id", "vec")
     blocks = checkpointed(B.pack(vectors.repartitionByRange(n, *order).sortWithinPartitions(*order), B.BLOCK_ROWS))
-    queries = checkpointed(B.query_blocks(vectors, every))
+    queries = checkpointed(B.query_blocks(vectors, every, size["queries"]))
     head = blocks.orderBy("block").limit(1).collect()
     if not head:
         return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")

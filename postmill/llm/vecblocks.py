@@ -97,10 +97,10 @@ def pack(rows: DataFrame, size: int, arrange: Callable[[np.ndarray], np.ndarray]
     return rows.select("vec_id", "vec").mapInArrow(run, BLOCK)
 
 
-def query_blocks(vectors: DataFrame, every: int) -> DataFrame:
-    """Blocks of the rows whose id is divisible by ``every``."""
+def query_blocks(vectors: DataFrame, every: int, count: int) -> DataFrame:
+    """Blocks of the ``count`` rows whose id is divisible by ``every``, full ones as far as possible."""
     chosen = vectors.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "vec"])
-    return pack(chosen, QUERY_ROWS)
+    return pack(chosen.coalesce(max(1, count // QUERY_ROWS)), QUERY_ROWS)
 
 
 def best_rows(q: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
