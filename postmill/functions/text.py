@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 # FIXED VALUES: the code points Python treats as whitespace.
 PY_WS = r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+# The same code points as characters, for trims.
+PY_WS_CHARS = "".join(chr(c) for c in (*range(0x09, 0x0e), *range(0x1c, 0x21), 0x85, 0xa0, 0x1680, *range(0x2000, 0x200b),
+                                       0x2028, 0x2029, 0x202f, 0x205f, 0x3000))
 # FIXED VALUES: preference-corpus character whitelist, letters/digits/whitespace plus .,!?;:'"()-
 CHARSET_CLASS = "A-Za-z0-9" + PY_WS + r""".,!?;:'"()\-"""
 
@@ -20,8 +23,8 @@ def _c(x) -> Column:
 
 
 def py_strip(x) -> Column:
-    """``str.strip()`` with no argument."""
-    return F.regexp_replace(_c(x), rf"\A[{PY_WS}]+|[{PY_WS}]+\z", "")
+    """``str.strip()`` with no argument, in time linear in the text."""
+    return F.btrim(_c(x), F.lit(PY_WS_CHARS))
 
 
 def is_blank(x) -> Column:

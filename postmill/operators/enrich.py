@@ -1,8 +1,7 @@
 """Enrichment with recorded model outputs (H1-H4).
 
 Generation and reward models are not Spark work; their outputs enter as
-recorded tables and are attached with equi-joins. A user batch function can be
-plugged in with ``mapInPandas`` (:func:`generate_with`)."""
+recorded tables and are attached with equi-joins."""
 
 from __future__ import annotations
 
@@ -59,9 +58,3 @@ def label_pairs(pairs: DataFrame, replies: DataFrame, key: str, side_keys=("chos
 def samples_per_prompt(df: DataFrame, idx: str = "sample_idx", chunk: int = K.GEN_CHUNK) -> DataFrame:
     """k responses per prompt as rows; ``chunk`` is the generation chunk (H4)."""
     return df.withColumn("chunk", F.floor(F.col(idx) / chunk).cast("bigint"))
-
-
-def generate_with(df: DataFrame, fn, schema: str) -> DataFrame:
-    """Plug a user batch function (pandas DataFrame -> pandas DataFrame, e.g. a
-    local model) in as a per-partition step (H1 hook)."""
-    return df.mapInPandas(lambda it: (fn(pdf) for pdf in it), schema)

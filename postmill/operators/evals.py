@@ -79,17 +79,15 @@ def rollup_preference(steps: DataFrame, log_steps: int = K.LOG_STEPS, run: str =
         (~full).alias("is_final"))
 
 
-def rollup_rl(samples: DataFrame, step_loss: DataFrame, log_steps: int = K.LOG_STEPS,
-              accumulation: int = 16, step: str = "prompt_id") -> DataFrame:
-    """RL log (G7d): loss is the per-step loss / accumulation averaged over the
-    window's steps; reward adds one mean per generation chunk, so the logged value is
-    the mean over steps of the sum of chunk means (k/chunk times the true mean, which
-    is reported too). Only the true last window can be dropped as partial."""
-    chunk_means = samples.groupBy(step, "chunk").agg(F.avg("reward").alias("_cm"))
-    per_step = chunk_means.groupBy(step).agg(F.sum("_cm").alias("_rsum"), F.avg("_cm").alias("_rmean"))
-    s = per_step.join(step_loss.select(step, "loss"), step).withColumn("run", F.lit(0))
-    per = _windows(s, [F.sum(F.col("loss") / accumulation).alias("_loss"), F.sum("_rsum").alias("_reward"),
-                       F.avg("_rmean").alias("mean_reward")], log_steps, "run", step, 0)
+def rollup_rl(prompts: DataFrame, log_steps: int = K.LOG_STEPS, accumulation: int = 16,
+              step: str = "prompt_id") -> DataFrame:
+    """RL log (G7d) from ``losses.loo_prompts``: loss is the per-step loss / accumulation
+    averaged over the window's steps; reward adds one mean per generation chunk, so the
+    logged value is the mean over steps of the sum of chunk means (k/chunk times the
+    true mean, which is reported too). Only the true last window can be dropped."""
+    per = _windows(prompts.withColumn("run", F.lit(0)),
+                   [F.sum(F.col("loss") / accumulation).alias("_loss"), F.sum("reward_chunk_sum").alias("_reward"),
+                    F.avg("reward_chunk_mean").alias("mean_reward")], log_steps, "run", step, 0)
     return per.where("_full").select("log_window", ((F.col("log_window") + 1) * log_steps).alias("step"),
                                      (F.col("_loss") / F.col("_n")).alias("avg_loss"),
                                      (F.col("_reward") / F.col("_n")).alias("avg_reward"), "mean_reward")

@@ -69,7 +69,17 @@ def leave_one_out(samples: DataFrame, prompt: str = "prompt_id", reward: str = "
     return out.withColumn("baseline", base).withColumn("advantage", F.col(reward) - F.col("baseline")).drop("_sum")
 
 
-def loo_loss(adv: DataFrame, prompt: str = "prompt_id", lp: str = "seq_lp") -> DataFrame:
-    """-mean(advantage * log-prob) per prompt."""
-    return adv.groupBy(prompt).agg(F.first("k").alias("k"),
-                                   (-F.avg(F.col("advantage") * F.col(lp))).alias("loss"))
+def loo_prompts(samples: DataFrame, prompt: str = "prompt_id", reward: str = "reward", lp: str = "seq_lp",
+                chunk: str = "chunk") -> DataFrame:
+    """Per prompt in one pass (G5): ``k``, the leave-one-out loss -mean(advantage *
+    log-prob), and the sum and mean of its generation chunks' mean rewards. With S the
+    reward sum, advantage = (k r - S) / (k - 1), so the loss needs only sums; k = 1
+    gives NULL."""
+    per = samples.groupBy(prompt, chunk).agg(
+        F.count(F.lit(1)).alias("_k"), F.sum(reward).alias("_r"), F.sum(lp).alias("_lp"),
+        F.sum(F.col(reward) * F.col(lp)).alias("_rlp"), F.avg(reward).alias("_cm"))
+    t = per.groupBy(prompt).agg(F.sum("_k").alias("k"), F.sum("_r").alias("_s"), F.sum("_lp").alias("_lp"),
+                                F.sum("_rlp").alias("_rlp"), F.sum("_cm").alias("reward_chunk_sum"),
+                                F.avg("_cm").alias("reward_chunk_mean"))
+    loss = -F.try_divide(F.col("k") * F.col("_rlp") - F.col("_s") * F.col("_lp"), (F.col("k") * (F.col("k") - 1)).cast("double"))
+    return t.select(prompt, "k", loss.alias("loss"), "reward_chunk_sum", "reward_chunk_mean")

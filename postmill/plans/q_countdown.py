@@ -23,15 +23,14 @@ def _prompt_sql(body: str) -> str:
     return f"('{K.IM_START}user' || {NL} || {body} || ' {K.IM_END}' || {NL} || '{K.IM_START}assistant' || {NL})"
 
 
-def _intro_sql() -> str:
-    return f"'Using the numbers ' || {S.py_list('nums')} || ', create an equation that equals ' || target || '.'"
-
-
-_RULES = K.CD_RULES.replace("'", "''")
+def _fill_sql(template: str, answer: str = "") -> str:
+    values = {"nums": S.py_list("nums"), "target": "target", "answer": answer}
+    return " || ".join(values[part] if k % 2 else "'" + part.replace("'", "''") + "'"
+                       for k, part in enumerate(re.split(r"\{(\w+)\}", template)))
 
 
 @query("countdown_prompts", f"""
-SELECT task_id, {_prompt_sql(_intro_sql() + f" || '{_RULES}'")} AS prompt,
+SELECT task_id, {_prompt_sql(_fill_sql(K.CD_INTRO + K.CD_RULES))} AS prompt,
        target AS gt_target, array_to_string(nums, ',') AS gt_numbers
 FROM ({S.TASKS})""")
 def countdown_prompts(spark, sf_dir):
@@ -121,7 +120,7 @@ def countdown_solve(spark, sf_dir):
 
 @query("countdown_hint_prompts", f"""
 WITH s AS ({SOLVE_SQL}), t AS ({S.TASKS})
-SELECT t.task_id, {_prompt_sql(_intro_sql() + " || ' Here is the answer: ' || s.answer_raw || '.' || " + f"'{_RULES}'")} AS prompt
+SELECT t.task_id, {_prompt_sql(_fill_sql(K.CD_INTRO + K.CD_HINT_MIDDLE + K.CD_RULES, 's.answer_raw'))} AS prompt
 FROM t JOIN s ON t.task_id = s.task_id""")
 def countdown_hint_prompts(spark, sf_dir):
     """Prompt with the unsimplified search answer in the middle."""
@@ -206,7 +205,7 @@ def verified_responses(spark, sf_dir):
 
 
 @query("last_n_tasks", f"""
-SELECT task_id, {_prompt_sql(_intro_sql() + f" || '{_RULES}'")} AS prompt
+SELECT task_id, {_prompt_sql(_fill_sql(K.CD_INTRO + K.CD_RULES))} AS prompt
 FROM ({S.TASKS}) ORDER BY task_id DESC LIMIT {K.EVAL_LAST_N}""")
 def last_n_tasks(spark, sf_dir):
     """Evaluation slice: the last 2,000 tasks by id, with prompts."""

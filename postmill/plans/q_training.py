@@ -215,12 +215,8 @@ FROM a JOIN cs ON a.prompt_id = cs.prompt_id GROUP BY a.prompt_id""")
 def loo_loss(spark, sf_dir):
     """Leave-one-out loss per prompt, and the per-prompt sum of generation-chunk
     mean rewards that the RL log accumulates (G5, H4)."""
-    r = EN.samples_per_prompt(I.rollouts(spark, sf_dir))
-    loss = LS.loo_loss(LS.leave_one_out(r))
-    cs = r.groupBy("prompt_id", "chunk").agg(F.avg("reward").alias("_cm")) \
-        .groupBy("prompt_id").agg(F.sum("_cm").alias("reward_chunk_sum"))
-    return loss.join(cs, "prompt_id").select("prompt_id", "k", F.round("loss", 6).alias("loss"),
-                                             F.round("reward_chunk_sum", 6).alias("reward_chunk_sum"))
+    r = LS.loo_prompts(EN.samples_per_prompt(I.rollouts(spark, sf_dir)))
+    return r.select("prompt_id", "k", F.round("loss", 6).alias("loss"), F.round("reward_chunk_sum", 6).alias("reward_chunk_sum"))
 
 
 @query("batch_collate", f"""
@@ -339,7 +335,5 @@ SELECT CAST(log_window AS BIGINT) AS log_window, (log_window + 1) * 10 AS step,
 WHERE (log_window + 1) * 10 - 1 <= (SELECT max(prompt_id) FROM s)""")
 def log_rollup_rl(spark, sf_dir):
     """RL log: loss / accumulation and the chunk-summed reward per 10 steps (G7d)."""
-    r = EN.samples_per_prompt(I.rollouts(spark, sf_dir))
-    loss = LS.loo_loss(LS.leave_one_out(r))
-    out = EV.rollup_rl(r, loss)
+    out = EV.rollup_rl(LS.loo_prompts(EN.samples_per_prompt(I.rollouts(spark, sf_dir))))
     return out.select("log_window", "step", *_r6("avg_loss", "avg_reward", "mean_reward"))

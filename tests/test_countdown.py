@@ -140,3 +140,20 @@ def test_one_two_five_and_six_operands(spark):
     got = {r.task_id: r.answer_raw for r in CD.solve(df).collect()}
     assert got == {t: _brute(n, g) for t, n, g in tasks}
     assert got[1] == "(3 + (((7 + 2) * 11) - 5))"
+
+
+def test_prompts_match_literal_texts(spark):
+    df = spark.createDataFrame([(1, [3, 5, 8], 16, "3 + 5 + 8", "((3 + 5) + 8)")], "task_id long, nums array<int>, target int, answer string, answer_raw string")
+    row = df.select(CD.countdown_prompt().alias("base"), CD.countdown_prompt(hint="end", answer="answer").alias("end"),
+                    CD.countdown_prompt(hint="middle", answer="answer_raw").alias("middle"),
+                    F.get(CD.teacher_messages(), 1)["content"].alias("teacher")).first()
+    rules = (" You can use basic arithmetic operations (+, -, *, /) and each number can only be used once. Show your work in "
+             "<think> </think> tags. And return the final answer in <answer> </answer> tags, for example <answer> (1 + 2) / 3 </answer>")
+    first = "Using the numbers [3, 5, 8], create an equation that equals 16."
+    wrap = "<|im_start|>user\n{} <|im_end|>\n<|im_start|>assistant\n"
+    assert row.base == wrap.format(first + rules)
+    assert row.end == wrap.format(first + rules + ". The correct answer is: <answer>3 + 5 + 8</answer>.")
+    assert row.middle == wrap.format(first + " Here is the answer: ((3 + 5) + 8)." + rules)
+    assert row.teacher == ("Using the numbers [3, 5, 8], create an equation that equals 16, here is the answer: 3 + 5 + 8. You can use basic "
+                           "arithmetic operations (+, -, *, /) and each number can only be used once. Show your thinking process in <think> "
+                           "</think> tags. And return the final answer equation in <answer> </answer> tags with the format <answer> 3 + 5 + 8 </answer>")
