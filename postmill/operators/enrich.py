@@ -36,23 +36,17 @@ def attach(df: DataFrame, recorded: DataFrame, keys: list[str], how: str = "left
     return df.join(recorded, keys, how)
 
 
-def label_pairs(pairs: DataFrame, replies: DataFrame, key: str, side_keys=("chosen_turn", "rejected_turn"),
-                reply_key: str = "turn", reply: str = "reply", form: str = "last") -> DataFrame:
-    """Two-sided reward labelling (H3): unpivot chosen/rejected, one join to the
-    recorded replies, parse (D5), pivot back. Rows where either side fails to
-    parse get ``reject_reason = 'unlabelled'`` (C9); sides are never swapped."""
-    sides = pairs.select(key, F.explode(F.array(
-        F.struct(F.lit("chosen").alias("side"), F.col(side_keys[0]).alias(reply_key)),
-        F.struct(F.lit("rejected").alias("side"), F.col(side_keys[1]).alias(reply_key)))).alias("_s")) \
-        .select(key, "_s.side", f"_s.{reply_key}")
-    scored = sides.join(replies.select(key, reply_key, reply), [key, reply_key], "left") \
-        .withColumn("reward", parse_reward(F.col(reply), form))
-    pivot = scored.groupBy(key).agg(
-        F.max(F.when(F.col("side") == "chosen", F.col("reward"))).alias("chosen_reward"),
-        F.max(F.when(F.col("side") == "rejected", F.col("reward"))).alias("rejected_reward"))
-    out = pairs.join(pivot, key, "left")
-    return out.withColumn("reject_reason", F.when(F.col("chosen_reward").isNull() | F.col("rejected_reward").isNull(),
-                                                  "unlabelled"))
+def label_candidates(cands: DataFrame, replies: DataFrame, keys: list[str], reply: str = "reply",
+                     form: str = "last") -> DataFrame:
+    """Candidates with the ``reward`` of their recorded reply (H2, D5), NULL where it does
+    not parse; pairing then carries it to both sides (H3), so nothing joins twice."""
+    return cands.join(replies.select(*keys, reply), keys, "left").withColumn("reward", parse_reward(F.col(reply), form)).drop(reply)
+
+
+def require_labels(pairs: DataFrame, chosen: str = "chosen_reward", rejected: str = "rejected_reward") -> DataFrame:
+    """Pairs in which either side has no reward get ``reject_reason = 'unlabelled'`` (C9);
+    sides are never swapped."""
+    return pairs.withColumn("reject_reason", F.when(F.col(chosen).isNull() | F.col(rejected).isNull(), "unlabelled"))
 
 
 def samples_per_prompt(df: DataFrame, idx: str = "sample_idx", chunk: int = K.GEN_CHUNK) -> DataFrame:

@@ -27,12 +27,13 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
                         ((F.length("text") * 7 + F.col("turn") * 3) % 11).cast("double").alias("score")))
 
 
-def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First user turn per conversation as the prompt: (conv_id, prompt)."""
+def prompt_turns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Column]:
+    """All turns, scored if they are candidates, and the aggregate that gives a
+    conversation's prompt, its first user turn; so pairs and prompts are one pass."""
     conv = table(spark, sf_dir, "conversations")
-    return (conv.groupBy("conv_id")
-                .agg(F.min_by("text", F.when(F.col("role") == "user", F.col("turn"))).alias("prompt"))
-                .where(F.col("prompt").isNotNull()))
+    score = ((F.length("text") * 7 + F.col("turn") * 3) % 11).cast("double")
+    turns = conv.select("conv_id", "turn", "role", "text", F.when(F.col("role") == "assistant", score).alias("score"))
+    return turns, F.min_by("text", F.when(F.col("role") == "user", F.col("turn"))).alias("prompt")
 
 
 def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +123,7 @@ def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.transform(F.split("text", " ", -1), lambda w: F.length(w)).alias("ids"))
 
 
-__all__ = ["candidates", "prompts", "tasks", "answers", "logprobs", "rollouts", "steps",
+__all__ = ["candidates", "prompt_turns", "tasks", "answers", "logprobs", "rollouts", "steps",
            "doc_tokens", "word_count"]
 
 

@@ -57,11 +57,10 @@ def sft_system_optional(spark, sf_dir):
     """System message on (empty text counts one word): the reference shape rule
     rejects every row; the system-optional rule keeps in-budget rows (C3 both modes)."""
     ref = _pairs(spark, sf_dir, max_in=30, max_out=150, use_system=True, system_text="")
-    opt = C.curate_chat(ref.select("conv_id", "user_text", "assistant_text"), max_in=30, max_out=150,
-                        use_system=True, system_text="", allow_system=True)
-    return (ref.select("conv_id", "in_words", "out_words", F.col("reject_reason").isNull().alias("keep_reference"))
-               .join(opt.select("conv_id", F.col("reject_reason").isNull().alias("keep_system_optional")),
-                     "conv_id"))
+    ref = ref.select("conv_id", "user_text", "assistant_text", F.col("reject_reason").isNull().alias("keep_reference"))
+    opt = C.curate_chat(ref, max_in=30, max_out=150, use_system=True, system_text="", allow_system=True)
+    return opt.select("conv_id", "in_words", "out_words", "keep_reference",
+                      F.col("reject_reason").isNull().alias("keep_system_optional"))
 
 
 @query("filter_report", f"""

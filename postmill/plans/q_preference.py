@@ -43,9 +43,15 @@ def pref_pairs(spark, sf_dir):
     return _pairs(spark, sf_dir).select("conv_id", "chosen_turn", "rejected_turn", "score_chosen", "score_rejected")
 
 
+def _prompted_pairs(spark, sf_dir):
+    """Pairs with their conversation's prompt, in one pass over the turns."""
+    turns, prompt = I.prompt_turns(spark, sf_dir)
+    kept, _ = split_kept(P.best_worst_pairs(turns, extra=(prompt,)))
+    return kept.drop("reject_reason").where(F.col("prompt").isNotNull())
+
+
 def _filtered(spark, sf_dir):
-    pairs = _pairs(spark, sf_dir).join(I.prompts(spark, sf_dir), "conv_id")
-    raw = P.as_raw_preference(pairs).drop("chosen", "rejected")
+    raw = P.as_raw_preference(_prompted_pairs(spark, sf_dir)).drop("chosen", "rejected")
     return P.preference_filter(P.flatten_preference(raw))
 
 
@@ -102,7 +108,7 @@ WITH p AS ({PAIRS_SQL}), j AS (SELECT p.*, pr.prompt FROM p JOIN ({S.PROMPTS}) p
 SELECT conv_id, {_render_sql()} FROM j""")
 def pref_render(spark, sf_dir):
     """Training (B7), reward-model (B8) and evaluation (B9) renderings."""
-    j = _pairs(spark, sf_dir).join(I.prompts(spark, sf_dir), "conv_id").withColumnRenamed("prompt", "input")
+    j = _prompted_pairs(spark, sf_dir).withColumnRenamed("prompt", "input")
     tp, tc, tr = P.render_train()
     rc, rr = P.render_reward()
     return j.select("conv_id", tp.alias("train_prompt"), tc.alias("train_chosen"), tr.alias("train_rejected"),
@@ -177,8 +183,9 @@ SELECT * FROM j WHERE chosen_reward IS NOT NULL AND rejected_reward IS NOT NULL"
 def reward_label(spark, sf_dir):
     """Two-sided reward labelling from recorded replies; unparsable rows are
     dropped and counted, never failing the job (H2, H3, C9)."""
-    out = EN.label_pairs(_pairs(spark, sf_dir), I.reward_replies(spark, sf_dir), "conv_id")
-    kept, _ = split_kept(out)
+    cands = EN.label_candidates(I.candidates(spark, sf_dir), I.reward_replies(spark, sf_dir), ["conv_id", "turn"])
+    pairs, _ = split_kept(P.best_worst_pairs(cands, carry=("reward",)))
+    kept, _ = split_kept(EN.require_labels(pairs.drop("reject_reason")))
     return kept.select("conv_id", "chosen_reward", "rejected_reward")
 
 
