@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,6 +34,48 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Intermediate tables in the shared folder, for loops over tables.
+
+    Unlike a checkpoint, a table read again brings its real size. A checkpointed frame
+    keeps the size that the planner estimated, a join's being the product of its
+    inputs', so in a loop of joins the estimate squares itself in every round until
+    its digits alone fill the driver.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
+        self.paths, self.made, self.kept_any = [], 0, False
+
+    def table(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{self.made}"
+        self.made += 1
+        self.paths.append(path)
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._scratch_path = path
+        return out
+
+    def clear(self, *kept: DataFrame) -> None:
+        """Delete all tables but ``kept``, which a result still reads; those go with the driver."""
+        names = {df._scratch_path for df in kept}
+        for path in [p for p in self.paths if p not in names]:
+            self._delete(path)
+        self.paths = sorted(names)
+        if names and not self.kept_any:
+            atexit.register(self._at_exit)
+            self.kept_any = True
+
+    def _delete(self, path: str) -> None:
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+
+    def _at_exit(self) -> None:
+        if self.spark.sparkContext._jsc is not None and not self.spark.sparkContext._jsc.sc().isStopped():
+            self._delete(self.folder)
+
+
 def doc_key(id_col: Column, text_col: Column) -> list[Column]:
     """A document's identity: its id (may be null or repeated) and a hash of its text.
 
@@ -41,20 +85,26 @@ def doc_key(id_col: Column, text_col: Column) -> list[Column]:
     return [id_col.cast("long").alias("k_id"), F.xxhash64(text_col).alias("k_text")]
 
 
-def join_on_doc_key(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
-    """Join on (k_id, k_text), null ids meeting null ids; the key columns stay once."""
+def join_on_doc_key(left: DataFrame, right: DataFrame, how: str, grows: bool = True) -> DataFrame:
+    """Join on (k_id, k_text), null ids meeting null ids; the key columns stay once.
+
+    The right side is a set of documents; if it ``grows`` with them, it is never broadcast.
+    """
     r = right.withColumnsRenamed({"k_id": "r_id", "k_text": "r_text"})
+    r = r.hint("merge") if grows else r
     out = left.join(r, (F.col("k_text") == F.col("r_text")) & F.col("k_id").eqNullSafe(F.col("r_id")), how)
     return out if how in ("left_semi", "left_anti") else out.drop("r_id", "r_text")
 
 
-def scalar(df: DataFrame):
-    """The single value of a one-row, one-column aggregate."""
-    return df.first()[0]
+def hash_sample(df: DataFrame, key: str, size: int, total: int) -> DataFrame:
+    """At most ``size`` of the ``total`` rows, by a hash of ``key``.
 
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    Rows are chosen where they lie, so neither the driver nor one task sees more than the
+    sample however many partitions there are; the limit only holds off repeated keys.
+    """
+    share = 1.0 if total <= size else 0.9 * size / total
+    cutoff = min(2**63 - 1, int(-2**63 + share * 2**64))
+    return df.filter(F.xxhash64(F.lit(size), key) <= F.lit(cutoff)).limit(size)
 
 
 def slices(texts: pa.Array, limit: int = 4_000_000) -> Iterator[tuple[int, int]]:

@@ -7,10 +7,12 @@ K coordinates, and the earliest dart of a coordinate is the document's sample th
 Two documents agree in a coordinate with probability equal to their weighted Jaccard
 similarity, and a document of any weight needs about K log K darts, not K a shingle.
 
-Samples are joined in bands. Exact copies are first folded into one node each. In a
-band bucket every node is compared with one hub, not with every other; the compared
-pairs are verified exactly. Components that still share buckets are compared in further
-rounds, at last pair by pair across components, so no link is lost to the folding.
+Samples are joined in bands. Exact copies are first folded into one node each. Nodes
+that share band buckets, directly or through others, form a family, found from one link
+a node and bucket. A family is cut into blocks by a hash; each pair of its blocks is one
+row, whose exact similarities come from one matrix product, and which gives back links
+that span what it found, at most one less than its nodes. So no pair is a row, no group
+is in one task, and no pair of nodes that share a bucket goes unchecked.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from postmill.llm.common import checkpointed, slices
+from postmill.llm.common import Scratch, slices
 from postmill.llm.graph import components
 
 WORD = re.compile(r"\w+")
@@ -31,7 +33,9 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 5   # a pair at 0.8 shares no band with probability (1 - 0.8^5)^20 = 0.0004
 CACHE = 300_000
-STAR_ROUNDS = 3
+BLOCK = 256           # nodes of a block, on average
+FAMILY = 1 << 16      # a larger family is taken bucket by bucket, which checks every pair that shares one
+COLUMNS = 8192        # of the matrices multiplied at once
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -129,9 +133,9 @@ def node_id(id_col: Column, text_col: Column) -> Column:
 
 
 def sign(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """(uid, c1, c2, n, bands) of every document with a text: c1, c2 identify the weighted set, n is its total weight."""
+    """(uid, c1, c2, bands) of every document with a text: c1, c2 identify the weighted set."""
     src = docs.filter(docs[text_col].isNotNull()).select(node_id(docs[id_col], docs[text_col]).alias("uid"), docs[text_col].cast("string").alias("t"))
-    names = ["uid", "c1", "c2", "n", "bands"]
+    names = ["uid", "c1", "c2", "bands"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
@@ -150,17 +154,17 @@ def sign(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
                 flat = pa.array(keys.view(np.int64).ravel())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)),
-                     pa.array(np.add.reduceat(counts, starts).astype(np.int64)),
                      pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32), flat)], names=names)
 
-    return src.mapInArrow(run, "uid long, c1 long, c2 long, n long, bands array<long>")
+    return src.mapInArrow(run, "uid long, c1 long, c2 long, bands array<long>")
 
 
 def packed_sets(docs: DataFrame, nodes: DataFrame, text_col: str, id_col: str) -> DataFrame:
     """(node, items): each node's weighted set as sorted 64-bit items, the j-th occurrence
     of a shingle being an item of its own; the Jaccard similarity of such sets is the weighted one."""
     src = docs.filter(docs[text_col].isNotNull()).select(node_id(docs[id_col], docs[text_col]).alias("node"), docs[text_col].cast("string").alias("t"))
-    src = src.join(nodes, "node", "left_semi")
+    # the nodes grow with the documents, so they are never broadcast
+    src = src.join(nodes.hint("merge"), "node", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
@@ -177,67 +181,92 @@ def packed_sets(docs: DataFrame, nodes: DataFrame, text_col: str, id_col: str) -
     return src.mapInArrow(run, "node long, items binary").groupBy("node").agg(F.max("items").alias("items"))
 
 
-def similarity(a: bytes, b: bytes) -> float:
-    """Jaccard similarity of two packed sets."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    both = np.concatenate([x, y])
-    both.sort(kind="stable")
-    shared = int((both[1:] == both[:-1]).sum())
-    return shared / (len(both) - shared)
+def shared_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set of ``x`` with every set of ``y``.
 
+    Only items found in two sets or more can be shared; these are the columns of two
+    0/1 matrices whose product counts them.
+    """
+    items = np.concatenate([*x, *y])
+    row = np.repeat(np.arange(len(x) + len(y)), [len(s) for s in (*x, *y)])
+    order = np.argsort(items, kind="stable")
+    items, row = items[order], row[order]
+    new = np.concatenate([[True], items[1:] != items[:-1]]) if len(items) else np.zeros(0, bool)
+    column = np.cumsum(new) - 1
+    often = np.bincount(column, minlength=1) > 1
+    keep = often[column]
+    row, column = row[keep], (np.cumsum(often) - 1)[column[keep]]
+    out = np.zeros((len(x), len(y)), np.float64)
+    for low in range(0, int(often.sum()), COLUMNS):
+        a, b = np.searchsorted(column, (low, low + COLUMNS))
+        m = np.zeros((len(x) + len(y), COLUMNS), np.float32)
+        m[row[a:b], column[a:b] - low] = 1
+        out += m[:len(x)] @ m[len(x):].T
+    return out
 
-def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose exact weighted Jaccard similarity is ``least`` or more."""
-    rows = (pairs.join(sets.withColumnsRenamed({"node": "a", "items": "x"}), "a")
-            .join(sets.withColumnsRenamed({"node": "b", "items": "y"}), "b").select("a", "b", "x", "y"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = batch.column(2), batch.column(3)
-            keep = [similarity(x[i].as_py(), y[i].as_py()) >= least for i in range(batch.num_rows)]
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+def spanning(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Those of the links (a, b) that join what the ones before them had not."""
+    top: dict[int, int] = {}
 
-    return rows.mapInArrow(run, "a long, b long")
+    def find(x: int) -> int:
+        while top.get(x, x) != x:
+            top[x] = x = top.get(top[x], top[x])
+        return x
 
+    out = []
+    for x, y in zip(a.tolist(), b.tolist()):
+        u, v = find(x), find(y)
+        if u != v:
+            top[max(u, v)] = min(u, v)
+            out.append((x, y))
+    return out
 
-def near_links(nodes: DataFrame, docs: DataFrame, text_col: str, id_col: str, least: float) -> DataFrame | None:
-    """(node, label) of nodes that have a near copy among the distinct texts. ``nodes``: node, n, bands."""
-    keys = nodes.select("node", "n", F.explode("bands").alias("key"))
-    shared = checkpointed(keys.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("hub")).filter("c > 1"))
-    members = checkpointed(keys.join(shared.select("key"), "key"))
+
+def block_links(pairs: DataFrame, least: float) -> DataFrame:
+    """(a, b): spanning links among the nodes of each pair of blocks (x, y), y null for a block with itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                blocks = [batch.column(c)[i].as_py() for c in (0, 1)]
+                x, y = (sorted((r["node"], r["items"]) for r in b or ()) for b in blocks)
+                xs, ys = ([np.frombuffer(items, np.uint64) for _, items in b] for b in (x, y or x))
+                common = shared_counts(xs, ys)
+                both = np.array([len(s) for s in xs])[:, None] + np.array([len(s) for s in ys])[None] - common
+                near = common >= least * both
+                a, b = np.nonzero(np.triu(near, 1) if not y else near)
+                at, other = np.array([n for n, _ in x]), np.array([n for n, _ in y or x])
+                links = spanning(at[a], other[b])
+                yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in links], pa.int64()), pa.array([v for _, v in links], pa.int64())], names=["a", "b"])
+
+    return pairs.select("x", "y").mapInArrow(run, "a long, b long")
+
+
+def near_links(nodes: DataFrame, docs: DataFrame, text_col: str, id_col: str, least: float, scratch: Scratch) -> DataFrame | None:
+    """(node, label) of nodes that have a near copy among the distinct texts. ``nodes``: node, bands."""
+    keys = nodes.select("node", F.explode("bands").alias("key"))
+    shared = scratch.table(keys.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("hub")).filter("c > 1"))
+    members = scratch.table(keys.join(shared.select("key", "hub"), "key"))
     if members.isEmpty():
         return None
-    sets = checkpointed(packed_sets(docs, members.select("node").distinct(), text_col, id_col))
-    sizes = members.select("node", "n").distinct()
-    labels, edges, tested = sizes.select("node", F.col("node").alias("label")), None, None
-    for turn in range(STAR_ROUNDS + 1):
-        live = members.join(labels, "node")
-        if turn:
-            mixed = checkpointed(live.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key"))
-            live = checkpointed(live.join(mixed, "key"))
-            if live.isEmpty():
-                break
-        if turn < STAR_ROUNDS:
-            # the first hub is a bucket's smallest node, later ones differ from bucket to bucket
-            order = F.col("node") if turn == 0 else F.xxhash64(F.lit(turn), "key", "node")
-            hubs = checkpointed(live.groupBy("key").agg(F.min_by(F.struct("node", "n", "label"), order).alias("h"))
-                                .select("key", F.col("h.node").alias("h"), F.col("h.n").alias("hn"), F.col("h.label").alias("hl")))
-            other = live.join(hubs, "key").filter("label != hl")
-        else:
-            other = live.join(live.select("key", F.col("node").alias("h"), F.col("n").alias("hn"), F.col("label").alias("hl")), "key").filter("label < hl")
-        # a similarity of s needs sizes within a factor s
-        pairs = (other.filter(F.least("n", "hn") >= F.lit(least) * F.greatest("n", "hn"))
-                 .select(F.least("node", "h").alias("a"), F.greatest("node", "h").alias("b")).distinct())
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = checkpointed(pairs)
-        found = checkpointed(verified(pairs, sets, least))
-        tested = pairs if tested is None else tested.union(pairs)
-        if not found.isEmpty():
-            edges = found if edges is None else edges.union(found)
-            linked = components(edges)
-            labels = checkpointed(sizes.select("node").join(linked, "node", "left").select("node", F.coalesce("label", "node").alias("label")))
-    return labels
+    links = scratch.table(members.filter("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
+    families = components(links, scratch).withColumnRenamed("label", "family")
+    sizes = scratch.table(families.groupBy("family").agg(F.count("*").alias("m")))
+    # (kind, family, node): a family, or for a very large one each of its buckets
+    large = families.join(sizes.filter(F.col("m") > FAMILY).select("family"), "family").select("node")
+    placed = scratch.table(
+        families.join(sizes.filter(F.col("m") <= FAMILY), "family").select(F.lit(0).alias("kind"), "family", "node", "m")
+        .union(members.join(large, "node").join(shared.select("key", "c"), "key").select(F.lit(1), "key", "node", "c")))
+    blocks = placed.withColumn("of", F.ceil(F.col("m") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("node"), F.col("of")))
+    sets = packed_sets(docs, families.select("node"), text_col, id_col)
+    packed = scratch.table(blocks.join(sets, "node").groupBy("kind", "family", "of", "block").agg(F.collect_list(F.struct("node", "items")).alias("x")))
+    alone = packed.select("x", F.lit(None).cast("array<struct<node:bigint,items:binary>>").alias("y"))
+    split = packed.filter("of > 1")
+    later = split.select("kind", "family", F.col("block").alias("with"), F.col("x").alias("y"))
+    apart = split.join(later, ["kind", "family"]).filter("block < with").select("x", "y")
+    found = scratch.table(block_links(alone.union(apart), least))
+    return components(found, scratch)
 
 
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", least: float = SIMILARITY) -> DataFrame:
@@ -252,12 +281,14 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     (also the empty text) equals only the same text. A null text is in no class but its
     own. Rows that repeat an id share its row here.
     """
-    signed = checkpointed(sign(docs, text_col, id_col))
-    reps = checkpointed(signed.groupBy("c1", "c2").agg(F.min("uid").alias("node"), F.count("*").alias("c")))
-    copies = checkpointed(signed.select("uid", "c1", "c2").join(reps.filter("c > 1"), ["c1", "c2"]).select("uid", "node"))
+    scratch = Scratch(docs.sparkSession)
+    signed = scratch.table(sign(docs, text_col, id_col))
+    reps = scratch.table(signed.groupBy("c1", "c2").agg(F.min("uid").alias("node"), F.count("*").alias("c")))
+    copies = scratch.table(signed.select("uid", "c1", "c2").join(reps.filter("c > 1"), ["c1", "c2"]).select("uid", "node"))
     # the representatives of sets that occur once are found without a join
-    nodes = signed.join(copies, "uid", "left").filter("node IS NULL OR node = uid").select(F.col("uid").alias("node"), "n", "bands").dropDuplicates(["node"])
-    labels = near_links(nodes, docs, text_col, id_col, least)
+    nodes = signed.join(copies, "uid", "left").filter("node IS NULL OR node = uid").select(F.col("uid").alias("node"), "bands").dropDuplicates(["node"])
+    labels = near_links(nodes, docs, text_col, id_col, least, scratch)
+    scratch.clear(*[t for t in (copies, labels) if t is not None])
     out = docs.select(node_id(docs[id_col], docs[text_col]).alias("uid"))
     out = out.join(copies.groupBy("uid").agg(F.min("node").alias("node")), "uid", "left").withColumn("exact_id", F.coalesce("node", "uid")).drop("node")
     if labels is None:

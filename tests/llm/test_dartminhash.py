@@ -1,8 +1,10 @@
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from postmill.llm import dartminhash as D
+from postmill.llm.common import Scratch
 from postmill.llm.graph import components
 from postmill.llm.queries import QUERIES
 from tests.conftest import SF_SMALL
@@ -52,21 +54,45 @@ def test_tiny_sets_and_large_weights_fill_every_coordinate():
     assert sig.shape == (3, 100) and (sig != 0).all()
 
 
-def test_packed_similarity_is_weighted():
+def packed(text, shingler):
+    e, n = np.unique(shingler.shingles(text), return_counts=True)
+    turn = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.sort(D.salted(np.repeat(e, n), turn))
+
+
+def test_shared_counts_give_weighted_similarities(monkeypatch):
+    monkeypatch.setattr(D, "COLUMNS", 3)
     s = D.Shingler()
-    for a, b in [("a b c d e f g", "a b c d e f h"), ("x y z w v " * 9, "x y z w v " * 7), ("a", "a"), ("", "!")]:
-        p, q = shingles(a), shingles(b)
-        packed = []
-        for t in (a, b):
-            e, n = np.unique(s.shingles(t), return_counts=True)
-            turn = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            packed.append(np.sort(D.salted(np.repeat(e, n), turn)).tobytes())
-        assert abs(D.similarity(*packed) - (p & q).total() / (p | q).total()) < 1e-12
+    texts = ["a b c d e f g", "a b c d e f h", "x y z w v " * 9, "x y z w v " * 7, "a", "", "!"]
+    got = D.shared_counts([packed(t, s) for t in texts], [packed(t, s) for t in texts[::-1]])
+    want = [[(shingles(a) & shingles(b)).total() for b in texts[::-1]] for a in texts]
+    assert got.tolist() == want
+
+
+def test_spanning_links_join_the_same_nodes():
+    a, b = np.array([1, 2, 1, 3, 9]), np.array([2, 3, 3, 4, 8])
+    assert D.spanning(a, b) == [(1, 2), (2, 3), (3, 4), (9, 8)]
+
+
+@pytest.mark.parametrize("block,family", [(256, 1 << 16), (4, 1 << 16), (8, 10)])
+def test_large_family_in_blocks_and_by_bucket(spark, monkeypatch, block, family):
+    monkeypatch.setattr(D, "BLOCK", block)
+    monkeypatch.setattr(D, "FAMILY", family)
+    rng = np.random.default_rng(8)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 160)]
+    rows = []
+    for i in range(90):  # copies of one text with 1 to 9 words changed: links at all similarities
+        words = list(base)
+        for at in rng.integers(0, 160, rng.integers(1, 10)):
+            words[at] = f"n{rng.integers(0, 10**6)}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.uid: r.class_id for r in D.near_duplicates(docs).collect()} == brute_classes(rows)
 
 
 def test_components_of_paths_hubs_and_cycles(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 160)] + [(200, 201), (201, 202), (202, 200), (5, 3)]
-    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark)).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 160)}, **{i: 200 for i in (200, 201, 202)}}
 
 
@@ -97,3 +123,16 @@ def test_chains_copies_nulls_and_clashing_columns(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert D.near_duplicates(docs).count() == 0
+
+
+def test_shared_buckets_without_any_near_copy(spark):
+    rng = np.random.default_rng(6)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 100)]
+    rows = []
+    for i in range(40):  # about 0.6 similar: they share buckets, none is a near copy
+        words = list(base)
+        for at in range(i % 7, 100, 18):
+            words[at] = f"n{i}x{at}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.uid: r.class_id for r in D.near_duplicates(docs).collect()} == brute_classes(rows)
