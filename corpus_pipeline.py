@@ -7,14 +7,11 @@ but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-import os
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from postmill.llm import bpe, dartminhash, linededup, pfair, quality
-from postmill.llm.common import doc_key, join_on_doc_key, shared_folder
+from postmill.llm.common import Scratch, doc_key, join_on_doc_key
 from postmill.session import let_workers_import
 from postmill.sources.tables import table
 
@@ -40,15 +37,18 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     as it is stays once."""
     let_workers_import(spark)
     docs = docs.select(*COLUMNS)
-    uid = dartminhash.node_id(docs["doc_id"], docs["text"])
-    gone = (dartminhash.near_duplicates(docs).filter("uid != class_id").select(F.col("uid").alias("gone_uid")).distinct())
-    kept = docs.withColumn("uid", uid).join(gone, F.col("uid") == F.col("gone_uid"), "left_anti").drop("uid")
-    # only rows whose id and text occur again need a shuffle of whole rows
-    again = kept.groupBy(*doc_key(F.col("doc_id"), F.col("text"))).count().filter("count > 1").select("k_id", "k_text")
-    keyed = kept.select("*", *doc_key(F.col("doc_id"), F.col("text")))
-    once = join_on_doc_key(keyed, again, "left_anti")
-    twice = join_on_doc_key(keyed, again, "left_semi").dropDuplicates(["k_id", "k_text"])
-    return once.union(twice).select(*COLUMNS)
+    scratch = Scratch(spark)
+    classes = dartminhash.near_duplicates(docs)
+    gone = scratch.table(classes.filter("uid != class_id").select(F.col("uid").alias("gone_uid")).distinct())
+    again = scratch.table(docs.select(*doc_key(docs["doc_id"], docs["text"])).groupBy("k_id", "k_text").count().filter("count > 1").drop("count"))
+    scratch.clear(gone, again)
+    keyed = docs.select("*", *doc_key(docs["doc_id"], docs["text"]), dartminhash.node_id(docs["doc_id"], docs["text"]).alias("uid"))
+    # gone ids grow with the documents, so they are never broadcast; of the rows that occur
+    # again, the planner knows the written size
+    gone = gone.hint("merge")
+    once = join_on_doc_key(keyed, again, "left_anti", grows=False).join(gone, F.col("uid") == F.col("gone_uid"), "left_anti")
+    twice = join_on_doc_key(keyed, again, "left_semi", grows=False).join(gone, F.col("uid") == F.col("gone_uid"), "left_anti")
+    return once.union(twice.dropDuplicates(["k_id", "k_text"])).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -80,13 +80,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``, each one's rows written as Parquet and read again."""
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    folder = f"{shared_folder(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
-    for k, (name, stage) in enumerate(STAGES):
+    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark)
+    for k, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if k == len(STAGES) - 1:
             return out
-        path = os.path.join(folder, f"{k}-{name}")
-        out.write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = scratch.table(out)
+        scratch.clear(docs)
     return docs
