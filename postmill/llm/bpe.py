@@ -12,6 +12,7 @@ from __future__ import annotations
 import heapq
 import json
 import unicodedata
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -174,10 +175,10 @@ def read_file(path: str) -> bytes:
         return f.read()
 
 
-_MODELS: dict[int, WordBPE] = {}
+_MODELS: dict[str, WordBPE] = {}
 
 
-def _model(key: int, blob) -> WordBPE:
+def _model(key: str, blob) -> WordBPE:
     if key not in _MODELS:
         _MODELS.clear()
         _MODELS[key] = WordBPE(blob.value)
@@ -194,7 +195,7 @@ def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text", keep
     """
     sc = docs.sparkSession.sparkContext
     blob = sc.broadcast(read_file(model_path))
-    key = hash((model_path, blob.id if hasattr(blob, "id") else id(blob)))
+    key = uuid.uuid4().hex  # a worker builds the model once for each call
     src = docs.select(*keep, docs[text_col].cast("string").alias("_text"))
     fields = [T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)]
     if decoded:
