@@ -22,11 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
-from postmill.llm.common import slices
+from postmill.llm.common import hash_sample, slices
 from postmill.llm.htmlblocks import Block, leaf_blocks
 
 SIZE = 1 << 14
 BUILT, SAMPLE = 800, 200   # labelled pages: built by rule; given ones, at most
+SAMPLE_CHARS = 100_000     # longest given page to learn from; longer ones are only decoded
 STEPS, RATE, RIDGE = 150, 0.05, 1e-4
 OTHER_PARTS = frozenset("nav aside footer form dialog menu button select search".split())
 
@@ -226,9 +227,11 @@ def own_labels(blocks: list[Block]) -> list[int] | None:
 
 
 def train(pages: DataFrame, html_col: str = "html", built: int = BUILT, sample: int = SAMPLE) -> Chain:
-    """Fit on ``built`` pages made by rule and at most ``sample`` of the given ones, the first by a hash."""
+    """Fit on ``built`` pages made by rule and at most ``sample`` of the given ones of up to
+    SAMPLE_CHARS characters, the first by a hash."""
     data = [(features(leaf_blocks(h)), s) for h, s in labelled_pages(built)]
-    chosen = pages.select(pages[html_col].cast("string").alias("h")).dropna().orderBy(F.xxhash64("h"), "h").limit(sample)
+    chosen = pages.select(pages[html_col].cast("string").alias("h")).filter(F.length("h") <= SAMPLE_CHARS)
+    chosen = hash_sample(chosen, "h", sample, pages.count())
     for r in chosen.collect():
         blocks = leaf_blocks(r["h"])
         states = own_labels(blocks)
