@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from postmill.llm import vecblocks as B
-from postmill.llm.common import checkpointed
+from postmill.llm.common import checkpointed, hash_sample
 
 PROJECTED = 10
 CONFIDENCE = 0.98   # a true neighbour is passed over with probability 1 - CONFIDENCE at most
@@ -180,7 +180,7 @@ def nearest(table: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_i
     if not size["n"]:
         return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     proj = Projection(int(size["dim"]), size["m"])
-    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
+    sample = hash_sample(vectors, "vec_id", SAMPLE, size["n"]).collect()
     levels = min(9, max(0, math.ceil(math.log2(size["n"] / B.BLOCK_ROWS))))
     tree = UpperTree(proj.vectors(B.matrix([r["vec"] for r in sample], proj.dim)), levels)
     n = max(1, -(-size["n"] // B.BLOCK_ROWS))
@@ -189,6 +189,6 @@ def nearest(table: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_i
     placed = in_cells(vectors, proj, tree).repartitionByRange(n, *order).sortWithinPartitions(*order)
     blocks = checkpointed(B.pack(placed, B.BLOCK_ROWS, lambda x: kd_order(proj.vectors(x))))
     queries = checkpointed(B.query_blocks(vectors, every, size["queries"]))
-    head = blocks.orderBy(F.desc(F.length("ids")), "block").limit(1).collect()[0]
+    head = B.pick(blocks, F.max_by("block", F.struct(F.length("ids"), -F.col("block"))))
     hits = B.search(queries, blocks, head, searcher(proj, k, confidence), k, "double")
     return B.ranked(hits, k)

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 BLOCK_ROWS = 4096
 QUERY_ROWS = 1024
@@ -122,6 +122,11 @@ def floors(q: np.ndarray, score: np.ndarray, n: int, k: int) -> np.ndarray:
     return out
 
 
+def pick(blocks: DataFrame, number: Column) -> Row | None:
+    """The one block whose number the aggregate gives; None of no blocks."""
+    return blocks.filter(F.col("block") == F.lit(blocks.agg(number).first()[0])).first()
+
+
 HITS = "query_id long, vec_id long, score {kind}"
 
 
