@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from postmill.llm import vecblocks as B
-from postmill.llm.common import checkpointed
+from postmill.llm.common import checkpointed, hash_sample
 
 SAMPLE = 4096   # vectors the rotation is fitted on, at most
 STRIPE = 512
@@ -23,9 +23,9 @@ LEADING = 4     # the first 1/LEADING of the rotated dimensions form the partial
 EXACT = 2.0**52
 
 
-def rotation(vectors: DataFrame) -> np.ndarray:
+def rotation(vectors: DataFrame, total: int) -> np.ndarray:
     """Right singular vectors of a bounded sample, by falling singular value."""
-    got = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
+    got = hash_sample(vectors, "vec_id", SAMPLE, total).collect()
     x = B.matrix([r["vec"] for r in got])
     if not x.size:
         return np.zeros((x.shape[1], x.shape[1]))
@@ -91,14 +91,14 @@ def exact_top_k(table: DataFrame, k: int = 5, every: int = 50, id_col: str = "ve
     range are held to it.
     """
     vectors = B.clean(table, id_col, vec_col, integers=True, zero=True)
-    turn = rotation(vectors)
     size = vectors.agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("queries")).first()
     n = max(1, -(-size["n"] // B.BLOCK_ROWS))
+    turn = rotation(vectors, size["n"])
     order = (F.desc("length"), "vec_id", "vec")
     blocks = checkpointed(B.pack(vectors.repartitionByRange(n, *order).sortWithinPartitions(*order), B.BLOCK_ROWS))
     queries = checkpointed(B.query_blocks(vectors, every, size["queries"]))
-    head = blocks.orderBy("block").limit(1).collect()
-    if not head:
+    head = B.pick(blocks, F.min("block"))
+    if head is None:
         return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    hits = B.search(queries, blocks, head[0], compare_with(turn, k), k, "long")
+    hits = B.search(queries, blocks, head, compare_with(turn, k), k, "long")
     return B.ranked(hits, k)
