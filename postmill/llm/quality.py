@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from postmill.llm.common import checkpointed, doc_key, join_on_doc_key, slices
+from postmill.llm.common import checkpointed, doc_key, hash_sample, join_on_doc_key, slices
 
 SAMPLE = 6000     # labelled documents the model is fitted on, at most
 HASHED = 256      # dimensions of the word-shape features
@@ -104,12 +104,12 @@ class Logistic:
 
 def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "quality",
         sample: int = SAMPLE) -> Logistic | None:
-    """Fit on at most ``sample`` labelled rows, the first by a hash of the id; None if a class is missing.
+    """Fit on at most ``sample`` labelled rows, chosen by a hash of the id; None if a class is missing.
 
     Rows with a null id or label take no part.
     """
-    chosen = (labels.select(labels[id_col].alias("l_id"), labels[label_col].cast("double").alias("y")).dropna()
-              .orderBy(F.xxhash64("l_id"), "l_id", "y").limit(sample))
+    known = labels.select(labels[id_col].alias("l_id"), labels[label_col].cast("double").alias("y")).dropna()
+    chosen = hash_sample(known, "l_id", sample, known.count())
     # at most ``sample`` rows
     rows = docs.select(docs[id_col].alias("l_id"), docs[text_col].cast("string").alias("t")).join(F.broadcast(chosen), "l_id").select("y", "t")
 
