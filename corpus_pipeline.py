@@ -26,9 +26,10 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in ten documents or more go from all texts; ``n_chars`` follows. Every
-    document stays, also one whose lines all went (its text is then empty)."""
+    document stays, and one made only of such lines stays whole: ten exact copies would
+    all be emptied otherwise, where the next stage keeps one of them."""
     let_workers_import(spark)
-    out = linededup.dedup_lines(docs.select(*COLUMNS)).withColumn("n_chars", F.char_length("text").cast("long"))
+    out = linededup.dedup_lines(docs.select(*COLUMNS), keep_whole=True).withColumn("n_chars", F.char_length("text").cast("long"))
     return out.select(*COLUMNS)
 
 

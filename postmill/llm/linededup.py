@@ -169,33 +169,41 @@ def dropped_keys(docs: DataFrame, text_col: str, id_col: str, min_docs: int, lea
     return hits.groupBy("k_id", "k_text").agg(F.collect_set("k").alias("dropped"))
 
 
-def keep_lines(text: str, dropped) -> tuple[str, int]:
-    """The text without the lines whose key has one of the given positions; how many went."""
-    gone, order, kept = set(dropped), {}, []
+def keep_lines(text: str, dropped, least_rest: int | None = None) -> tuple[str, int]:
+    """The text without the lines whose key has one of the given positions; how many went.
+
+    With ``least_rest``, a text that would keep no key of so many code points stays whole."""
+    gone, order, kept, rest = set(dropped), {}, [], least_rest is None
     lines = text.split("\n")
     for line in lines:
-        k = order.setdefault(line.strip(BLANKS).translate(FOLD), len(order))
-        if k not in gone:
+        key = line.strip(BLANKS).translate(FOLD)
+        if order.setdefault(key, len(order)) not in gone:
             kept.append(line)
-    return "\n".join(kept), len(lines) - len(kept)
+            rest = rest or len(key) >= least_rest
+    return ("\n".join(kept), len(lines) - len(kept)) if rest else (text, 0)
+
 
+def _keep(least_rest: int | None):
+    @F.pandas_udf(T.StructType([T.StructField("kept", T.StringType()), T.StructField("n_dropped", T.LongType())]))
+    def keep(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, dropped in batches:
+            yield pd.DataFrame([("", 0) if t is None else keep_lines(t, d, least_rest) for t, d in zip(texts, dropped)],
+                               columns=["kept", "n_dropped"])
 
-@F.pandas_udf(T.StructType([T.StructField("kept", T.StringType()), T.StructField("n_dropped", T.LongType())]))
-def _keep(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    for texts, dropped in batches:
-        yield pd.DataFrame([("", 0) if t is None else keep_lines(t, d) for t, d in zip(texts, dropped)],
-                           columns=["kept", "n_dropped"])
+    return keep
 
 
 def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_docs: int = 10,
-                least_chars: int = 1) -> DataFrame:
+                least_chars: int = 1, keep_whole: bool = False) -> DataFrame:
     """All rows and columns of ``docs`` with ``text_col`` cleared of common lines, and
     ``line_n_lines``, ``line_n_dropped``.
 
     A line's key is the line without blanks at both ends, A-Z lower-cased. Keys of at
     least ``least_chars`` code points found in ``min_docs`` documents (rows) or more
     lose all their lines everywhere. Null and empty texts are one empty line; a text
-    whose lines all go becomes empty. Repeated rows count as documents of their own.
+    whose lines all go becomes empty, or with ``keep_whole`` a text that would keep no
+    line that counts (one of ``least_chars``) stays as it is, so that no text leaves the
+    table altogether. Repeated rows count as documents of their own.
     Nothing is capped: whole texts, all lines, all documents.
     """
     if min_docs < 2:
@@ -205,7 +213,8 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     rows = src.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *doc_key(src[id_col], src[text_col]))
     text = F.col("row")[text_col]
     # only texts that lose a line go through Python
-    joined = join_on_doc_key(rows, hits, "left").withColumn("cut", _keep(F.when(F.col("dropped").isNotNull(), text), "dropped"))
+    keep = _keep(least_chars if keep_whole else None)
+    joined = join_on_doc_key(rows, hits, "left").withColumn("cut", keep(F.when(F.col("dropped").isNotNull(), text), "dropped"))
     lost = F.col("dropped").isNotNull()
     return joined.select(
         *[(F.when(lost, F.col("cut.kept")).otherwise(text) if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns],

@@ -50,3 +50,18 @@ def test_near_duplicate_stage_on_odd_rows(spark):
     assert P.drop_near_duplicates(spark, docs.limit(0), SF_SMALL).count() == 0
     assert P.dedup_lines(spark, docs.limit(0), SF_SMALL).count() == 0
     assert P.mix_sources(spark, docs, SF_SMALL).count() == len(rows)
+
+
+def test_copies_and_texts_of_shared_lines_keep_one_document(spark, tmp_path):
+    copies, shared = "Alpha beta gamma.\n\nDelta epsilon zeta eta.", "only a shared line here"
+    rows = [(i, copies) for i in range(12)] + [(20 + i, f"{shared}\nown words of number {i} {i * 7}") for i in range(11)]
+    rows += [(40, f"{shared}\n"), (41, "a line that nobody has"), (42, ""), (43, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    P.dedup_lines(spark, docs, SF_SMALL).write.parquet(str(tmp_path / "lines"))
+    out = spark.read.parquet(str(tmp_path / "lines"))
+    got = {r.doc_id: r.text for r in out.collect()}
+    assert len(got) == len(rows) and all(got[i] == copies for i in range(12)) and got[40] == f"{shared}\n"
+    assert all(got[20 + i] == f"own words of number {i} {i * 7}" for i in range(11)) and got[41] == "a line that nobody has"
+    assert all(r.n_chars == len(r.text) for r in out.collect())
+    kept = {r.doc_id for r in P.drop_near_duplicates(spark, out, SF_SMALL).collect()}
+    assert kept & set(range(12)) == {0} and {40, 41} <= kept
