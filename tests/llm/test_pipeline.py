@@ -6,6 +6,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline as P
+from postmill.llm import pfair
 from postmill.llm import quality as Q
 from tests.conftest import SF_SMALL
 from tests.llm.test_dartminhash import brute_classes
@@ -65,3 +66,18 @@ def test_copies_and_texts_of_shared_lines_keep_one_document(spark, tmp_path):
     assert all(r.n_chars == len(r.text) for r in out.collect())
     kept = {r.doc_id for r in P.drop_near_duplicates(spark, out, SF_SMALL).collect()}
     assert kept & set(range(12)) == {0} and {40, 41} <= kept
+
+
+def test_result_has_the_place_that_the_mix_gave(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i % 390, f"text {i % 390}", "en", f"s{i % 7 % 4}", 8) for i in range(400)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = pfair.mix(docs).collect()
+    want = [r.doc_id for r in sorted(mixed, key=lambda r: (r.mix_slot, r.mix_offset))]
+    P.mix_sources(spark, docs, SF_SMALL).write.option("maxRecordsPerFile", 30).parquet(str(tmp_path / "mix"))
+    out = P.encode(spark, spark.read.parquet(str(tmp_path / "mix")), SF_SMALL).collect()
+    assert [r.doc_id for r in sorted(out, key=lambda r: r.mix_position)] == want
+    assert sorted(r.mix_position for r in out) == list(range(400))
+    (tmp_path / "in").mkdir()
+    docs.write.parquet(str(tmp_path / "in" / "documents.parquet"))
+    monkeypatch.setattr(P, "STAGES", P.STAGES[3:])
+    assert [r.doc_id for r in sorted(P.run(spark, str(tmp_path / "in")).collect(), key=lambda r: r.mix_position)] == want
