@@ -56,3 +56,39 @@ def test_given_weights_and_empty_table(spark):
     assert P.mix(docs.limit(0)).count() == 0
     with pytest.raises(ValueError):
         P.slot_shares({"a": 0})
+
+
+@pytest.mark.parametrize("weights", [{str(i): 1.0 if i else 9.5 for i in range(20)}, {str(i): 1.0 if i else 99.5 for i in range(200)},
+                                     {str(i): (i + 1) ** 0.5 for i in range(300)}, {"a": 1 / 3, "b": 1e-6, "c": 2 / 3}])
+def test_blocks_stay_within_one_block_of_the_weights(weights):
+    names, total, got, t = list(weights), sum(weights.values()), Counter(), 0
+    for s, b, slot in P.Blocks(list(weights.values()), [10**9] * len(weights)).step(20_000):
+        assert (b, slot) == (got[s], t)
+        got[s], t = got[s] + 1, t + 1
+        if t % 97 == 0 or t > 19_990:
+            assert all(abs(got[k] - t * weights[x] / total) < 1 + 1e-6 for k, x in enumerate(names))
+
+
+def test_default_mix_follows_the_weights_over_the_corpus(spark, monkeypatch):
+    monkeypatch.setattr(P, "SEGMENT", 100)
+    sources = ["big"] * 2100 + [f"s{i % 199}" for i in range(4200)]
+    docs = spark.createDataFrame([(i, f"t{i}", s) for i, s in enumerate(sources)], "doc_id long, text string, source string")
+    sizes = Counter(sources)
+    weights = {s: (1 / 3 if s == "big" else 2 / 3 / 199) for s in sizes}
+    got = P.mix(docs, weights, block_docs=1).collect()
+    assert len(got) == len(sources) and len({(r.mix_slot, r.mix_offset) for r in got}) == len(got)
+    for r in got:  # block j lies in its window, whatever ran out before
+        w = weights[r.source] / sum(weights.values())
+        assert r.mix_block / w - 1 - 1e-6 < r.mix_slot < (r.mix_block + 1) / w + 1e-6
+    assert abs(sum(r.source == "big" and r.mix_slot < 3000 for r in got) - 1000) <= 1
+    assert {s: n for s, n in Counter(r.source for r in got).items()} == sizes
+    blocks = P.mix(docs, weights, block_docs=16).collect()
+    assert all(r.mix_offset < 16 for r in blocks) and len({(r.mix_slot, r.mix_offset) for r in blocks}) == len(blocks)
+    slot = {(r.source, r.mix_block): r.mix_slot for r in blocks}
+    assert len(set(slot.values())) == len(slot) == sum(-(-n // 16) for n in sizes.values())
+
+
+def test_whole_slots_are_apportioned_by_weight():
+    assert P.slot_shares({"a": 3, "b": 1}, 8) == {"a": 6, "b": 2}
+    assert P.slot_shares({str(i): 1 if i else 99.5 for i in range(200)}, 1000)["0"] in (333, 334)
+    assert P.slot_shares({"a": 1, "b": 1e-9}, 10) == {"a": 9, "b": 1}
