@@ -35,20 +35,21 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each class of near copies stays; a row repeated
-    as it is stays once."""
+    as it is stays once, and an id that comes again with another text is another document."""
     let_workers_import(spark)
     docs = docs.select(*COLUMNS)
     scratch = Scratch(spark)
     classes = dartminhash.near_duplicates(docs)
-    gone = scratch.table(classes.filter("uid != class_id").select(F.col("uid").alias("gone_uid")).distinct())
+    gone = scratch.table(classes.filter("NOT kept").select(F.col("uid").alias("gone_uid"), F.col("k_text").alias("gone_text")).distinct())
     again = scratch.table(docs.select(*doc_key(docs["doc_id"], docs["text"])).groupBy("k_id", "k_text").count().filter("count > 1").drop("count"))
     scratch.clear(gone, again)
     keyed = docs.select("*", *doc_key(docs["doc_id"], docs["text"]), dartminhash.node_id(docs["doc_id"], docs["text"]).alias("uid"))
-    # gone ids grow with the documents, so they are never broadcast; of the rows that occur
+    # gone documents grow with the documents, so they are never broadcast; of the rows that occur
     # again, the planner knows the written size
     gone = gone.hint("merge")
-    once = join_on_doc_key(keyed, again, "left_anti", grows=False).join(gone, F.col("uid") == F.col("gone_uid"), "left_anti")
-    twice = join_on_doc_key(keyed, again, "left_semi", grows=False).join(gone, F.col("uid") == F.col("gone_uid"), "left_anti")
+    is_gone = (F.col("uid") == F.col("gone_uid")) & (F.col("k_text") == F.col("gone_text"))
+    once = join_on_doc_key(keyed, again, "left_anti", grows=False).join(gone, is_gone, "left_anti")
+    twice = join_on_doc_key(keyed, again, "left_semi", grows=False).join(gone, is_gone, "left_anti")
     return once.union(twice.dropDuplicates(["k_id", "k_text"])).select(*COLUMNS)
 
 

@@ -7,7 +7,9 @@ K coordinates, and the earliest dart of a coordinate is the document's sample th
 Two documents agree in a coordinate with probability equal to their weighted Jaccard
 similarity, and a document of any weight needs about K log K darts, not K a shingle.
 
-Samples are joined in bands. Exact copies are first folded into one node each. Nodes
+Samples are joined in bands. Exact copies, documents of one weighted set, are first
+folded into one numbered node each, so an id that comes again with another text is
+another document. Nodes
 that share band buckets, directly or through others, form a family, found from one link
 a node and bucket. A family is cut into blocks by a hash; each pair of its blocks is one
 row, whose exact similarities come from one matrix product, and which gives back links
@@ -132,17 +134,22 @@ def node_id(id_col: Column, text_col: Column) -> Column:
     return F.coalesce(id_col.cast("long"), -F.lit(1) - F.xxhash64(text_col).bitwiseAND(F.lit(2**62 - 1)))
 
 
+def node_key(id_col: Column, text_col: Column) -> list[Column]:
+    """(uid, k_text): a document's identity, as ids may repeat with other texts."""
+    return [node_id(id_col, text_col).alias("uid"), F.xxhash64(text_col).alias("k_text")]
+
+
 def sign(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """(uid, c1, c2, bands) of every document with a text: c1, c2 identify the weighted set."""
-    src = docs.filter(docs[text_col].isNotNull()).select(node_id(docs[id_col], docs[text_col]).alias("uid"), docs[text_col].cast("string").alias("t"))
-    names = ["uid", "c1", "c2", "bands"]
+    """(uid, k_text, c1, c2, bands) of every document with a text: c1, c2 identify the weighted set."""
+    src = docs.filter(docs[text_col].isNotNull()).select(*node_key(docs[id_col], docs[text_col]), docs[text_col].cast("string").alias("t"))
+    names = ["uid", "k_text", "c1", "c2", "bands"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in batches:
-            for start, size in slices(batch.column(1), 1_500_000):
+            for start, size in slices(batch.column(2), 1_500_000):
                 part = batch.slice(start, size)
-                sets = [np.unique(shingler.shingles(t), return_counts=True) for t in part.column(1).to_pylist()]
+                sets = [np.unique(shingler.shingles(t), return_counts=True) for t in part.column(2).to_pylist()]
                 doc = np.repeat(np.arange(size), [len(e) for e, _ in sets])
                 elements, counts = (np.concatenate([s[i] for s in sets]) for i in (0, 1))
                 weights = counts.astype(np.uint64)
@@ -153,18 +160,18 @@ def sign(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
                 keys = band_keys(signatures(elements, counts.astype(np.float64), doc, size, BANDS * ROWS))
                 flat = pa.array(keys.view(np.int64).ravel())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)),
+                    [part.column(0), part.column(1), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)),
                      pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32), flat)], names=names)
 
-    return src.mapInArrow(run, "uid long, c1 long, c2 long, bands array<long>")
+    return src.mapInArrow(run, "uid long, k_text long, c1 long, c2 long, bands array<long>")
 
 
 def packed_sets(docs: DataFrame, nodes: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """(node, items): each node's weighted set as sorted 64-bit items, the j-th occurrence
+    """(node, items): the weighted set of each of ``nodes`` (node, uid, k_text) as sorted 64-bit items, the j-th occurrence
     of a shingle being an item of its own; the Jaccard similarity of such sets is the weighted one."""
-    src = docs.filter(docs[text_col].isNotNull()).select(node_id(docs[id_col], docs[text_col]).alias("node"), docs[text_col].cast("string").alias("t"))
+    src = docs.filter(docs[text_col].isNotNull()).select(*node_key(docs[id_col], docs[text_col]), docs[text_col].cast("string").alias("t"))
     # the nodes grow with the documents, so they are never broadcast
-    src = src.join(nodes.hint("merge"), "node", "left_semi")
+    src = src.join(nodes.hint("merge"), ["uid", "k_text"]).select("node", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
@@ -244,7 +251,7 @@ def block_links(pairs: DataFrame, least: float) -> DataFrame:
 
 
 def near_links(nodes: DataFrame, docs: DataFrame, text_col: str, id_col: str, least: float, scratch: Scratch) -> DataFrame | None:
-    """(node, label) of nodes that have a near copy among the distinct texts. ``nodes``: node, bands."""
+    """(node, label) of nodes that have a near copy among the distinct texts. ``nodes``: node, uid, k_text, bands."""
     keys = nodes.select("node", F.explode("bands").alias("key"))
     shared = scratch.table(keys.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("hub")).filter("c > 1"))
     members = scratch.table(keys.join(shared.select("key", "hub"), "key"))
@@ -259,7 +266,7 @@ def near_links(nodes: DataFrame, docs: DataFrame, text_col: str, id_col: str, le
         families.join(sizes.filter(F.col("m") <= FAMILY), "family").select(F.lit(0).alias("kind"), "family", "node", "m")
         .union(members.join(large, "node").join(shared.select("key", "c"), "key").select(F.lit(1), "key", "node", "c")))
     blocks = placed.withColumn("of", F.ceil(F.col("m") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("node"), F.col("of")))
-    sets = packed_sets(docs, families.select("node"), text_col, id_col)
+    sets = packed_sets(docs, nodes.select("node", "uid", "k_text").join(families.select("node"), "node"), text_col, id_col)
     packed = scratch.table(blocks.join(sets, "node").groupBy("kind", "family", "of", "block").agg(F.collect_list(F.struct("node", "items")).alias("x")))
     alone = packed.select("x", F.lit(None).cast("array<struct<node:bigint,items:binary>>").alias("y"))
     split = packed.filter("of > 1")
@@ -270,28 +277,38 @@ def near_links(nodes: DataFrame, docs: DataFrame, text_col: str, id_col: str, le
 
 
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", least: float = SIMILARITY) -> DataFrame:
-    """One row a document: ``uid``, ``class_id``, ``exact_id``.
-
-    ``uid`` is the id (for a null id a negative number made from the text). ``exact_id``
-    is the smallest uid among documents with the same weighted shingle set; ``class_id``
-    the smallest uid among all that are linked by a weighted Jaccard similarity of
-    ``least`` or more, directly or through others. A class holds its own smallest uid,
-    so keeping rows with uid = class_id keeps one of each. Words are lower-cased runs of
-    word characters; a text with fewer than five is one shingle; one without words
-    (also the empty text) equals only the same text. A null text is in no class but its
-    own. Rows that repeat an id share its row here.
+    """One row a document: ``uid``, ``class_id``, ``exact_id``, ``k_text``, ``kept``.
+
+    ``uid`` is the id (for a null id a negative number made from the text) and ``k_text``
+    a hash of the text; an id that comes again with another text is another document.
+    ``exact_id`` is the smallest uid among documents with the same weighted shingle set;
+    ``class_id`` the smallest uid among all that are linked by a weighted Jaccard
+    similarity of ``least`` or more, directly or through others. ``kept`` marks the
+    document of the smallest (uid, k_text) of each class; where ids do not repeat, these
+    are the rows with uid = class_id. Words are lower-cased runs of word characters; a
+    text with fewer than five is one shingle; one without words (also the empty text)
+    equals only the same text. A null text is in no class but its own. Rows that repeat
+    both an id and its text share their row here.
     """
     scratch = Scratch(docs.sparkSession)
     signed = scratch.table(sign(docs, text_col, id_col))
-    reps = scratch.table(signed.groupBy("c1", "c2").agg(F.min("uid").alias("node"), F.count("*").alias("c")))
-    copies = scratch.table(signed.select("uid", "c1", "c2").join(reps.filter("c > 1"), ["c1", "c2"]).select("uid", "node"))
-    # the representatives of sets that occur once are found without a join
-    nodes = signed.join(copies, "uid", "left").filter("node IS NULL OR node = uid").select(F.col("uid").alias("node"), "bands").dropDuplicates(["node"])
+    # bands are a function of the set
+    nodes = scratch.table(signed.groupBy("c1", "c2").agg(F.min(F.struct("uid", "k_text")).alias("least"), F.count("*").alias("c"), F.first("bands").alias("bands"))
+                          .select(F.monotonically_increasing_id().alias("node"), "c1", "c2", "c", "least.uid", "least.k_text", "bands"))
+    reps = nodes.filter("c > 1").select("c1", "c2", F.col("uid").alias("e_uid"), F.col("k_text").alias("e_text"))
+    copies = scratch.table(signed.select("uid", "k_text", "c1", "c2").join(reps, ["c1", "c2"]).select("uid", "k_text", "e_uid", "e_text").distinct())
     labels = near_links(nodes, docs, text_col, id_col, least, scratch)
-    scratch.clear(*[t for t in (copies, labels) if t is not None])
-    out = docs.select(node_id(docs[id_col], docs[text_col]).alias("uid"))
-    out = out.join(copies.groupBy("uid").agg(F.min("node").alias("node")), "uid", "left").withColumn("exact_id", F.coalesce("node", "uid")).drop("node")
-    if labels is None:
-        return out.select("uid", F.col("exact_id").alias("class_id"), "exact_id")
-    return (out.join(labels.withColumnRenamed("node", "exact_id"), "exact_id", "left")
-            .select("uid", F.coalesce("label", "exact_id").alias("class_id"), "exact_id"))
+    linked = None
+    if labels is not None:
+        named = scratch.table(nodes.select("node", "uid", "k_text").join(labels, "node"))
+        classes = named.groupBy("label").agg(F.min(F.struct("uid", "k_text")).alias("class"))
+        linked = scratch.table(named.join(classes, "label").select(F.col("uid").alias("e_uid"), F.col("k_text").alias("e_text"), "class"))
+    scratch.clear(*[t for t in (copies, linked) if t is not None])
+    out = docs.select(*node_key(docs[id_col], docs[text_col])).join(copies, ["uid", "k_text"], "left")
+    out = out.select("uid", "k_text", F.coalesce("e_uid", "uid").alias("e_uid"), F.coalesce("e_text", "k_text").alias("e_text"))
+    top = F.struct(F.col("e_uid").alias("uid"), F.col("e_text").alias("k_text"))
+    if linked is not None:
+        out, top = out.join(linked, ["e_uid", "e_text"], "left"), F.coalesce("class", top)
+    out = out.withColumn("top", top)
+    return out.select("uid", F.col("top.uid").alias("class_id"), F.col("e_uid").alias("exact_id"), "k_text",
+                      ((F.col("uid") == F.col("top.uid")) & (F.col("k_text") == F.col("top.k_text"))).alias("kept"))

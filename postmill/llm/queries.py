@@ -103,7 +103,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_near_duplicates")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dartminhash.near_duplicates(table(spark, sf_dir, "documents"))
-    return out.select(F.col("uid").alias("doc_id"), "class_id", "exact_id", (F.col("uid") == F.col("class_id")).alias("kept"))
+    return out.select(F.col("uid").alias("doc_id"), "class_id", "exact_id", "kept")
 
 
 @_query("op8_nearest_neighbours")

@@ -136,3 +136,26 @@ def test_shared_buckets_without_any_near_copy(spark):
         rows.append((i, " ".join(words)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.uid: r.class_id for r in D.near_duplicates(docs).collect()} == brute_classes(rows)
+
+
+def test_an_id_with_several_texts_is_several_documents(spark):
+    rng = np.random.default_rng(11)
+    a, b, c = ([f"w{x}" for x in rng.integers(0, 5000, 200)] for _ in range(3))
+    near = lambda words, at: " ".join([*words[:at], "other", *words[at + 1:]])
+    rows = [(0, " ".join(a)), (1, " ".join(a)), (1, " ".join(b)), (1, near(b, 50)), (1, " ".join(c)), (7, near(c, 20)), (8, near(b, 90)), (9, "alone by itself"), (9, None)]
+    rows += [(1, " ".join(f"w{x}" for x in rng.integers(0, 5000, 50))) for _ in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = D.near_duplicates(docs).collect()
+    assert len(got) == len(rows)
+    keys = docs.select("doc_id", "text", *D.node_key(docs["doc_id"], docs["text"])).collect()
+    row = {(r.uid, r.k_text): r for r in got}
+    res = [row[k.uid, k.k_text] for k in keys]
+    want = brute_classes([(i, t) for i, (_, t) in enumerate(rows)])  # each row is a document
+    classes = {}
+    for i, k in enumerate(keys):
+        classes.setdefault(want[i], []).append(i)
+    for members in classes.values():
+        first = min(members, key=lambda i: (keys[i].uid, keys[i].k_text))
+        assert [i for i in members if res[i].kept] == [first]
+        assert {res[i].class_id for i in members} == {keys[first].uid}
+    assert [r.exact_id for r in res[:3]] == [0, 0, 1]

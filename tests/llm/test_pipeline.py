@@ -81,3 +81,9 @@ def test_result_has_the_place_that_the_mix_gave(spark, tmp_path, monkeypatch):
     docs.write.parquet(str(tmp_path / "in" / "documents.parquet"))
     monkeypatch.setattr(P, "STAGES", P.STAGES[3:])
     assert [r.doc_id for r in sorted(P.run(spark, str(tmp_path / "in")).collect(), key=lambda r: r.mix_position)] == want
+
+
+def test_clean_text_stays_when_its_id_has_a_copy_too(spark):
+    a, b = "one text of seven words or so", "quite another text that has no copy at all"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in [(0, a), (1, a), (1, b), (1, b)]], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted((r.doc_id, r.text) for r in P.drop_near_duplicates(spark, docs, SF_SMALL).collect()) == [(0, a), (1, b)]
