@@ -7,7 +7,7 @@ import functools
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from postmill.llm import ann, bpe, dartminhash, htmlcrf, langid, linededup, pfair, quality, tokencount, topk
+from postmill.llm import ann, bpe, dartminhash, hostrules, htmlcrf, langid, linededup, pfair, quality, tokencount, topk
 from postmill.session import let_workers_import
 from postmill.sources.tables import table
 
@@ -115,3 +115,37 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select(F.col("k_id").alias("doc_id"), "llr", "host_rate", "path_rate", "posterior", "kept")
+
+
+OP11_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, regexp_extract_all(t, '[^ \\t-\\r]+') AS ws FROM d),
+o AS (SELECT r, i, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT r, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)),
+m AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM o),
+rep AS (SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM m WHERE n > 1) GROUP BY r),
+l AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d),
+dup AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM l
+        WHERE regexp_matches(line, '[^ \\t-\\r]') GROUP BY r),
+c AS (SELECT d.r, doc_id, source, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
+             length(t) - length(translate(t, '{hostrules.SYMBOLS}', '')) AS n_symbols, coalesce(n_lines, 0) AS n_lines,
+             coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+      FROM d JOIN w USING (r) LEFT JOIN rep USING (r) LEFT JOIN dup USING (r)),
+f AS (SELECT source, unnest([{', '.join(f"{{'rule': '{k}', 'x': CAST({v} AS INTEGER)}}" for k, v in hostrules.RULES.items())}], recursive := true) FROM c),
+h AS (SELECT rule, source, count(*) AS n, sum(x) AS x, sum(x) / count(*) AS p FROM f GROUP BY rule, source),
+t AS (SELECT rule, count(*) AS g, sum(n) AS rows, sum(CAST(n AS DOUBLE) * n) AS squares, sum(x) / sum(n) AS mean, sum(n * p * (1 - p)) AS within FROM h GROUP BY rule),
+b AS (SELECT t.*, (SELECT sum(h.n * (h.p - t.mean) ** 2) FROM h WHERE h.rule = t.rule) / (g - 1) AS msb, within / (rows - g) AS msw,
+             (rows - squares / rows) / (g - 1) AS size FROM t),
+k AS (SELECT rule, mean, least(greatest((msb - msw) / greatest(msb + (size - 1) * msw, 1e-12), 1e-6), 1 - 1e-6) AS rho FROM b),
+p AS (SELECT source, n + st AS s, (x + mean * st) / (n + st) AS rate
+      FROM h JOIN (SELECT rule, mean, greatest({hostrules.LEAST_STRENGTH}, (1 - rho) / rho) AS st FROM k) USING (rule)),
+v AS (SELECT source, bool_or(rate - {hostrules.CAUTION} * sqrt(rate * (1 - rate) / (s + 1)) > {hostrules.HOST_LIMIT}) AS host_failed FROM p GROUP BY source),
+j AS (SELECT c.*, {' OR '.join(f"({hostrules.RULES[k]})" for k in hostrules.BASE)} AS base_failed, host_failed
+      FROM c JOIN v ON c.source IS NOT DISTINCT FROM v.source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT host_failed AS kept, host_failed FROM j
+"""
+
+
+@_query("op11_host_rules", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = hostrules.judge(table(spark, sf_dir, "documents"))
+    return out.select(F.col("k_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_failed")
