@@ -7,7 +7,7 @@ import functools
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from postmill.llm import ann, bpe, dartminhash, hostrules, htmlcrf, langid, linededup, pfair, quality, tokencount, topk
+from postmill.llm import ann, bpe, dartminhash, hostrules, htmlcrf, langid, linededup, pfair, phrases, quality, tokencount, topk
 from postmill.session import let_workers_import
 from postmill.sources.tables import table
 
@@ -149,3 +149,28 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = hostrules.judge(table(spark, sf_dir, "documents"))
     return out.select(F.col("k_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_failed")
+
+
+OP12_SQL = f"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{linededup.UPPER}', '{linededup.LOWER}') AS t FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^ \\t]+') AS ws
+      FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\\n-\\r]')) AS piece FROM d)),
+n AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: ws[i:i + k - 1])) AS p FROM w, (SELECT unnest([1, 2, 3]) AS k)),
+f AS (SELECT lang, p, count(*) AS f FROM g GROUP BY lang, p),
+c AS (SELECT lang, p, f AS a, unnest(range(1, len(p))) AS k FROM f WHERE len(p) > 1 AND f >= {phrases.LEAST}),
+s AS (SELECT c.lang, c.p, c.a, c.k, x.f AS l, y.f AS r,
+             CAST(CAST({phrases.SCALE} AS HUGEINT) * c.a * c.a // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+      FROM c JOIN f x ON x.lang = c.lang AND x.p = c.p[1:c.k] JOIN f y ON y.lang = c.lang AND y.p = c.p[c.k + 1:]),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+t AS (SELECT lang, q, max(a) AS longer FROM (SELECT lang, a, unnest([p[1:2], p[2:3]]) AS q FROM b WHERE len(p) = 3) GROUP BY lang, q),
+o AS (SELECT b.lang, array_to_string(p, ' ') AS phrase, a, l, r, score FROM b LEFT JOIN t ON t.lang = b.lang AND t.q = b.p
+      WHERE longer IS NULL OR 100 * longer < {phrases.LONGER_PERCENT} * a)
+SELECT o.lang, row_number() OVER (PARTITION BY o.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM o JOIN n ON n.lang = o.lang QUALIFY rank <= {phrases.TOP}
+"""
+
+
+@_query("op12_phrases", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
