@@ -33,6 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from postmill.llm.common import Scratch, slices
+from postmill.llm.linededup import mix
 
 TOP, LEAST, LONGER_PERCENT = 2000, 10, 50
 SCALE = 1_000_000
@@ -97,14 +98,6 @@ class Parsed:
                                           names=["lang", *[f"w{k + 1}" for k in range(size)], "c"])
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """Finalizer of a 64-bit hash (splitmix)."""
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def word_hashes(langs: pa.Array, words: pa.Array, lang: np.ndarray, word: np.ndarray) -> np.ndarray:
     of_lang = mix(np.array([xxhash.xxh64_intdigest(x) for x in langs.to_pylist()], np.uint64))
     of_word = np.array([xxhash.xxh64_intdigest(x) for x in words.to_pylist()], np.uint64)

@@ -7,7 +7,7 @@ import functools
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from postmill.llm import ann, bpe, dartminhash, hostrules, htmlcrf, langid, linededup, pfair, phrases, quality, tokencount, topk
+from postmill.llm import ann, bpe, dartminhash, hostrules, htmlcrf, langid, linededup, pfair, phrases, quality, tokencount, topk, variants
 from postmill.session import let_workers_import
 from postmill.sources.tables import table
 
@@ -174,3 +174,8 @@ FROM o JOIN n ON n.lang = o.lang QUALIFY rank <= {phrases.TOP}
 @_query("op12_phrases", OP12_SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mine(table(spark, sf_dir, "documents"))
+
+
+@_query("op13_spelling_variants")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_variants(table(spark, sf_dir, "documents"))
