@@ -139,6 +139,48 @@ def render_piece(role, content) -> Column:
              .otherwise(F.lit("")))
 
 
+FOLD = 64  # messages folded at once
+
+
+def render_messages(messages) -> Column:
+    """A nested conversation as ``struct<text, spans>``: its training string (B5) and the
+    ``start``, ``end`` of each assistant message in it (B6), as :func:`assistant_spans`.
+
+    The row is the conversation, so nothing is shuffled. Pieces are rendered once and
+    joined once; a fold over runs of ``FOLD`` pieces carries the offset and the spans, a
+    second one over the runs their offsets, so that long conversations do not copy their
+    spans at every message. A null array is null, an empty one an empty text; messages of
+    a null role or content add nothing.
+    """
+    m = F.col(messages) if isinstance(messages, str) else messages
+    pieces = F.transform(m, lambda x: F.struct(x["role"].alias("role"), F.coalesce(render_piece(x["role"], x["content"]), F.lit("")).alias("piece")))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+
+    def moved(spans: Column, by: Column) -> Column:
+        return F.transform(spans, lambda s: F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end")))
+
+    def fold(run: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            end = acc["at"] + F.length(x["piece"])
+            here = F.array(F.struct((acc["at"] + ASSISTANT_HEADER_LEN).alias("start"), end.alias("end")))
+            is_span = F.coalesce(x["role"] == "assistant", F.lit(False)) & (F.length(x["piece"]) > 0)
+            return F.struct(end.alias("at"), F.when(is_span, F.concat(acc["spans"], here)).otherwise(acc["spans"]).alias("spans"))
+        return F.aggregate(run, F.struct(F.lit(0).alias("at"), none.alias("spans")), step)
+
+    def together(runs: Column) -> Column:
+        none_yet = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("before"))
+        before = F.aggregate(runs, none_yet, lambda acc, r: F.struct((acc["at"] + r["at"]).alias("at"), F.concat(acc["before"], F.array(acc["at"])).alias("before")),
+                             lambda acc: acc["before"])
+        return F.flatten(F.zip_with(runs, before, lambda r, by: moved(r["spans"], by)))
+
+    def of(ps: Column) -> Column:
+        starts = F.when(F.size(ps) > 0, F.sequence(F.lit(1), F.size(ps), F.lit(FOLD))).otherwise(F.array().cast("array<int>"))
+        runs = F.transform(starts, lambda k: fold(F.slice(ps, k, F.lit(FOLD))))
+        return F.struct(F.array_join(F.transform(ps, lambda x: x["piece"]), "").alias("text"), F.transform(F.array(runs), together)[0].alias("spans"))
+
+    return F.when(m.isNotNull(), F.transform(F.array(pieces), of)[0])
+
+
 ASSISTANT_HEADER_LEN = len(f"{K.IM_START}assistant\n")
 ASSISTANT_TAIL_LEN = len(f"{K.IM_END}\n")
 

@@ -57,12 +57,34 @@ def prompt_length(mask, minus: int = 0) -> Column:
     return F.aggregate(_c(mask), F.lit(0), lambda a, x: a + x) - F.lit(minus)
 
 
-def response_mask(mask, prompt_len) -> Column:
+def first_real(mask) -> Column:
+    """0-based position of the first real token: the padding before a left-padded row, 0 for
+    a right-padded one, -1 if the mask has no one."""
+    return (F.array_position(_c(mask), 1) - 1).cast("int")
+
+
+def response_mask(mask, prompt_len, prompt_offset=None) -> Column:
     """Shifted response mask (F4): position i (0..n-2) is kept when
-    ``i >= prompt_len`` and ``mask[i+1] = 1``."""
+    ``i >= prompt_offset + prompt_len`` and ``mask[i+1] = 1``.
+
+    ``prompt_len`` counts real prompt tokens, so the prompt starts where the mask does:
+    by default ``prompt_offset`` is the first real position, which aligns rows padded on
+    either side. ``prompt_offset=0`` gives the reference's formula, which also keeps
+    prompt tokens of left-padded rows."""
     m = _c(mask)
-    return F.transform(F.sequence(F.lit(0), F.size(m) - 2),
-                       lambda i: (i >= _c(prompt_len)) & (F.element_at(m, i + 2) == 1))
+    off = first_real(m) if prompt_offset is None else prompt_offset if isinstance(prompt_offset, Column) else F.lit(prompt_offset)
+    start = F.array(off + _c(prompt_len))
+    # the start is bound outside the lambda over positions, so the mask is searched once
+    return F.transform(start, lambda s: F.transform(F.sequence(F.lit(0), F.size(m) - 2),
+                                                    lambda i: (i >= s) & (F.element_at(m, i + 2) == 1)))[0]
+
+
+def left_padded(values, n_pad, pad) -> Column:
+    """An array moved right by ``n_pad``: ``pad`` in front, as many of its last elements gone.
+    What a right-padded row records per position is so read as that of its left-padded form."""
+    v = _c(values)
+    n = F.size(v)
+    return F.concat(F.array_repeat(F.lit(pad), _c(n_pad).cast("int")), F.slice(v, F.lit(1), n - _c(n_pad).cast("int")))
 
 
 def nonpad_mask(ids, pad_id: int = 0) -> Column:

@@ -123,8 +123,27 @@ def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.transform(F.split("text", " ", -1), lambda w: F.length(w)).alias("ids"))
 
 
+def nested_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations in the nested form that chat corpora are stored in: (conv_id, messages).
+    A row of such a corpus is a whole conversation, however it is made."""
+    conv = table(spark, sf_dir, "conversations")
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
+    return conv.groupBy("conv_id").agg(turns.alias("turns")).select(
+        "conv_id", F.transform("turns", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"))
+
+
+TRANSCRIPT_ROLES = ("user", "assistant", "system", "tool")
+
+
+def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents read as transcripts, a line a message, the roles in turn: (doc_id, messages)."""
+    d = table(spark, sf_dir, "documents")
+    role = lambda i: F.element_at(F.array(*map(F.lit, TRANSCRIPT_ROLES)), i % len(TRANSCRIPT_ROLES) + 1)
+    return d.select("doc_id", F.transform(F.split("text", "\n"), lambda line, i: F.struct(role(i).alias("role"), line.alias("content"))).alias("messages"))
+
+
 __all__ = ["candidates", "prompt_turns", "tasks", "answers", "logprobs", "rollouts", "steps",
-           "doc_tokens", "word_count"]
+           "doc_tokens", "word_count", "nested_conversations", "transcripts"]
 
 
 def reward_replies(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from postmill import constants as K
 from postmill.operators import curate as C
+from postmill.plans import inputs as I
 from postmill.plans import sqlbits as S
 from postmill.plans.registry import query
 from postmill.sources.tables import table
@@ -143,8 +144,41 @@ FROM f""")
 def nested_first_turns(spark, sf_dir):
     """First user and assistant message of nested ``messages`` arrays, and the words of
     all user messages (B3 nested form, C1). One row is one conversation, as stored."""
-    t = table(spark, sf_dir, "conversations")
-    m = t.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("messages"))
+    m = I.nested_conversations(spark, sf_dir)
     return m.select("conv_id", C.first_message("messages", "user")["content"].alias("user_text"),
                     C.first_message("messages", "assistant")["content"].alias("assistant_text"),
                     C.role_words("messages", ["user"]).alias("user_words"))
+
+
+def _rendered(df, key):
+    """Training string and spans of nested ``messages``, the spans as text ``start-end,...``."""
+    r = df.select(key, C.render_messages("messages").alias("r"))
+    span = F.transform("r.spans", lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string")))
+    return r.select(key, F.col("r.text").alias("text"), F.array_join(span, ",").alias("spans"))
+
+
+def _rendered_sql(key, rows, order):
+    return f"""
+WITH p AS (SELECT {key}, {order} AS o, role, {_piece_sql()} AS piece FROM {rows}),
+e AS (SELECT *, sum(length(piece)) OVER (PARTITION BY {key} ORDER BY o ROWS UNBOUNDED PRECEDING) AS e FROM p)
+SELECT {key}, string_agg(piece, '' ORDER BY o) AS text,
+       coalesce(string_agg((e - length(piece) + {C.ASSISTANT_HEADER_LEN}) || '-' || e, ',' ORDER BY o) FILTER (WHERE role = 'assistant'), '') AS spans
+FROM e GROUP BY {key}"""
+
+
+@query("nested_render", _rendered_sql("conv_id", "conversations", "turn"))
+def nested_render(spark, sf_dir):
+    """Training string and assistant spans of nested conversations in one pass over each
+    row (B5, B6 nested form): the texts of chat_render and the spans of assistant_spans."""
+    return _rendered(I.nested_conversations(spark, sf_dir), "conv_id")
+
+
+_LINES = """(SELECT doc_id, i, (['user', 'assistant', 'system', 'tool'])[(i - 1) % 4 + 1] AS role, ls[i] AS text
+  FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)))"""
+
+
+@query("transcript_render", _rendered_sql("doc_id", _LINES, "i"))
+def transcript_render(spark, sf_dir):
+    """The same over documents read as transcripts, a line a message: rows that are nested
+    where they lie, with up to hundreds of messages and other roles among them (B5, B6)."""
+    return _rendered(I.transcripts(spark, sf_dir), "doc_id")

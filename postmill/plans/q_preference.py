@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from postmill import constants as K
 from postmill.functions.answer import parse_reward
 from postmill.functions.text import charset_ok
+from postmill.operators import batchcall as BC
 from postmill.operators import enrich as EN
 from postmill.operators import preference as P
 from postmill.operators.curate import split_kept, filter_counts
@@ -242,3 +243,54 @@ def reward_requests(spark, sf_dir):
     """Reward-model requests as JSON text, one line per recorded response."""
     r = I.recorded_responses(spark, sf_dir).join(table(spark, sf_dir, "benchmark"), "item_id")
     return r.select("item_id", "variant", F.to_json(EN.reward_request("text", "response")).alias("request"))
+
+
+def _answer(frame):
+    """Stands in for a model: the last word but one of the instruction, then the prompt; some prompts are refused."""
+    refused = frame["item_id"][frame["item_id"] % 7 == 3]
+    if len(refused):
+        raise RuntimeError(f"refused {refused.iloc[0]}")
+    return {"response": [f"{m[0]['content'].split(' ')[-2]} {m[1]['content']}" for m in frame["messages"]]}
+
+
+def _judge(frame):
+    """Stands in for a reward model: replies by the response's length, some without a number."""
+    n = [len(m[1]["content"]) for m in frame["reward_request"]]
+    return {"reply": ["reward: ???" if k % 11 == 4 else f"reward:{k * 7 % 29 - 14}" for k in n]}
+
+
+def _batch_responses(spark, sf_dir):
+    return BC.respond(EN.good_bad_requests(table(spark, sf_dir, "benchmark")), _answer, ("item_id", "messages"), batch_rows=8)
+
+
+RESPONSES_SQL = f"""
+SELECT item_id, variant, CASE WHEN item_id % 7 <> 3 THEN string_split(system, ' ')[-2] || ' ' || text END AS response,
+       CASE WHEN item_id % 7 = 3 THEN 'RuntimeError: refused ' || item_id END AS reject_reason
+FROM (SELECT item_id, 'good' AS variant, '{K.GOOD_SYSTEM}' AS system, text FROM benchmark
+      UNION ALL SELECT item_id, 'bad', '{K.BAD_SYSTEM}', text FROM benchmark)"""
+
+
+@query("batch_responses", RESPONSES_SQL)
+def batch_responses(spark, sf_dir):
+    """Good and bad requests of every prompt through a function over bounded batches;
+    only the rows that it refuses become rejects (B17, H1)."""
+    return _batch_responses(spark, sf_dir).select("item_id", "variant", "response", "reject_reason")
+
+
+@query("batch_rewards", f"""
+WITH r AS ({RESPONSES_SQL}),
+s AS (SELECT item_id, variant, CASE WHEN length(response) % 11 <> 4 THEN CAST(length(response) * 7 % 29 - 14 AS DOUBLE) END AS score
+      FROM r WHERE reject_reason IS NULL),
+v AS (SELECT item_id, max(score) FILTER (WHERE variant = 'good') AS good_score, max(score) FILTER (WHERE variant = 'bad') AS bad_score
+      FROM s GROUP BY item_id)
+SELECT item_id, good_score, bad_score, CASE WHEN good_score IS NULL OR bad_score IS NULL THEN 'unparsable'
+       WHEN good_score <= bad_score THEN 'no_margin' WHEN good_score < {K.AIF_MIN_GOOD} THEN 'low_good_score' END AS reject_reason FROM v""")
+def batch_rewards(spark, sf_dir):
+    """Responses by a function, reward requests, rewards by a second function, replies
+    parsed and pairs accepted (B16, H1, H2, D5, C7)."""
+    kept, _ = split_kept(_batch_responses(spark, sf_dir))
+    asked = kept.drop("reject_reason").withColumn("reward_request", EN.reward_request("text", "response"))
+    scored = BC.reward(asked, _judge, batch_rows=8)
+    sides = scored.groupBy("item_id").agg(F.max(F.when(F.col("variant") == "good", F.col("score"))).alias("good_score"),
+                                          F.max(F.when(F.col("variant") == "bad", F.col("score"))).alias("bad_score"))
+    return P.ai_feedback_accept(sides).select("item_id", "good_score", "bad_score", "reject_reason")

@@ -138,6 +138,23 @@ def seq_logprob(spark, sf_dir):
                     "n_resp_rl", F.round("lp_mean", 6).alias("lp_mean"))
 
 
+@query("seq_logprob_left", f"""
+SELECT vec_id, prompt_len, n_resp_pref AS n_resp, round(lp_sum, 6) AS lp_sum, round(lp_mean, 6) AS lp_mean_rl,
+       CAST(list_sum(list_transform(range({L}), lambda i: CASE WHEN i >= prompt_len AND i + 1 >= n_pad THEN 1 ELSE 0 END)) AS INTEGER) AS n_unaligned
+FROM (SELECT r.*, n_pad FROM ({SEQ_SQL}) r JOIN (SELECT vec_id, label AS n_pad FROM embeddings) USING (vec_id))""")
+def seq_logprob_left(spark, sf_dir):
+    """The same sequences padded on the left: masks aligned at the first real token give the
+    sums of the right-padded rows (F3, F4, G1, G2). ``n_unaligned`` counts what the formula
+    without an offset keeps, prompt tokens among them."""
+    lp = I.logprobs(spark, sf_dir).withColumn("prompt_len", F.col("prompt_len").cast("int"))
+    am = F.transform(F.sequence(F.lit(0), F.lit(L)), lambda j: F.when(j >= F.col("n_pad"), 1).otherwise(0))
+    lp = lp.withColumn("am", am).withColumn("left", T.left_padded("lp", "n_pad", -1e9))
+    lp = lp.withColumn("m_pref", T.response_mask("am", F.col("prompt_len") - 1)).withColumn("m_rl", T.response_mask("am", "prompt_len"))
+    return lp.select("vec_id", "prompt_len", LS.mask_count("m_pref").alias("n_resp"), F.round(LS.masked_sum("left", "m_pref"), 6).alias("lp_sum"),
+                     F.round(LS.masked_mean("left", "m_rl"), 6).alias("lp_mean_rl"),
+                     LS.mask_count(T.response_mask("am", "prompt_len", prompt_offset=0)).alias("n_unaligned"))
+
+
 def _r6(*cols):
     return [F.round(c, 6).alias(c) for c in cols]
 

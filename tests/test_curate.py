@@ -57,3 +57,32 @@ def test_filter_counts_cover_all_rows(spark):
     out = C.curate_chat(C.first_turns(conv_t), max_in=30, max_out=150)
     total = sum(r.n for r in C.filter_counts(out).collect())
     assert total == conv_t.select("conv_id").distinct().count()
+
+
+def test_nested_rendering_equals_the_flat_form(spark):
+    import random
+    rng = random.Random(8)
+    rows = []
+    for conv in range(40):
+        n = rng.choice([0, 1, 2, 5, 63, 64, 65, 200])
+        rows.append((conv, [(rng.choice(["user", "assistant", "system", "tool"]), rng.choice(["", " ", "hi", "é日🙂\n", "x" * 50])) for _ in range(n)]))
+    nested = spark.createDataFrame(rows, "conv_id long, messages array<struct<role:string,content:string>>")
+    flat = spark.createDataFrame([(c, t, r, x) for c, ms in rows for t, (r, x) in enumerate(ms)], "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r.r for r in nested.select("conv_id", C.render_messages("messages").alias("r")).collect()}
+    texts = {r.conv_id: r.text for r in C.render_conversations(flat).collect()}
+    spans = {}
+    for r in C.assistant_spans(flat).collect():
+        spans.setdefault(r.conv_id, []).append((r.turn, r.span_start, r.span_end))
+    for conv, ms in rows:
+        assert got[conv].text == texts.get(conv, "")
+        assert [tuple(s) for s in got[conv].spans] == [(a, b) for _, a, b in sorted(spans.get(conv, []))]
+        said = [x for r, x in ms if r == "assistant"]
+        assert [got[conv].text[s.start:s.end] for s in got[conv].spans] == [f"{x}<|im_end|>\n" for x in said]
+
+
+def test_nested_rendering_of_nulls(spark):
+    df = spark.createDataFrame([(1, None), (2, [("user", None), (None, "x"), ("assistant", "y")]), (3, [("assistant", None)])],
+                               "id int, messages array<struct<role:string,content:string>>")
+    got = {r.id: r.r for r in df.select("id", C.render_messages("messages").alias("r")).collect()}
+    assert got[1] is None and got[3].text == "" and got[3].spans == []
+    assert got[2].text == "<|im_start|>assistant\ny<|im_end|>\n" and [tuple(s) for s in got[2].spans] == [(22, 34)]

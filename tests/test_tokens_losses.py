@@ -58,3 +58,17 @@ def test_preference_stats_small(spark):
 def test_log_sigmoid_stable(spark):
     r = spark.range(1).select(LS.log_sigmoid(F.lit(-800.0)).alias("a"), LS.log_sigmoid(F.lit(800.0)).alias("b")).first()
     assert r.a == -800.0 and r.b == 0.0
+
+
+def test_response_mask_of_left_padded_rows(spark):
+    rows = [([1, 1, 1, 1, 0, 0], 2, 2), ([1, 1, 1, 1, 1, 1], 3, 0), ([1, 0, 0, 0, 0, 0], 1, 5), ([0] * 6, 0, 6)]
+    df = spark.createDataFrame([(m, p, n, [-1.0 * k for k in range(1, 6)]) for m, p, n in rows], "m array<int>, p int, n int, lp array<double>")
+    flipped = df.withColumn("lm", F.reverse("m")).withColumn("ll", T.left_padded("lp", F.least("n", F.lit(5)), 99.0))
+    got = flipped.select(T.response_mask("m", "p").alias("right"), T.response_mask("lm", "p").alias("left"), T.first_real("lm").alias("at"),
+                         T.response_mask("lm", "p", prompt_offset=0).alias("formula"), T.response_mask("lm", "p", prompt_offset=F.col("n")).alias("given"),
+                         LS.masked_sum("lp", T.response_mask("m", "p")).alias("a"), LS.masked_sum("ll", T.response_mask("lm", "p")).alias("b")).collect()
+    for (m, p, n), r in zip(rows, got):
+        assert sum(r.right) == sum(r.left) == max(0, sum(m) - 1 - p) and r.a == r.b
+        assert r.at == (n if any(m) else -1)
+        assert r.left == r.given or not any(m)
+    assert got[0].formula == [False, False, True, True, True]  # two prompt tokens too many
