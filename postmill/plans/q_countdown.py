@@ -59,38 +59,73 @@ def _perm_sql(n: int) -> str:
             f"FROM {frm} WHERE {distinct}")
 
 
-def _branch(n, per, ord_expr, text, value, nops):
+def _sum_sql(t) -> str:
+    return f"({_plain_sql(t[1])} || {_signed_sql(t[2], f'{t[0]} = 1')})"
+
+
+def _product_sql(t) -> str:
+    o, left, right = t
+    second = _term_sql(right)
+    if isinstance(right, tuple):
+        second = f"CASE WHEN {o} = 3 AND {right[0]} >= 2 THEN '(' || {second} || ')' ELSE {second} END"
+    return f"({_term_sql(left)} || CASE {o} WHEN 2 THEN ' * ' ELSE ' / ' END || {second})"
+
+
+def _term_sql(t) -> str:
+    """A part of a product: a sum stands in parentheses."""
+    if not isinstance(t, tuple):
+        return f"CAST(i{t} AS VARCHAR)"
+    return f"CASE WHEN {t[0]} < 2 THEN '(' || {_sum_sql(t)} || ')' ELSE {_product_sql(t)} END"
+
+
+def _signed_sql(t, minus: str) -> str:
+    """Terms after the first of a sum, signs carried through its parts."""
+    whole = f"(CASE WHEN {minus} THEN ' - ' ELSE ' + ' END || {_term_sql(t)})"
+    if not isinstance(t, tuple):
+        return whole
+    return f"CASE WHEN {t[0]} < 2 THEN {_signed_sql(t[1], minus)} || {_signed_sql(t[2], f'(({minus}) <> ({t[0]} = 1))')} ELSE {whole} END"
+
+
+def _plain_sql(t) -> str:
+    """The text with the fewest parentheses, for a tree shape of operator columns and leaves."""
+    if not isinstance(t, tuple):
+        return _term_sql(t)
+    return f"CASE WHEN {t[0]} < 2 THEN {_sum_sql(t)} ELSE {_product_sql(t)} END"
+
+
+def _branch(n, per, ord_expr, text, value, nops, shape):
     ops = ", ".join(f"range(4) x{i}(o{i})" for i in range(1, nops + 1))
-    return (f"SELECT nums, target, pi * {per} + {ord_expr} AS ord, {text} AS expr "
+    return (f"SELECT nums, target, pi * {per} + {ord_expr} AS ord, {text} AS expr, {_plain_sql(shape)} AS plain "
             f"FROM k{n}, {ops} WHERE abs({value} - target) < 1e-5")
 
 
-def _solve_sql() -> str:
+def _hits_sql() -> str:
+    """CTEs up to ``hits``: every candidate that hits its key's target."""
     a, b, c, d = "a", "b", "c", "d"
     sa, sb, sc, sd = "CAST(ia AS VARCHAR)", "CAST(ib AS VARCHAR)", "CAST(ic AS VARCHAR)", "CAST(id AS VARCHAR)"
     s1, s2, s3 = _s("o1"), _s("o2"), _s("o3")
     br3 = [
         _branch(3, 32, "o1 * 4 + o2", f"'(' || {sa} || ' ' || {s2} || ' (' || {sb} || ' ' || {s1} || ' ' || {sc} || '))'",
-                _f("o2", a, _f("o1", b, c)), 2),
+                _f("o2", a, _f("o1", b, c)), 2, ("o2", "a", ("o1", "b", "c"))),
         _branch(3, 32, "16 + o1 * 4 + o2", f"'((' || {sa} || ' ' || {s1} || ' ' || {sb} || ') ' || {s2} || ' ' || {sc} || ')'",
-                _f("o2", _f("o1", a, b), c), 2),
+                _f("o2", _f("o1", a, b), c), 2, ("o2", ("o1", "a", "b"), "c")),
     ]
     br4 = [
         _branch(4, 320, "(o1 * 4 + o2) * 4 + o3",
                 f"'(' || {sa} || ' ' || {s3} || ' (' || {sb} || ' ' || {s2} || ' (' || {sc} || ' ' || {s1} || ' ' || {sd} || ')))'",
-                _f("o3", a, _f("o2", b, _f("o1", c, d))), 3),
+                _f("o3", a, _f("o2", b, _f("o1", c, d))), 3, ("o3", "a", ("o2", "b", ("o1", "c", "d")))),
         _branch(4, 320, "(16 + o1 * 4 + o2) * 4 + o3",
                 f"'(' || {sa} || ' ' || {s3} || ' ((' || {sb} || ' ' || {s1} || ' ' || {sc} || ') ' || {s2} || ' ' || {sd} || '))'",
-                _f("o3", a, _f("o2", _f("o1", b, c), d)), 3),
+                _f("o3", a, _f("o2", _f("o1", b, c), d)), 3, ("o3", "a", ("o2", ("o1", "b", "c"), "d"))),
         _branch(4, 320, "128 + (o1 * 4 + o2) * 4 + o3",
                 f"'((' || {sa} || ' ' || {s1} || ' ' || {sb} || ') ' || {s3} || ' (' || {sc} || ' ' || {s2} || ' ' || {sd} || '))'",
-                _f("o3", _f("o1", a, b), _f("o2", c, d)), 3),
+                _f("o3", _f("o1", a, b), _f("o2", c, d)), 3, ("o3", ("o1", "a", "b"), ("o2", "c", "d"))),
         _branch(4, 320, "192 + (o1 * 4 + o2) * 4 + o3",
                 f"'((' || {sa} || ' ' || {s2} || ' (' || {sb} || ' ' || {s1} || ' ' || {sc} || ')) ' || {s3} || ' ' || {sd} || ')'",
-                _f("o3", _f("o2", a, _f("o1", b, c)), d), 3),
+                _f("o3", _f("o2", a, _f("o1", b, c)), d), 3, ("o3", ("o2", "a", ("o1", "b", "c")), "d")),
         _branch(4, 320, "192 + (16 + o1 * 4 + o2) * 4 + o3",
                 f"'(((' || {sa} || ' ' || {s1} || ' ' || {sb} || ') ' || {s2} || ' ' || {sc} || ') ' || {s3} || ' ' || {sd} || ')'",
-                _f("o3", _f("o2", _f("o1", a, b), c), d), 3),
+                _f("o3", _f("o2", _f("o1", a, b), c), d), 3, ("o3", ("o2", ("o1", "a", "b"), "c"), "d")),
     ]
     def kn(n):
         leaves = ", ".join(f"nums[q{i} + 1] AS i{x}, CAST(nums[q{i} + 1] AS DOUBLE) AS {x}"
@@ -102,7 +137,11 @@ WITH t AS ({S.TASKS}),
 k AS (SELECT DISTINCT nums, target FROM t),
 k3 AS ({kn(3)}),
 k4 AS ({kn(4)}),
-hits AS ({hits}),
+hits AS ({hits})"""
+
+
+def _solve_sql() -> str:
+    return f"""{_hits_sql()},
 best AS (SELECT nums, target, arg_min(expr, ord) AS expr FROM hits GROUP BY nums, target)
 SELECT t.task_id, coalesce(best.expr, '') AS answer_raw, best.expr IS NOT NULL AS solved
 FROM t LEFT JOIN best ON t.nums = best.nums AND t.target = best.target"""
@@ -128,11 +167,25 @@ def countdown_hint_prompts(spark, sf_dir):
     return s.select("task_id", CD.countdown_prompt(hint="middle", answer="answer_raw").alias("prompt"))
 
 
-@query("countdown_simplified")
+@query("countdown_solution_count", f"""{_hits_sql()},
+n AS (SELECT nums, target, count(*) AS n FROM hits GROUP BY nums, target)
+SELECT t.task_id, coalesce(n.n, 0) AS n_solutions FROM t LEFT JOIN n ON t.nums = n.nums AND t.target = n.target""")
+def countdown_solution_count(spark, sf_dir):
+    """How many candidates of the enumeration hit the target."""
+    return CD.count_solutions(I.tasks(spark, sf_dir)).select("task_id", "n_solutions")
+
+
+@query("countdown_simplified", f"""{_hits_sql()},
+best AS (SELECT nums, target, arg_min(plain, ord) AS plain FROM hits GROUP BY nums, target),
+s AS (SELECT t.task_id, t.nums, t.target, coalesce(best.plain, '') AS answer, best.plain IS NOT NULL AS solved
+      FROM t LEFT JOIN best ON t.nums = best.nums AND t.target = best.target)
+SELECT task_id, answer, CASE WHEN solved THEN true END AS answer_verified, true AS raw_balanced,
+       {_prompt_sql(_fill_sql(K.CD_INTRO + K.CD_RULES + K.CD_HINT_END, 'answer'))} AS prompt_end,
+       {_fill_sql(K.CD_TEACHER, 'answer')} AS teacher_user FROM s""")
 def countdown_simplified(spark, sf_dir):
     """Simplified answers, their re-check, balance flag, the answer-at-the-end
-    prompt and the teacher request (D7, D8, D11, B12, B14). No SQL oracle: tests
-    compare every tree's plain text with exact arithmetic on the full text."""
+    prompt and the teacher request (D7, D8, D11, B12, B14). The oracle writes each tree
+    shape's text with the fewest parentheses as a column expression."""
     s = CD.verify(CD.solve(I.tasks(spark, sf_dir)))
     return s.select("task_id", "answer", "answer_verified",
                     CD.balanced(F.col("answer_raw")).alias("raw_balanced"),

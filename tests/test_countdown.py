@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from postmill.operators import countdown as CD
+from postmill.operators import values as V
 
 OPS = ["+", "-", "*", "/"]
 
@@ -157,3 +158,64 @@ def test_prompts_match_literal_texts(spark):
     assert row.teacher == ("Using the numbers [3, 5, 8], create an equation that equals 16, here is the answer: 3 + 5 + 8. You can use basic "
                            "arithmetic operations (+, -, *, /) and each number can only be used once. Show your thinking process in <think> "
                            "</think> tags. And return the final answer equation in <answer> </answer> tags with the format <answer> 3 + 5 + 8 </answer>")
+
+
+def _all_hits(nums, target):
+    """(first expression, number of hits) with every candidate evaluated."""
+    first, n = None, 0
+    for chunk, hit in CD.hits_by_order(nums, target):
+        n += int(hit.sum())
+        row = hit.any(axis=1)
+        if first is None and row.any():
+            k = int(row.argmax())
+            first = CD.full_text(CD.tree(int(hit[k].argmax()), chunk[k]))
+    return first, n
+
+
+def _searched(nums, target):
+    s = V.Search(nums, target, 1e-5)
+    found = s.first()
+    return found and CD.full_text(CD.tree(found[1], tuple(nums[i] for i in found[0]))), s.count()
+
+
+def test_search_over_sets_of_operands_equals_all_candidates(monkeypatch):
+    rnd = random.Random(6)
+    cases = [([rnd.randint(0, 30) for _ in range(n)], rnd.choice([rnd.randint(0, 60), 10**6 + 7])) for n in (1, 2, 2, 3, 3, 3, 4, 4, 5, 6)]
+    cases += [([0, 0, 0], 0), ([5, 5, 5, 5], 5), ([7], 7), ([7], 8), ([1, 0, 3, 0], 3)]
+    want = [_all_hits(*c) for c in cases]
+    assert [_searched(*c) for c in cases] == want
+    monkeypatch.setattr(V, "TRIED", 0)         # the sets alone
+    monkeypatch.setattr(V, "CANDIDATES", 100)  # in many slices, tables merged often
+    assert [_searched(*c) for c in cases[:9] + cases[10:]] == want[:9] + want[10:]
+
+
+LIMITED = """
+import resource, sys
+sys.path.insert(0, {root!r})
+from postmill.operators.values import Search
+base = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024
+assert Search([3, 17, 29, 41, 58, 64, 97], 10**9 + 7, 1e-5).first() is None
+assert Search([3, 17, 29, 41, 58, 64, 97, 11], 77, 1e-5).first() is not None
+assert Search([3, 17, 29, 41, 58, 64, 97, 11, 5], 77, 1e-5).first() is not None
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024 - base)
+"""
+
+
+def test_memory_of_the_search_is_bounded():
+    """Seven operands without an answer (2.7 billion candidates), eight and nine with one."""
+    import subprocess
+    import sys
+
+    from tests.conftest import ROOT
+    out = subprocess.run([sys.executable, "-c", LIMITED.format(root=ROOT)], capture_output=True, text=True, timeout=300)
+    assert int(out.stdout) < 400, out.stderr
+
+
+def test_counts_and_operands_past_the_limit(spark):
+    tasks = [(1, [3, 5, 8], 16), (2, [1, 1], 50), (3, [2, 2, 2, 2, 2, 2], 12), (4, None, 5), (5, [], 5), (6, [4], None), (7, [4, -4], 0), (8, list(range(1, 12)), 9)]
+    df = spark.createDataFrame(tasks, "task_id long, nums array<int>, target int")
+    got = {r.task_id: r.n_solutions for r in CD.count_solutions(df).collect()}
+    want = {t: _all_hits(n, g)[1] if n and g is not None and min(n) >= 0 and len(n) <= 10 else 0 for t, n, g in tasks[:7]}
+    assert got == {**want, 8: None} and want[3] > 1000
+    solved = {r.task_id: (r.solved, r.answer_raw) for r in CD.solve(df).collect()}
+    assert solved[8] == (None, "") and solved[4] == (False, "") and solved[3][0]
