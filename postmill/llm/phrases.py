@@ -7,7 +7,9 @@ first cut is at most f(w1 w2) / f(w1), which the counts of the prefix tell, and
 at most f(w2 w3) / f(w3): bounds that never fall short of a score. A pair's own bound from
 its first word alone is 1, so pairs of frequent words are all counted.
 
-1. Words are counted by language, then pairs of words that reach ``least``.
+1. Words are counted by language, then pairs of frequent words: first 64-bit hashes of
+   pairs alone, which are small rows, then the pairs whose hash reaches ``least``, by their
+   words. Two pairs of one hash only let a rare pair into the second count.
 2. Each language's frontier is cut at a threshold (score, frequency): that of its pair of
    rank ``top``. Prefixes whose bound reaches it are expanded, and pairs whose own score
    reaches it are grown on both sides, to see which of them a longer phrase replaces. Only
@@ -32,14 +34,14 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from postmill.llm.common import Scratch, slices
+from postmill.llm.common import Scratch, give_back, slices
 from postmill.llm.linededup import mix
 
 TOP, LEAST, LONGER_PERCENT = 2000, 10, 50
 SCALE = 1_000_000
 DEEPER = 4
 BUCKETS, SEGMENT = 1 << 23, 1 << 16
-SLICE = 8_000_000
+SLICE = 2_000_000
 WORD, BLANK, BREAK = 0, 1, 2
 #: What a bucket says of its keys: frequent, a prefix to expand, a suffix of a phrase that
 #: may reach the threshold, over the threshold itself.
@@ -70,7 +72,7 @@ class Parsed:
         starts = np.flatnonzero(inside & ~(np.r_[False, inside[:-1]][:len(inside)] & ~opens[:-1]))
         stops = np.flatnonzero(inside & ~(np.r_[inside[1:], False][:len(inside)] & ~opens[1:])) + 1
         doc = np.searchsorted(offsets, starts, "right") - 1
-        piece = np.cumsum(kind == BREAK)[starts] if len(starts) else starts
+        piece = np.cumsum(kind == BREAK, dtype=np.int32)[starts] if len(starts) else starts
         self.follows = (doc[1:] == doc[:-1]) & (piece[1:] == piece[:-1])
         places = np.concatenate([[0], np.cumsum(stops - starts)]).astype(np.int64)
         letters = FOLD[data[inside]]
@@ -116,16 +118,22 @@ def buckets(hashes: np.ndarray) -> np.ndarray:
 
 # ---- passes over the texts ----------------------------------------------------
 
-def count_pass(docs: DataFrame, size: int, chosen: Callable[[Parsed], Iterator[pa.RecordBatch]]) -> DataFrame:
-    """(lang, w1.., f) summed over what ``chosen`` yields for each slice of texts."""
-    names = [f"w{k + 1}" for k in range(size)]
+def over_slices(docs: DataFrame, chosen: Callable[[Parsed], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What ``chosen`` yields for each slice of the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, length in slices(batch.column(1), SLICE):
                 yield from chosen(Parsed(batch.column(0).slice(start, length), batch.column(1).slice(start, length)))
+        give_back()
+
+    return docs.select("lang", "text").mapInArrow(run, schema)
+
 
-    counted = docs.select("lang", "text").mapInArrow(run, f"lang string, {', '.join(f'{n} string' for n in names)}, c long")
+def count_pass(docs: DataFrame, size: int, chosen: Callable[[Parsed], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """(lang, w1.., f) summed over what ``chosen`` yields for each slice of texts."""
+    names = [f"w{k + 1}" for k in range(size)]
+    counted = over_slices(docs, chosen, f"lang string, {', '.join(f'{n} string' for n in names)}, c long")
     return counted.groupBy("lang", *names).agg(F.sum("c").alias("f"))
 
 
@@ -140,12 +148,31 @@ def count_words(docs: DataFrame, least: int) -> DataFrame:
     return count_pass(docs, 1, chosen).filter((F.col("f") >= least) | F.col("w1").isNull())
 
 
-def count_pairs(docs: DataFrame, least: int, words) -> DataFrame:
-    """(lang, w1, w2, f) of pairs that reach ``least``; both their words do."""
+def count_pair_hashes(docs: DataFrame, least: int, words) -> DataFrame:
+    """(bucket, flags) of the hashes of pairs of frequent words that reach ``least``."""
+
+    def chosen(p: Parsed) -> Iterator[pa.RecordBatch]:
+        h = p.hashes()
+        frequent = words.value[buckets(h)] > 0
+        at = np.flatnonzero(p.follows & frequent[:-1] & frequent[1:])
+        key, c = np.unique(chained(h[at], h[at + 1]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(c, pa.int64())], names=["hash", "c"])
+
+    def to_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = buckets(b.column(0).to_numpy().view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.full(len(at), FREQUENT, np.int32))], names=["bucket", "flags"])
+
+    counted = over_slices(docs, chosen, "hash long, c long").groupBy("hash").agg(F.sum("c").alias("f"))
+    return counted.filter(F.col("f") >= least).select("hash").mapInArrow(to_bucket, "bucket long, flags int")
+
+
+def count_pairs(docs: DataFrame, least: int, hashes) -> DataFrame:
+    """(lang, w1, w2, f) of pairs that reach ``least``; their hashes do."""
 
     def chosen(p: Parsed) -> Iterator[pa.RecordBatch]:
-        frequent = words.value[buckets(p.hashes())] > 0
-        yield p.counted(np.flatnonzero(p.follows & frequent[:-1] & frequent[1:]), 2)
+        h = p.hashes()
+        yield p.counted(np.flatnonzero(p.follows & (hashes.value[buckets(chained(h[:-1], h[1:]))] > 0)), 2)
 
     return count_pass(docs, 2, chosen).filter(F.col("f") >= least)
 
@@ -164,22 +191,15 @@ def count_triples(docs: DataFrame, least: int, pairs) -> DataFrame:
     return count_pass(docs, 3, chosen).filter(F.col("f") >= least)
 
 
-def sketch(keys: DataFrame, names: list[str]) -> np.ndarray:
-    """Flags by bucket for rows (lang, names.., flags): ``BUCKETS`` bytes whatever the table's size."""
-
-    def to_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            every = np.arange(b.num_rows)
-            h = [word_hashes(b.column(0), b.column(1 + k), every, every) for k in range(len(names))]
-            at = buckets(h[0] if len(h) == 1 else chained(*h))
-            yield pa.RecordBatch.from_arrays([pa.array(at), b.column(1 + len(names))], names=["bucket", "flags"])
+def sketch(bucketed: DataFrame) -> np.ndarray:
+    """Flags by bucket for rows (bucket, flags): ``BUCKETS`` bytes whatever the table's size."""
 
     def to_bytes(table: pa.Table) -> pa.Table:
         out = np.zeros(SEGMENT, np.uint8)
         out[table.column("bucket").to_numpy() % SEGMENT] = table.column("flags").to_numpy()
         return pa.table({"segment": table.column("segment").slice(0, 1), "held": pa.array([out.tobytes()], pa.binary())})
 
-    merged = keys.select("lang", *names, "flags").mapInArrow(to_bucket, "bucket long, flags int").groupBy("bucket").agg(F.bit_or("flags").alias("flags"))
+    merged = bucketed.groupBy("bucket").agg(F.bit_or("flags").alias("flags"))
     rows = merged.withColumn("segment", F.expr(f"bucket div {SEGMENT}")).groupBy("segment").applyInArrow(to_bytes, "segment long, held binary")
     out = np.zeros(BUCKETS, np.uint8)
     for r in rows.collect():  # at most BUCKETS / SEGMENT rows of SEGMENT bytes
@@ -187,6 +207,19 @@ def sketch(keys: DataFrame, names: list[str]) -> np.ndarray:
     return out
 
 
+def in_buckets(keys: DataFrame, names: list[str]) -> DataFrame:
+    """(bucket, flags) of rows (lang, names.., flags)."""
+
+    def to_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            every = np.arange(b.num_rows)
+            h = [word_hashes(b.column(0), b.column(1 + k), every, every) for k in range(len(names))]
+            at = buckets(h[0] if len(h) == 1 else chained(*h))
+            yield pa.RecordBatch.from_arrays([pa.array(at), b.column(1 + len(names))], names=["bucket", "flags"])
+
+    return keys.select("lang", *names, "flags").mapInArrow(to_bucket, "bucket long, flags int")
+
+
 # ---- scores and the search ----------------------------------------------------
 
 def score(a: str, left: str, right: str) -> Column:
@@ -254,15 +287,16 @@ def mine(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", top: i
     docs = docs.select(F.coalesce(docs[lang_col].cast("string"), F.lit("und")).alias("lang"), docs[text_col].cast("string").alias("text"))
     counted = scratch.table(count_words(docs, least))
     totals, words = counted.filter("w1 IS NULL").select("lang", F.col("f").alias("n")), counted.filter("w1 IS NOT NULL")
-    known = sc.broadcast(sketch(words.withColumn("flags", F.lit(FREQUENT)), ["w1"]))
-    pairs = scratch.table(scored_pairs(count_pairs(docs, least, known), words))
+    known = sc.broadcast(sketch(in_buckets(words.withColumn("flags", F.lit(FREQUENT)), ["w1"])))
+    hashes = sc.broadcast(sketch(count_pair_hashes(docs, least, known)))
+    pairs = scratch.table(scored_pairs(count_pairs(docs, least, hashes), words))
     open_langs, rank, settled = scratch.table(pairs.select("lang").distinct()), top, []
     while not open_langs.isEmpty():
         limits = scratch.table(thresholds(pairs, open_langs, rank))
         flagged = pairs.join(limits, "lang").withColumn("flags", F.lit(FREQUENT) + sum((
             F.when(reaches(bound, F.col("a")), flag).otherwise(0) for bound, flag in (
                 (F.expr(f"{SCALE} * a div l"), PREFIX), (F.expr(f"{SCALE} * a div r"), SUFFIX), (F.col("score"), CONTENDER))), F.lit(0)))
-        frontier = sc.broadcast(sketch(flagged, ["w1", "w2"]))
+        frontier = sc.broadcast(sketch(in_buckets(flagged, ["w1", "w2"])))
         # one row a language; only open ones are read again
         triples = count_triples(docs.join(limits.select("lang"), "lang", "left_semi"), least, frontier)
         triples = scratch.table(scored_triples(triples, pairs, words))
