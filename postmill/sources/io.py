@@ -72,6 +72,14 @@ def read_prompt_list(spark: SparkSession, path: str) -> DataFrame:
     return d.select(F.posexplode("prompts").alias("prompt_idx", "prompt"))
 
 
+def read_prompt_lists(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
+    """Prompt lists as JSON lines, an object with ``prompts`` a line: (key, prompt_idx, prompt)
+    rows (A3). Unlike a list in one file, lists split across tasks. ``key`` declares a
+    column that names the list."""
+    d = spark.read.schema(", ".join(filter(None, [key, "prompts array<string>"]))).json(path)
+    return d.select(*d.columns[:-1], F.posexplode("prompts").alias("prompt_idx", "prompt"))
+
+
 def read_split(spark: SparkSession, root: str, split: str, fmt: str = "parquet") -> DataFrame:
     """Split-addressed corpus stored partitioned by ``split`` (A4); the
     predicate prunes partitions at planning time."""
