@@ -3,7 +3,7 @@ higher-order functions: no explode/regroup, no shuffle."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postmill import constants as K
@@ -53,8 +53,8 @@ def span_labels(ids, n_real, spans, max_length: int, keep: str = "last"):
 
 
 def prompt_length(mask, minus: int = 0) -> Column:
-    """Count of ones in the prompt mask, minus an optional offset."""
-    return F.aggregate(_c(mask), F.lit(0), lambda a, x: a + x) - F.lit(minus)
+    """Count of ones in the 0/1 prompt mask, minus an optional offset."""
+    return F.size(F.array_remove(_c(mask), 0)) - F.lit(minus)
 
 
 def first_real(mask) -> Column:
@@ -93,10 +93,8 @@ def nonpad_mask(ids, pad_id: int = 0) -> Column:
 
 
 def collate(df: DataFrame, batch: str, ids: str, pad_id: int = 0) -> DataFrame:
-    """Pad every row to the longest sequence of its batch (F5). The batch
-    maximum is a grouped aggregate joined back (skew-safe with AQE), the
-    padding is array arithmetic."""
-    longest = df.groupBy(batch).agg(F.max(F.size(ids)).alias("padded_len"))
-    out = df.join(longest, batch)
+    """Pad every row to the longest sequence of its batch (F5). A batch is a few rows by
+    definition, so its longest is a window over them: rows are read and shuffled once."""
+    out = df.withColumn("padded_len", F.max(F.size(ids)).over(Window.partitionBy(batch)))
     return out.withColumn(ids, F.concat(F.col(ids), F.array_repeat(F.lit(pad_id),
                                                                      F.col("padded_len") - F.size(ids))))

@@ -22,7 +22,7 @@ L = 64      # token log-probs of a recorded sequence (the length of its array)
 
 
 def _txt(arr):
-    return F.array_join(F.transform(arr, lambda x: x.cast("string")), ",")
+    return F.array_join(arr.cast("array<string>"), ",")
 
 
 DOC_IDS = "list_transform(string_split(text, ' '), lambda w: CAST(length(w) AS INTEGER))"
@@ -44,11 +44,12 @@ def pad_truncate(spark, sf_dir):
                     T.prompt_length(r_mask).alias("mask_sum"), _txt(l_ids).alias("ids_left"))
 
 
-def _conv_tokens(spark, sf_dir):
+def _conv_tokens(spark, sf_dir, most):
+    """Turns with their token offsets; of a turn's tokens the first ``most``, as no row of
+    ``most`` tokens can hold more, so whole token arrays never cross the shuffle."""
     conv = table(spark, sf_dir, "conversations")
-    t = conv.select("conv_id", "turn", "role",
-                    F.transform(F.split("text", " ", -1), lambda w: F.length(w)).alias("tok"))
-    t = t.withColumn("n_tok", F.size("tok"))
+    t = conv.select("conv_id", "turn", "role", F.split("text", " ", -1).alias("words"))
+    t = t.select("conv_id", "turn", "role", F.size("words").alias("n_tok"), F.transform(F.slice("words", 1, most), lambda w: F.length(w)).alias("tok"))
     t = running_sum(t, ["conv_id"], "turn", "n_tok", "end_tok")
     return t.withColumn("start_tok", F.col("end_tok") - F.col("n_tok"))
 
@@ -76,19 +77,16 @@ def sft_labels(spark, sf_dir):
     """Loss labels from assistant spans, only the last span kept (F2). Token
     offsets are a chunked running sum; only turns starting inside the first
     SEQ tokens are gathered, so a conversation never collects more than SEQ ids."""
-    t = _conv_tokens(spark, sf_dir)
-    head = t.where(F.col("start_tok") < SEQ).withColumn(
-        "part", F.slice("tok", 1, F.lit(SEQ) - F.col("start_tok").cast("int")))
-    asst = F.col("role") == "assistant"
-    span = F.struct(F.col("start_tok").alias("start"), F.col("end_tok").alias("end"))
-    ids = head.groupBy("conv_id").agg(
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("turn", "part"))), lambda s: s["part"])).alias("ids"),
-        F.array_sort(F.collect_list(F.when(asst, F.struct("turn", span.alias("sp"))))).alias("_spans"))
-    last = t.groupBy("conv_id").agg(F.max("end_tok").alias("n_total"),
-                                    F.max_by(F.when(asst, span), F.when(asst, F.col("turn"))).alias("last_span"))
-    c = ids.join(last, "conv_id")
-    spans = F.concat(F.transform("_spans", lambda s: s["sp"]),
-                     F.filter(F.array("last_span"), lambda s: s.isNotNull()))
+    t = _conv_tokens(spark, sf_dir, SEQ)
+    asst, inside = F.col("role") == "assistant", F.col("start_tok") < SEQ
+    span = F.struct("turn", F.col("start_tok").alias("start"), F.col("end_tok").alias("end"))
+    part = F.struct("turn", F.slice("tok", 1, F.greatest(F.lit(0), F.lit(SEQ) - F.col("start_tok").cast("int"))).alias("part"))
+    c = t.groupBy("conv_id").agg(
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.when(inside, part))), lambda s: s["part"])).alias("ids"),
+        F.array_sort(F.collect_list(F.when(asst & inside, span))).alias("in_spans"),
+        F.max("end_tok").alias("n_total"), F.max(F.when(asst, span)).alias("last_span"))
+    spans = F.transform(F.concat("in_spans", F.filter(F.array("last_span"), lambda s: s.isNotNull())),
+                        lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
     pid, _ = T.pad_truncate("ids", SEQ, 0, "right")
     c = c.select("conv_id", pid.alias("pid"), F.least(F.col("n_total"), F.lit(SEQ)).alias("n_real"), spans.alias("spans"))
     labels, mask = T.span_labels("pid", "n_real", "spans", SEQ, keep="last")
