@@ -5,19 +5,22 @@ from __future__ import annotations
 import html
 import re
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 # Fixed values of HTML: element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg math".split())
+RAW = frozenset("script style template textarea title iframe noembed noframes svg annotation annotation-xml".split())
 BLOCK = frozenset("""address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset
     figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol optgroup
-    option p pre search section select summary table tbody td tfoot th thead tr ul""".split())
+    option p pre search section select summary table tbody td tfoot th thead tr ul xmp""".split())
 # An element of the key kind ends open elements of these kinds, up to one of the stops.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
           "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
           "option": ({"option"}, {"select"}), "body": ({"head"}, {"html"})}
 NO_P = BLOCK - {"button", "caption", "label", "legend", "option", "optgroup", "select", "tbody", "td", "tfoot", "th", "thead", "tr", "body", "head", "html"}
 
+FOREIGN = frozenset(("svg", "math"))  # an unclosed one ends at the next block tag
+SVG_END = re.compile(rf"</svg\b[^>]*(?:>|\Z)|(?=</?(?:{'|'.join(sorted(BLOCK))})[\s/>])", re.I)
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
 TAG_ANY = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 OTHER = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
@@ -46,6 +49,7 @@ class _Page:
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     depth_a: int = 0
+    foreign: int = 0
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
@@ -64,6 +68,7 @@ class _Page:
     def pop_to(self, k: int) -> None:
         for tag, _, _ in self.stack[k:]:
             self.depth_a -= tag == "a"
+            self.foreign -= tag in FOREIGN
         del self.stack[k:]
 
     def close_open(self, kinds: set[str] | frozenset[str], stops: set[str] | frozenset[str]) -> None:
@@ -80,6 +85,8 @@ class _Page:
                 self.parts.append(" ")
                 return
             self.flush()
+            if self.foreign:
+                self.pop_to(next(k for k, (t, _, _) in enumerate(self.stack) if t in FOREIGN))
             if tag in NO_P:
                 self.close_open({"p"}, BLOCK - {"p"})
             if tag in CLOSES:
@@ -89,6 +96,7 @@ class _Page:
         names = frozenset(w.lower() for m in NAMED.finditer(attributes) for w in WORDS.findall(m[2] or m[3] or m[4] or "")) if attributes else frozenset()
         self.stack.append((tag, names, bool(attributes) and HIDDEN.search(attributes) is not None))
         self.depth_a += tag == "a"
+        self.foreign += tag in FOREIGN
 
     def close(self, tag: str) -> None:
         block = tag in BLOCK
@@ -102,10 +110,18 @@ class _Page:
                 return
 
 
+@lru_cache(maxsize=None)
+def raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I)
+
+
 def leaf_blocks(page: str | None) -> list[Block]:
-    """The text blocks of a page in order; scripts, styles, titles and comments hold none.
+    """The text blocks of a page in order; scripts, styles, titles, drawings and comments hold none.
 
-    Character references are decoded, white space inside a block becomes one space.
+    Formulas are text like any other and `noscript` is an element like any other, for the
+    reader of the blocks to judge; `xmp` holds its text as written. An unclosed drawing
+    ends at the next block tag. Character references are decoded, white space inside a
+    block becomes one space.
     Runs in time linear in the page for any input.
     """
     out, at, page, tag_at = _Page(), 0, page or "", TAG
@@ -133,11 +149,18 @@ def leaf_blocks(page: str | None) -> list[Block]:
         at, tag = m.end(), m[2].lower()
         if m[1]:
             out.close(tag)
+        elif tag == "xmp":
+            end = raw_end(tag).search(page, at)
+            out.open(tag, m[3])
+            out.parts.append(page[at:end.start() if end else len(page)])
+            out.close(tag)
+            at = end.end() if end else len(page)
         elif tag in RAW:
-            if tag in BLOCK:
-                out.flush()
-            if not m[3].rstrip().endswith("/") or tag not in ("svg", "math"):
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+            if tag != "svg":
+                end = raw_end(tag).search(page, at)
+                at = end.end() if end else len(page)
+            elif not m[3].rstrip().endswith("/"):
+                end = SVG_END.search(page, at)
                 at = end.end() if end else len(page)
         else:
             out.open(tag, m[3])

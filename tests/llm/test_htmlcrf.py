@@ -32,10 +32,20 @@ def test_blocks_of_broken_and_odd_markup():
     assert b.path == ("div", "p") and b.names == {"side", "bar", "main"} and b.links == 2
 
 
+def test_formulas_drawings_and_raw_text():
+    assert texts("<p>Let <math><mi>x</mi><annotation>\\x</annotation></math> be 1.</p>") == ["Let x be 1."]
+    assert texts("<p>a <svg><title>t</title><text>n</text></svg> b</p><svg/>c") == ["a b", "c"]
+    assert texts("<p>a<svg><path d='1'><p>rest of the page</p><div>more</div>") == ["a", "rest of the page", "more"]
+    assert texts("<p>f <math><mi>y</mi><p>next</p>") == ["f y", "next"] and leaf_blocks("<p>f <math><mi>y<p>next")[1].path == ("p",)
+    assert texts("<xmp>a &lt; <b>x</b></xmp><p>after") == ["a &lt; <b>x</b>", "after"] and texts("<xmp>open") == ["open"]
+    assert texts("<noscript><p>hello</p></noscript> tail") == ["hello", "tail"]
+
+
 def test_very_long_pages_take_linear_time():
     began = time.time()
     for page in ("<p>x" * 50_000, "<" * 200_000, "<a '" * 50_000, "<!--" * 50_000, "x" * 2_000_000, "</p>" * 50_000, "<script>" * 20_000,
-                 "<b>" * 50_000 + "<p>x</p>" * 50_000, "<div>" * 50_000 + "x", "<a '>" * 50_000):
+                 "<b>" * 50_000 + "<p>x</p>" * 50_000, "<div>" * 50_000 + "x", "<a '>" * 50_000, "<svg>" * 50_000, "<svg><p>" * 50_000,
+                 "<math>" * 50_000 + "<p>x" * 50_000, "<xmp>" * 50_000):
         leaf_blocks(page)
     assert time.time() - began < 30
 
@@ -68,17 +78,27 @@ def test_held_out_accuracy(chain):
     assert right / total > 0.98
 
 
-def test_query_returns_the_articles(spark):
-    pages = {r.page_id: r for r in spark.read.parquet(f"{SF_CHECK}/pages.parquet").collect()}
-    got = QUERIES["op3_main_text"](spark, SF_CHECK).collect()
-    assert len(got) == len(pages)
+def articles_found(rows, pages):
     same = 0
-    for r in got:
+    for r in rows:
         article = re.search(r"<article>(.*?)</article>", pages[r.page_id].html, re.S)[1]
         plain = [" ".join(html.unescape(re.sub(r"</?b>", "", x).replace("<br>", " ")).split()) for x in re.split(r"</?(?:p|h1)>", article)]
         same += r.text == "\n\n".join(filter(None, plain))
         assert r.url == pages[r.page_id].url and r.n_chars == len(r.text)
-    assert same / len(got) > 0.99
+    return same / len(rows)
+
+
+def test_articles_of_pages_that_were_not_learned_from(spark):
+    table = spark.read.parquet(f"{SF_CHECK}/pages.parquet")
+    pages = {r.page_id: r for r in table.collect()}
+    got = H.extract(table.filter("page_id % 2 = 1"), H.train(table.filter("page_id % 2 = 0"))).collect()
+    assert len(got) == sum(k % 2 for k in pages) and articles_found(got, pages) > 0.99
+
+
+def test_query_returns_the_articles(spark):
+    pages = {r.page_id: r for r in spark.read.parquet(f"{SF_CHECK}/pages.parquet").collect()}
+    got = QUERIES["op3_main_text"](spark, SF_CHECK).collect()
+    assert len(got) == len(pages) and articles_found(got, pages) > 0.99
 
 
 def test_nulls_repeats_clashes_and_empty_tables(spark, chain):
