@@ -12,17 +12,23 @@ from postmill.functions.text import charset_ok, word_count
 EOS_TOKEN = "<|endoftext|>"
 
 
-def best_worst_pairs(cands: DataFrame, key: str = "conv_id", order: str = "turn", text: str = "text",
+def best_worst_pairs(cands: DataFrame, key: str = "conv_id", order: str = "turn", text: str | None = "text",
                      score: str = "score", carry: tuple[str, ...] = (), extra: tuple[Column, ...] = ()) -> DataFrame:
     """Highest-scoring candidate becomes ``chosen``, lowest ``rejected`` (ties
     broken by the smaller ``order``); prompts whose best equals their worst
     get ``reject_reason = 'tie'`` (C10, generalised from 2 to k candidates).
     ``max_by``/``min_by`` combine map-side, so a prompt with very many
-    candidates is reduced per task, never gathered. Rows without a score are no
+    candidates is reduced per task, never gathered. Without ``text`` the pair is its two
+    ``order`` values and scores, so no text is aggregated. Rows without a score are no
     candidates. Columns ``carry`` of both sides come out as ``chosen_<c>`` and
     ``rejected_<c>``; ``extra`` are further aggregates over all rows of the key, taken
     in the same pass."""
-    item = F.struct(F.col(order).alias("o"), F.col(text).alias("t"), F.col(score).alias("s"), *carry)
+    said = [] if text is None else [F.col(text).alias("t")]
+    item = F.struct(F.col(order).alias("o"), *said, F.col(score).alias("s"), *carry)
+
+    def side(s: str, name: str) -> list[Column]:
+        texts = [] if text is None else [F.col(f"{s}.t").alias(name)]
+        return [F.col(f"{s}.o").alias(f"{name}_turn"), *texts, F.col(f"{s}.s").alias(f"score_{name}")]
 
     def by(sign):
         return F.when(F.col(score).isNotNull(), F.struct(F.col(score), F.col(order) * sign))
@@ -30,9 +36,8 @@ def best_worst_pairs(cands: DataFrame, key: str = "conv_id", order: str = "turn"
     agg = cands.groupBy(key).agg(F.max_by(item, by(-1)).alias("_b"), F.min_by(item, by(1)).alias("_w"), *extra)
     known = {key, "_b", "_w"}
     out = agg.where(F.col("_b").isNotNull()).select(
-        key, F.col("_b.o").alias("chosen_turn"), F.col("_b.t").alias("chosen"), F.col("_b.s").alias("score_chosen"),
-        F.col("_w.o").alias("rejected_turn"), F.col("_w.t").alias("rejected"), F.col("_w.s").alias("score_rejected"),
-        *[F.col(f"{side}.{c}").alias(f"{name}_{c}") for c in carry for side, name in (("_b", "chosen"), ("_w", "rejected"))],
+        key, *side("_b", "chosen"), *side("_w", "rejected"),
+        *[F.col(f"{s}.{c}").alias(f"{name}_{c}") for c in carry for s, name in (("_b", "chosen"), ("_w", "rejected"))],
         *[c for c in agg.columns if c not in known])
     return out.withColumn("reject_reason", F.when(F.col("score_chosen") <= F.col("score_rejected"), "tie"))
 

@@ -33,7 +33,7 @@ FROM b JOIN w ON b.conv_id = w.conv_id WHERE score_chosen > score_rejected"""
 
 
 def _pairs(spark, sf_dir):
-    kept, _ = split_kept(P.best_worst_pairs(I.candidates(spark, sf_dir)))
+    kept, _ = split_kept(P.best_worst_pairs(I.candidates(spark, sf_dir), text=None))
     return kept.drop("reject_reason")
 
 
@@ -185,7 +185,7 @@ def reward_label(spark, sf_dir):
     """Two-sided reward labelling from recorded replies; unparsable rows are
     dropped and counted, never failing the job (H2, H3, C9)."""
     cands = EN.label_candidates(I.candidates(spark, sf_dir), I.reward_replies(spark, sf_dir), ["conv_id", "turn"])
-    pairs, _ = split_kept(P.best_worst_pairs(cands, carry=("reward",)))
+    pairs, _ = split_kept(P.best_worst_pairs(cands, text=None, carry=("reward",)))
     kept, _ = split_kept(EN.require_labels(pairs.drop("reject_reason")))
     return kept.select("conv_id", "chosen_reward", "rejected_reward")
 
