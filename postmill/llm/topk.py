@@ -5,8 +5,10 @@ that order in stripes; a query leaves a block once its length times the stripe's
 vector is under its k-th best score. Within a stripe, vectors are rotated by the right
 singular vectors of a sample, which moves most of the length into the first dimensions:
 the partial sum over these plus the product of the residual lengths (Cauchy-Schwarz)
-bounds the score, and only pairs whose bound reaches the floor are computed in full.
-The rotation is orthogonal, so it decides how much is pruned, never what is found.
+bounds the score. Partial sums grow by a quarter of the dimensions at a time; after each,
+queries and vectors of which no pair can reach the floor leave the stripe, and only pairs
+whose last bound reaches it are computed in full. The rotation is orthogonal, so it decides
+how much is pruned, never what is found.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from postmill.llm.common import checkpointed, hash_sample
 
 SAMPLE = 4096   # vectors the rotation is fitted on, at most
 STRIPE = 512
-LEADING = 4     # the first 1/LEADING of the rotated dimensions form the partial sums
+PARTS = 4       # of the rotated dimensions; all but the last form partial sums
 EXACT = 2.0**52
 
 
@@ -40,34 +42,63 @@ def dots(q: np.ndarray, c: np.ndarray, exact: bool) -> np.ndarray:
     return np.array([min(max(v, -2**63), 2**63 - 1) for v in out], object)
 
 
-def compare_with(turn: np.ndarray, k: int):
-    """The block comparison for ``vecblocks.search``."""
+class Rotated:
+    """Rotated vectors with the lengths of what is left after each part of the dimensions."""
 
-    def compare(q_ids, q, c_ids, c, floor):
-        dim = max(q.shape[1], c.shape[1])
+    def __init__(self, x: np.ndarray, turn: np.ndarray):
+        self.x, self.length = x @ turn, np.sqrt((x * x).sum(axis=1))
+        dim = x.shape[1]
+        self.ends = sorted({max(1, dim * p // PARTS) for p in range(1, PARTS)} if dim else {0})
+        square = np.cumsum(self.x * self.x, axis=1)
+        self.rest = [np.sqrt(np.maximum(self.length**2 - (square[:, e - 1] if e else 0), 0)) + 1e-7 * self.length for e in self.ends]
+
+
+def reaching(q: Rotated, rows: np.ndarray, c: Rotated, part: slice, floor: np.ndarray, slack: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (position in ``rows``, position in ``part``) whose score may reach the floor."""
+    keep, cols = np.arange(len(rows)), np.arange(part.start, min(part.stop, len(c.x)))
+    total, begin, can = np.zeros((len(keep), len(cols))), 0, None
+    for end, q_rest, c_rest in zip(q.ends, q.rest, c.rest):
+        at = rows[keep]
+        total = total + q.x[at, begin:end] @ c.x[cols, begin:end].T
+        can = total + np.outer(q_rest[at], c_rest[cols]) + slack[keep, None] >= floor[at, None]
+        some_q, some_c = can.any(axis=1), can.any(axis=0)
+        keep, cols, total, can = keep[some_q], cols[some_c], total[some_q][:, some_c], can[some_q][:, some_c]
+        begin = end
+        if not len(keep):
+            break
+    i, j = np.nonzero(can)
+    return keep[i], cols[j]
+
+
+class Comparison:
+    """The block comparison for ``vecblocks.search``. ``scored`` counts pairs computed in full, ``met`` all."""
+
+    def __init__(self, turn: np.ndarray, k: int):
+        self.turn, self.k, self.scored, self.met = turn, k, 0, 0
+
+    def __call__(self, q_ids, q, c_ids, c, floor):
+        dim, k = max(q.shape[1], c.shape[1]), self.k
         q, c = B.fit_dim(q, dim), B.fit_dim(c, dim)
-        v = turn if turn.shape[0] == dim else np.eye(dim)
-        lead = max(1, dim // LEADING)
-        qr, cr = q @ v[:, :lead], c @ v[:, :lead]
-        q_len, c_len = np.sqrt((q * q).sum(axis=1)), np.sqrt((c * c).sum(axis=1))
-        q_rest = np.sqrt(np.maximum(q_len**2 - (qr * qr).sum(axis=1), 0)) + 1e-7 * q_len
-        c_rest = np.sqrt(np.maximum(c_len**2 - (cr * cr).sum(axis=1), 0)) + 1e-7 * c_len
-        exact = bool(q_len.max(initial=0) * c_len.max(initial=0) < EXACT)
+        v = self.turn if self.turn.shape[0] == dim else np.eye(dim)
+        qr, cr = Rotated(q, v), Rotated(c, v)
+        self.met += len(q) * len(c)
+        exact = bool(qr.length.max(initial=0) * cr.length.max(initial=0) < EXACT)
         floor = floor.copy()
         bq, bc, bs = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, float if exact else object)
         for at in range(0, len(c), STRIPE):
-            part = slice(at, at + STRIPE)
-            slack = 1 + 1e-9 * q_len * c_len[at]  # for rounding in the bounds
-            live = np.flatnonzero(q_len * c_len[at] + slack >= floor)
+            slack = 1 + 1e-9 * qr.length * cr.length[at]  # for rounding in the bounds
+            live = np.flatnonzero(qr.length * cr.length[at] + slack >= floor)
             if not len(live):
                 break  # later vectors are no longer
-            bound = qr[live] @ cr[part].T + np.outer(q_rest[live], c_rest[part]) + slack[live, None]
-            qi, ci = np.nonzero((bound >= floor[live, None]) & (q_ids[live, None] != c_ids[None, part]))
+            qi, ci = reaching(qr, live, cr, slice(at, at + STRIPE), floor, slack[live])
+            qi = live[qi]
+            other = q_ids[qi] != c_ids[ci]
+            qi, ci = qi[other], ci[other]
             if not len(qi):
                 continue
-            qi, ci = live[qi], ci + at
+            self.scored += len(qi)
             if exact and len(qi) * 4 > len(live) * STRIPE:
-                score = (q[live] @ c[part].T)[np.searchsorted(live, qi), ci - at]
+                score = (q[live] @ c[at:at + STRIPE].T)[np.searchsorted(live, qi), ci - at]
             else:
                 score = np.concatenate([dots(q[qi[i:i + 65536]], c[ci[i:i + 65536]], exact) for i in range(0, len(qi), 65536)])
             keep = score >= floor[qi]
@@ -77,8 +108,6 @@ def compare_with(turn: np.ndarray, k: int):
             floor = np.maximum(floor, B.floors(bq, bs.astype(float), len(q_ids), k) if exact else np.nextafter(B.floors(bq, bs.astype(float), len(q_ids), k), -np.inf))
         return bq, bc, bs
 
-    return compare
-
 
 def exact_top_k(table: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by ``every``, the
@@ -100,5 +129,5 @@ def exact_top_k(table: DataFrame, k: int = 5, every: int = 50, id_col: str = "ve
     head = B.pick(blocks, F.min("block"))
     if head is None:
         return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    hits = B.search(queries, blocks, head, compare_with(turn, k), k, "long")
+    hits = B.search(queries, blocks, head, Comparison(turn, k), k, "long")
     return B.ranked(hits, k)
