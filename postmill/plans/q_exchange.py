@@ -79,6 +79,16 @@ def json_lines_round_trip(spark, sf_dir):
     return IO.read_json_lines(spark, path, "event_id bigint, event_type string", corrupt_col="bad")
 
 
+@query("json_array_round_trip", f"""
+SELECT conv_id, user_text AS input, assistant_text AS chosen, CAST(NULL AS VARCHAR) AS rejected FROM ({S.first_turns()})""")
+def json_array_round_trip(spark, sf_dir):
+    """Rows written as JSON arrays, a valid one in every file, and read back (A5, A1)."""
+    path = RunFolder(spark, "arrays").at("rows")
+    rows = C.first_turns(table(spark, sf_dir, "conversations"))
+    IO.write_json_array(rows.select("conv_id", F.col("user_text").alias("input"), F.col("assistant_text").alias("chosen"), F.lit(None).cast("string").alias("rejected")), path)
+    return IO.read_json_array(spark, path, "conv_id bigint, " + IO.SCHEMAS["preference"])
+
+
 @query("prompt_lists_round_trip", """
 SELECT CAST(item_id // 8 AS BIGINT) AS list_id, CAST(row_number() OVER (PARTITION BY item_id // 8 ORDER BY item_id) - 1 AS INTEGER) AS prompt_idx,
        text AS prompt FROM benchmark""")

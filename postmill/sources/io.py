@@ -8,11 +8,14 @@ writers; nothing is funnelled through the driver.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postmill.session import let_workers_import
+
 MESSAGE = "array<struct<role:string,content:string>>"
 SCHEMAS = {
     "chat": f"messages {MESSAGE}",
@@ -94,9 +97,34 @@ def read_countdown(spark: SparkSession, path: str, form: str = "leaderboard") ->
     return read_json_lines(spark, path, SCHEMAS["countdown_task"])
 
 
+def write_json_array(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """JSON-array sink (A5): every part file is a valid array, one element a line, so files
+    are written and read side by side; concatenated paths are the union. A task holds one
+    element back to end its array without a comma. One more file holds an empty array, so
+    the output is valid JSON even if no row survives."""
+    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        yield pa.RecordBatch.from_arrays([pa.array(["["])], names=["value"])
+        for batch in batches:
+            lines = batch.column(0).to_pylist()
+            if lines:
+                ready, last = ([] if last is None else [last]) + lines[:-1], lines[-1]
+                yield pa.RecordBatch.from_arrays([pa.array([x + "," for x in ready], pa.string())], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(([] if last is None else [last]) + ["]"], pa.string())], names=["value"])
+
+    def nothing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([], pa.string())], names=["value"])
+
+    let_workers_import(df.sparkSession)
+    rows = df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias("value"))
+    empty = df.sparkSession.range(1).select(F.col("id").cast("string").alias("value")).mapInArrow(nothing, "value string")
+    rows.union(empty).mapInArrow(arrays, "value string").write.mode(mode).text(path)
+
+
 def write_json_lines(df: DataFrame, path: str, mode: str = "overwrite", partition_by: Sequence[str] = ()) -> None:
-    """Sharded JSON-lines sink (A5, A6 with mode='append'). Valid JSON even
-    when no row survives (the reference's array writer fails then)."""
+    """Sharded JSON-lines sink (A6 with mode='append'), the default for exchange as lines split
+    across tasks."""
     w = df.write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)

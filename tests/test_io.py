@@ -80,3 +80,18 @@ def test_array_lines_split_and_keep_rejects(spark, tmpdir_path):
     got = IO.read_json_array_lines(spark, path, IO.SCHEMAS["countdown_task"]).collect()
     assert [(r.nums, r.target) for r in got if not r.rejected] == [([1, 2], 3), ([4], 4), ([5], 5)]
     assert sum(r.rejected for r in got) == 1
+
+
+def test_every_file_of_an_array_sink_is_valid_json(spark, tmpdir_path):
+    rows = [(i, f'quote " back \\\\ line\n é日 {i}' if i % 5 else None, [i, i + 1]) for i in range(57)]
+    df = spark.createDataFrame(rows, "id long, t string, ids array<int>").repartition(4)
+    IO.write_json_array(df, tmpdir_path + "/a")
+    files = [f for f in os.listdir(tmpdir_path + "/a") if f.startswith("part-")]
+    parts = [json.load(open(f"{tmpdir_path}/a/{f}", encoding="utf-8")) for f in files]
+    assert sorted(len(p) == 0 for p in parts)[-1] and sum(map(len, parts)) == 57 and all("t" in x for p in parts for x in p)
+    back = IO.read_json_array(spark, tmpdir_path + "/a", "id long, t string, ids array<int>")
+    assert sorted(map(tuple, back.collect())) == rows
+    IO.write_json_array(df.where("id < 0"), tmpdir_path + "/none")
+    files = [f for f in os.listdir(tmpdir_path + "/none") if f.startswith("part-")]
+    assert files and all(json.load(open(f"{tmpdir_path}/none/{f}")) == [] for f in files)
+    assert IO.read_json_array(spark, tmpdir_path + "/none", "id long").count() == 0
