@@ -3,8 +3,9 @@
 Inside a pre-token, two neighbouring byte symbols that stand side by side in no
 vocabulary token can never end up in one token: every merge result is a vocabulary
 token, so no merge crosses them. The pre-token is cut there and each fragment is
-merged by itself; the ids are then concatenated. Fragments are short and repeat far
-more often than whole pre-tokens, so their encodings are cached.
+merged by itself; the ids are then concatenated. Pre-tokens repeat, so the ids of those
+met lately are kept, as bytes, up to a number of bytes; a text's ids stay bytes until a
+slice of texts becomes one Arrow column, from which the decoded texts are taken.
 """
 
 from __future__ import annotations
@@ -13,16 +14,22 @@ import heapq
 import json
 import unicodedata
 import uuid
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from postmill.llm.common import slices
+from postmill.llm.common import give_back, slices
 
 CACHE = 400_000  # entries a worker keeps before it starts its cache anew
+CACHE_BYTES = 16_000_000  # of each of the two generations of pre-tokens that a worker keeps
+ENTRY_BYTES = 150         # of a kept pre-token besides its letters and ids
+SLICE = 1_000_000
 LONG = 48        # symbols from which a heap replaces the scan for the best pair
 NEVER = float("inf")
 
@@ -100,8 +107,9 @@ class WordBPE:
         self.pre = regex.compile(PRE_TOKEN)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.inside = {pair for t in self.ids for pair in self._neighbours(t)}
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.fragments: dict[tuple, tuple[int, ...]] = {}
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.held = 0
 
     def symbols(self, word: str) -> list[str]:
         """Byte symbols of a pre-token; the last one carries the word end."""
@@ -125,18 +133,24 @@ class WordBPE:
                 start = i
         yield tuple(symbols[start:])
 
-    def encode_word(self, word: str) -> tuple[int, ...]:
-        out: list[int] = []
+    def encode_word(self, word: str) -> bytes:
+        """Ids (32-bit) of a pre-token, merged fragment by fragment."""
+        out = array("i")
         for f in self.fragments_of(self.symbols(word)):
-            got = self.fragments.get(f)
-            if got is None:
-                got = tuple(self.ids[t] for t in merge(list(f), self.ranks))
-                if len(f) <= LONG:
-                    if len(self.fragments) >= CACHE:
-                        self.fragments.clear()
-                    self.fragments[f] = got
-            out += got
-        return tuple(out)
+            out.extend([self.ids[t] for t in merge(list(f), self.ranks)])
+        return out.tobytes()
+
+    def met(self, word: str) -> bytes:
+        """Ids of a pre-token that the younger generation does not hold; it does afterwards."""
+        got = self.older.get(word)
+        if got is None:
+            got = self.encode_word(word)
+        if len(word) <= LONG:
+            if self.held >= CACHE_BYTES:
+                self.older, self.words, self.held = self.words, {}, 0
+            self.words[word] = got
+            self.held += ENTRY_BYTES + len(word) + len(got)
+        return got
 
     def pre_tokens(self, text: str) -> list[str]:
         if not text.isascii():
@@ -144,26 +158,26 @@ class WordBPE:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         return self.pre.findall(text.lower())
 
-    def encode(self, text: str | None) -> list[int]:
-        """Ids of a whole text; special strings in it become their own ids."""
-        out: list[int] = []
+    def encoded(self, text: str | None) -> bytes:
+        """Ids (32-bit) of a whole text; special strings in it become their own ids."""
         if not text:
-            return out
-        words = self.words
+            return b""
+        out: list[bytes] = []
         for k, part in enumerate(self.cut.split(text) if "<|" in text else [text]):
             if k % 2:
-                out.append(self.special[part])
+                out.append(array("i", [self.special[part]]).tobytes())
                 continue
+            get = self.words.get
             for w in self.pre_tokens(part):
-                got = words.get(w)
+                got = get(w)
                 if got is None:
-                    got = self.encode_word(w)
-                    if len(w) <= LONG:
-                        if len(words) >= CACHE:
-                            words.clear()
-                        words[w] = got
-                out += got
-        return out
+                    got = self.met(w)
+                    get = self.words.get
+                out.append(got)
+        return b"".join(out)
+
+    def encode(self, text: str | None) -> list[int]:
+        return array("i", self.encoded(text)).tolist()
 
     def decode(self, ids) -> str:
         """The model file names no decoder, so tokens are joined by one space."""
@@ -203,15 +217,18 @@ def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text", keep
     schema = T.StructType([*src.schema.fields[:-1], *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(key, blob)
+        model, n = _model(key, blob), len(keep)
+        names = pa.array([model.names.get(i, "") for i in range(max(model.names) + 1)], pa.string())
         for batch in batches:
-            n = len(keep)
-            for start, size in slices(batch.column(n)):
+            for start, size in slices(batch.column(n), SLICE):
                 part = batch.slice(start, size)
-                ids = [model.encode(t) for t in part.column(n).to_pylist()]
-                cols = [*part.columns[:n], pa.array(ids, pa.list_(pa.int32()))]
+                texts = [model.encoded(t.as_py()) for t in part.column(n)]
+                ends = pa.array(np.cumsum([0, *(len(x) // 4 for x in texts)]), pa.int32())
+                ids = pa.array(np.frombuffer(b"".join(texts), np.int32))
+                cols = [*part.columns[:n], pa.ListArray.from_arrays(ends, ids)]
                 if decoded:
-                    cols.append(pa.array([model.decode(x) for x in ids], pa.string()))
+                    cols.append(pc.binary_join(pa.ListArray.from_arrays(ends, names.take(ids)), " "))
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+        give_back()
 
     return src.mapInArrow(run, schema)
