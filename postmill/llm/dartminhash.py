@@ -11,10 +11,13 @@ Samples are joined in bands. Exact copies, documents of one weighted set, are fi
 folded into one numbered node each, so an id that comes again with another text is
 another document. Nodes
 that share band buckets, directly or through others, form a family, found from one link
-a node and bucket. A family is cut into blocks by a hash; each pair of its blocks is one
-row, whose exact similarities come from one matrix product, and which gives back links
-that span what it found, at most one less than its nodes. So no pair is a row, no group
-is in one task, and no pair of nodes that share a bucket goes unchecked.
+a node and bucket. A family is cut into blocks by a hash, bounded in nodes and bytes. Pairs
+of blocks that have a bucket in common are made from the blocks' numbers and dealt out by
+them, and only then joined with the blocks. A pair of blocks is one row, whose exact
+similarities come from one matrix product, and which gives back links that span what it
+found, at most one less than its nodes. One rule holds at every size: two nodes are linked
+if they share a bucket and are similar enough. So no pair is a row, no group is in one
+task, and no pair of nodes that share a bucket goes unchecked.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from postmill.llm.common import Scratch, slices
+from postmill.llm.common import Scratch, give_back, slices
 from postmill.llm.graph import components
 
 WORD = re.compile(r"\w+")
@@ -35,8 +38,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 5   # a pair at 0.8 shares no band with probability (1 - 0.8^5)^20 = 0.0004
 CACHE = 300_000
-BLOCK = 256           # nodes of a block, on average
-FAMILY = 1 << 16      # a larger family is taken bucket by bucket, which checks every pair that shares one
+BLOCK = 64            # nodes of a block, on average
+BLOCK_ITEMS = 1 << 19 # and 64-bit items of their sets
 COLUMNS = 8192        # of the matrices multiplied at once
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -140,9 +143,10 @@ def node_key(id_col: Column, text_col: Column) -> list[Column]:
 
 
 def sign(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """(uid, k_text, c1, c2, bands) of every document with a text: c1, c2 identify the weighted set."""
+    """(uid, k_text, c1, c2, size, bands) of every document with a text: c1, c2 identify the
+    weighted set, size is its weight."""
     src = docs.filter(docs[text_col].isNotNull()).select(*node_key(docs[id_col], docs[text_col]), docs[text_col].cast("string").alias("t"))
-    names = ["uid", "k_text", "c1", "c2", "bands"]
+    names = ["uid", "k_text", "c1", "c2", "size", "bands"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
@@ -161,9 +165,11 @@ def sign(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
                 flat = pa.array(keys.view(np.int64).ravel())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)),
+                     pa.array(np.add.reduceat(counts, starts), pa.int64()),
                      pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32), flat)], names=names)
+        give_back()
 
-    return src.mapInArrow(run, "uid long, k_text long, c1 long, c2 long, bands array<long>")
+    return src.mapInArrow(run, "uid long, k_text long, c1 long, c2 long, size long, bands array<long>")
 
 
 def packed_sets(docs: DataFrame, nodes: DataFrame, text_col: str, id_col: str) -> DataFrame:
@@ -230,48 +236,60 @@ def spanning(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+NODES = "array<struct<node:bigint,bands:array<bigint>,items:binary>>"
+
+
 def block_links(pairs: DataFrame, least: float) -> DataFrame:
-    """(a, b): spanning links among the nodes of each pair of blocks (x, y), y null for a block with itself."""
+    """(a, b): spanning links among the nodes of each pair of blocks (x, y), y null for a block
+    with itself. Linked are nodes that share a band's key and are ``least`` similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 blocks = [batch.column(c)[i].as_py() for c in (0, 1)]
-                x, y = (sorted((r["node"], r["items"]) for r in b or ()) for b in blocks)
-                xs, ys = ([np.frombuffer(items, np.uint64) for _, items in b] for b in (x, y or x))
+                x, y = (sorted(((r["node"], r["bands"], r["items"]) for r in b or ()), key=lambda r: r[0]) for b in blocks)
+                keys, others = (np.array([bands for _, bands, _ in b], np.int64) for b in (x, y or x))
+                shares = np.zeros((len(keys), len(others)), bool)
+                for band in range(keys.shape[1]):
+                    shares |= keys[:, band, None] == others[None, :, band]
+                if not y:
+                    shares = np.triu(shares, 1)
+                if not shares.any():
+                    continue
+                xs, ys = ([np.frombuffer(items, np.uint64) for _, _, items in b] for b in (x, y or x))
                 common = shared_counts(xs, ys)
                 both = np.array([len(s) for s in xs])[:, None] + np.array([len(s) for s in ys])[None] - common
-                near = common >= least * both
-                a, b = np.nonzero(np.triu(near, 1) if not y else near)
-                at, other = np.array([n for n, _ in x]), np.array([n for n, _ in y or x])
+                a, b = np.nonzero(shares & (common >= least * both))
+                at, other = np.array([r[0] for r in x]), np.array([r[0] for r in y or x])
                 links = spanning(at[a], other[b])
                 yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in links], pa.int64()), pa.array([v for _, v in links], pa.int64())], names=["a", "b"])
+        give_back()
 
     return pairs.select("x", "y").mapInArrow(run, "a long, b long")
 
 
 def near_links(nodes: DataFrame, docs: DataFrame, text_col: str, id_col: str, least: float, scratch: Scratch) -> DataFrame | None:
-    """(node, label) of nodes that have a near copy among the distinct texts. ``nodes``: node, uid, k_text, bands."""
+    """(node, label) of nodes that have a near copy among the distinct texts. ``nodes``: node, uid, k_text, size, bands."""
     keys = nodes.select("node", F.explode("bands").alias("key"))
     shared = scratch.table(keys.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("hub")).filter("c > 1"))
     members = scratch.table(keys.join(shared.select("key", "hub"), "key"))
     if members.isEmpty():
         return None
     links = scratch.table(members.filter("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
-    families = components(links, scratch).withColumnRenamed("label", "family")
-    sizes = scratch.table(families.groupBy("family").agg(F.count("*").alias("m")))
-    # (kind, family, node): a family, or for a very large one each of its buckets
-    large = families.join(sizes.filter(F.col("m") > FAMILY).select("family"), "family").select("node")
-    placed = scratch.table(
-        families.join(sizes.filter(F.col("m") <= FAMILY), "family").select(F.lit(0).alias("kind"), "family", "node", "m")
-        .union(members.join(large, "node").join(shared.select("key", "c"), "key").select(F.lit(1), "key", "node", "c")))
-    blocks = placed.withColumn("of", F.ceil(F.col("m") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("node"), F.col("of")))
-    sets = packed_sets(docs, nodes.select("node", "uid", "k_text").join(families.select("node"), "node"), text_col, id_col)
-    packed = scratch.table(blocks.join(sets, "node").groupBy("kind", "family", "of", "block").agg(F.collect_list(F.struct("node", "items")).alias("x")))
-    alone = packed.select("x", F.lit(None).cast("array<struct<node:bigint,items:binary>>").alias("y"))
-    split = packed.filter("of > 1")
-    later = split.select("kind", "family", F.col("block").alias("with"), F.col("x").alias("y"))
-    apart = split.join(later, ["kind", "family"]).filter("block < with").select("x", "y")
+    families = components(links, scratch).withColumnRenamed("label", "family").join(nodes.select("node", "size"), "node")
+    sizes = families.groupBy("family").agg(F.count("*").alias("m"), F.sum("size").alias("items"))
+    sizes = sizes.select("family", F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("items") / BLOCK_ITEMS)).alias("of"))
+    blocks = scratch.table(families.join(sizes, "family").select("node", "family", "of", F.pmod(F.xxhash64("node"), F.col("of")).alias("block")))
+    sets = packed_sets(docs, nodes.select("node", "uid", "k_text").join(blocks.select("node"), "node"), text_col, id_col)
+    held = blocks.join(sets, "node").join(nodes.select("node", "bands"), "node")
+    packed = scratch.table(held.groupBy("family", "of", "block").agg(F.collect_list(F.struct("node", "bands", "items")).alias("x")))
+    # pairs of blocks by their numbers: those of a bucket that reaches into both
+    touched = scratch.table(members.join(blocks.filter("of > 1"), "node").select("key", "family", "block").distinct())
+    pairs = touched.join(touched.select("key", F.col("block").alias("with")), "key").filter("block < with").select("family", "block", "with").distinct()
+    alone = packed.select("x", F.lit(None).cast(NODES).alias("y"))
+    split = packed.filter("of > 1").select("family", "block", "x")
+    later = split.select("family", F.col("block").alias("with"), F.col("x").alias("y"))
+    apart = pairs.join(split, ["family", "block"]).join(later, ["family", "with"]).select("x", "y")
     found = scratch.table(block_links(alone.union(apart), least))
     return components(found, scratch)
 
@@ -292,9 +310,10 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     """
     scratch = Scratch(docs.sparkSession)
     signed = scratch.table(sign(docs, text_col, id_col))
-    # bands are a function of the set
-    nodes = scratch.table(signed.groupBy("c1", "c2").agg(F.min(F.struct("uid", "k_text")).alias("least"), F.count("*").alias("c"), F.first("bands").alias("bands"))
-                          .select(F.monotonically_increasing_id().alias("node"), "c1", "c2", "c", "least.uid", "least.k_text", "bands"))
+    # bands and size are functions of the set
+    nodes = scratch.table(signed.groupBy("c1", "c2").agg(F.min(F.struct("uid", "k_text")).alias("least"), F.count("*").alias("c"), F.first("size").alias("size"),
+                                                            F.first("bands").alias("bands"))
+                          .select(F.monotonically_increasing_id().alias("node"), "c1", "c2", "c", "least.uid", "least.k_text", "size", "bands"))
     reps = nodes.filter("c > 1").select("c1", "c2", F.col("uid").alias("e_uid"), F.col("k_text").alias("e_text"))
     copies = scratch.table(signed.select("uid", "k_text", "c1", "c2").join(reps, ["c1", "c2"]).select("uid", "k_text", "e_uid", "e_text").distinct())
     labels = near_links(nodes, docs, text_col, id_col, least, scratch)

@@ -74,10 +74,10 @@ def test_spanning_links_join_the_same_nodes():
     assert D.spanning(a, b) == [(1, 2), (2, 3), (3, 4), (9, 8)]
 
 
-@pytest.mark.parametrize("block,family", [(256, 1 << 16), (4, 1 << 16), (8, 10)])
-def test_large_family_in_blocks_and_by_bucket(spark, monkeypatch, block, family):
+@pytest.mark.parametrize("block,items", [(256, 1 << 30), (64, 1 << 19), (4, 1 << 30), (1, 1 << 30), (256, 2000)])
+def test_large_family_in_blocks_of_any_size(spark, monkeypatch, block, items):
     monkeypatch.setattr(D, "BLOCK", block)
-    monkeypatch.setattr(D, "FAMILY", family)
+    monkeypatch.setattr(D, "BLOCK_ITEMS", items)
     rng = np.random.default_rng(8)
     base = [f"w{x}" for x in rng.integers(0, 5000, 160)]
     rows = []
@@ -120,6 +120,22 @@ def test_chains_copies_nulls_and_clashing_columns(spark):
     assert want[202] == want[203] == 202 and want[200] == 200 and want[201] == 201 and want[208] == 207
 
 
+def test_very_long_texts_get_blocks_of_their_own(spark, monkeypatch):
+    """Near copies of a very long text among short ones; blocks are bounded in items, too."""
+    monkeypatch.setattr(D, "BLOCK_ITEMS", 50_000)
+    rng = np.random.default_rng(12)
+    base = [f"w{x}" for x in rng.integers(0, 30_000, 120_000)]
+    rows = []
+    for i in range(6):
+        words = list(base)
+        for at in rng.integers(0, len(words), 300):
+            words[at] = f"n{rng.integers(0, 10**6)}"
+        rows.append((i, " ".join(words)))
+    rows += [(10, " ".join(base[:200])), (11, " ".join(base[:199])), (12, " ".join(reversed(base)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.uid: r.class_id for r in D.near_duplicates(docs).collect()} == {**{i: 0 for i in range(6)}, 10: 10, 11: 10, 12: 12}
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert D.near_duplicates(docs).count() == 0
