@@ -9,7 +9,9 @@
 3. Documents send only hashes to the shards and probe the arrays; a line that no slot
    vouches for has a fingerprint that differs. Keys that hold over 1/HEAVY_KEYS of all
    counts are fewer than HEAVY_KEYS by construction, so they are broadcast and their
-   probes spread over all tasks instead of meeting in one shard.
+   probes spread over all tasks instead of meeting in one shard. A shard whose other keys
+   are met more than SHARD_PROBES times is met in as many copies, each with its share of
+   the documents, so no task's probes grow with the corpus.
 4. Dropped lines travel back as positions in the document's list of distinct keys.
 """
 
@@ -29,6 +31,7 @@ BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FOLD = str.maketrans(UPPER, LOWER)
 SHARD_KEYS, SHARD_PROBES, LEAST_SHARDS = 32_768, 131_072, 256
+SLOTS = 65_536    # classes of shards that have a number of copies each
 LEVEL_ROOM = 2.0  # bits of a level for each key still without a slot
 SEED = 0x5EED
 
@@ -136,6 +139,14 @@ def build_index(counts: DataFrame, n_shards: int) -> DataFrame:
             .applyInArrow(build, "shard long, sizes array<int>, bits binary, prints binary, counts binary"))
 
 
+def shard_copies(counts: DataFrame, n_shards: int) -> DataFrame:
+    """(slot, copies): how many copies the shards of a slot need, where that is over one; at
+    most SLOTS rows. ``counts`` are those of the indexed keys."""
+    loads = counts.groupBy(F.pmod("h1", F.lit(n_shards)).alias("shard")).agg(F.sum("n").alias("load"))
+    most = loads.groupBy(F.pmod("shard", F.lit(SLOTS)).alias("slot")).agg(F.max("load").alias("load"))
+    return checkpointed(most.select("slot", F.ceil(F.col("load") / SHARD_PROBES).cast("long").alias("copies")).filter("copies > 1"))
+
+
 def dropped_keys(docs: DataFrame, text_col: str, id_col: str, min_docs: int, least_chars: int) -> DataFrame:
     """(k_id, k_text, dropped): for documents with a dropped line, the positions of the
     dropped keys in the document's list of distinct keys."""
@@ -144,7 +155,16 @@ def dropped_keys(docs: DataFrame, text_col: str, id_col: str, min_docs: int, lea
     n_shards = max(LEAST_SHARDS, -(-size["keys"] // SHARD_KEYS), -(-pairs // SHARD_PROBES))
     # each holds over 1/HEAVY_KEYS of the total, so there are fewer than HEAVY_KEYS of them
     heavy = counts.filter(F.col("n") > F.lit(size["total"]) / HEAVY_KEYS)
-    index = build_index(counts.filter(F.col("n") <= F.lit(size["total"]) / HEAVY_KEYS), n_shards)
+    light = counts.filter(F.col("n") <= F.lit(size["total"]) / HEAVY_KEYS)
+    copies = shard_copies(light, n_shards)
+
+    def with_copies(df: DataFrame) -> DataFrame:
+        """``df`` with the ``copies`` of its shard; the table has at most SLOTS rows."""
+        joined = df.withColumn("slot", F.pmod("shard", F.lit(SLOTS))).join(F.broadcast(copies), "slot", "left")
+        return joined.withColumn("copies", F.coalesce("copies", F.lit(1).cast("long")))
+
+    index = with_copies(build_index(light, n_shards)).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    index = index.select("shard", "copy", "sizes", "bits", "prints", "counts")
 
     probes = (docs.select(*doc_key(docs[id_col], docs[text_col]),
                           F.posexplode(hashed(line_keys(docs[text_col]), least_chars)).alias("k", "h"))
@@ -154,6 +174,8 @@ def dropped_keys(docs: DataFrame, text_col: str, id_col: str, min_docs: int, lea
               .filter(f"n IS NULL OR n >= {min_docs}")
               .withColumn("shard", F.when(F.col("n").isNull(), F.pmod("h1", F.lit(n_shards))).otherwise(spread))
               .drop("n"))
+    probes = with_copies(probes).withColumn("copy", F.when(F.col("shard") < 0, 0).otherwise(F.pmod(F.xxhash64("k_text", "k_id"), F.col("copies"))).cast("long"))
+    probes = probes.select("k_id", "k_text", "k", "h1", "h2", "shard", "copy")
 
     def probe(lines: pa.Table, shard: pa.Table) -> pa.Table:
         out = lines.select(["k_id", "k_text", "k"])
@@ -165,7 +187,7 @@ def dropped_keys(docs: DataFrame, text_col: str, id_col: str, min_docs: int, lea
         h1, h2 = (lines.column(c).to_numpy().view(np.uint64) for c in ("h1", "h2"))
         return out.filter(pa.array(table.lookup(h1, h2) >= min_docs))
 
-    hits = probes.groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(probe, "k_id long, k_text long, k int")
+    hits = probes.groupBy("shard", "copy").cogroup(index.groupBy("shard", "copy")).applyInArrow(probe, "k_id long, k_text long, k int")
     return hits.groupBy("k_id", "k_text").agg(F.collect_set("k").alias("dropped"))
 
 
@@ -208,6 +230,7 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     """
     if min_docs < 2:
         raise ValueError("min_docs must be 2 or more")
+    docs = docs.drop("line_n_lines", "line_n_dropped")
     src = docs.withColumn(text_col, F.coalesce(docs[text_col].cast("string"), F.lit("")))
     hits = dropped_keys(src, text_col, id_col, min_docs, least_chars)
     rows = src.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *doc_key(src[id_col], src[text_col]))

@@ -160,10 +160,11 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, source_col: st
     ``weights`` the targets are source sizes to the power ALPHA; a source that
     ``weights`` leaves out gets the smallest given weight. Targets are exact, or with a
     ``period`` whole slots of it (see ``slot_shares``). A null source is a source of its own; null ids and
-    texts and repeated rows each keep a place; no row is dropped or repeated.
+    texts and repeated rows each keep a place; no row is dropped or repeated. Columns of
+    ``docs`` named like the three new ones give way to them.
     """
     spark = docs.sparkSession
-    keep = list(docs.columns if keep is None else keep)
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("mix_block", "mix_slot", "mix_offset")]
     rows = docs.select(F.struct(*[docs[c].alias(c) for c in keep]).alias("row"),
                        F.coalesce(F.concat(F.lit("="), docs[source_col].cast("string")), F.lit("")).alias("mix_key"),
                        F.xxhash64(F.lit(seed), docs[id_col], docs[text_col]).alias("mix_hash"))

@@ -57,3 +57,23 @@ def test_empty_table_and_columns(spark):
     out = L.dedup_lines(docs)
     assert out.columns == ["doc_id", "text", "h1", "shard", "line_n_lines", "line_n_dropped"] and out.count() == 0
     assert hashlib.sha256(b"").hexdigest()
+
+
+def test_a_line_in_half_of_all_documents_below_the_heavy_limit(spark, monkeypatch):
+    """Its shard is met in copies; so are crowded shards of many keys."""
+    monkeypatch.setattr(L, "HEAVY_KEYS", 1)     # nothing is heavy
+    monkeypatch.setattr(L, "SHARD_PROBES", 20)
+    monkeypatch.setattr(L, "LEAST_SHARDS", 4)
+    rows = [(i, f"own {i}\n" + ("half\n" if i % 2 else "") + f"third {i % 3}\nrare {i // 5}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.line_n_lines, r.line_n_dropped, r.text) for r in L.dedup_lines(docs).collect()]
+    assert sorted(got, key=repr) == brute(rows)
+    counts, pairs = L.count_lines(docs, "text", 1)
+    copies = {r.slot: r.copies for r in L.shard_copies(counts, -(-pairs // 20)).collect()}
+    assert max(copies.values()) == 8  # 150 documents hold the line
+
+
+def test_columns_named_like_the_new_ones_give_way(spark):
+    docs = spark.createDataFrame([(1, "a\nb", "x", "y")], "doc_id long, text string, line_n_lines string, line_n_dropped string")
+    out = L.dedup_lines(docs)
+    assert out.columns == ["doc_id", "text", "line_n_lines", "line_n_dropped"] and tuple(out.first()) == (1, "a\nb", 2, 0)

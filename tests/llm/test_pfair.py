@@ -92,3 +92,9 @@ def test_whole_slots_are_apportioned_by_weight():
     assert P.slot_shares({"a": 3, "b": 1}, 8) == {"a": 6, "b": 2}
     assert P.slot_shares({str(i): 1 if i else 99.5 for i in range(200)}, 1000)["0"] in (333, 334)
     assert P.slot_shares({"a": 1, "b": 1e-9}, 10) == {"a": 9, "b": 1}
+
+
+def test_columns_named_like_the_new_ones_give_way(spark):
+    docs = spark.createDataFrame([(i, f"t{i}", "ab"[i % 2], "x", "y") for i in range(40)], "doc_id long, text string, source string, mix_slot string, mix_offset string")
+    out = P.in_mix_order(P.mix(docs, block_docs=4))
+    assert out.columns == ["doc_id", "text", "source", "mix_block", "mix_slot", "mix_offset"] and out.count() == 40
