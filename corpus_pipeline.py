@@ -8,6 +8,7 @@ but the last return the columns of ``documents``.
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from postmill.llm import bpe, dartminhash, linededup, pfair, quality
@@ -59,10 +60,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pfair.in_mix_order(pfair.mix(docs.select(*COLUMNS))).select(*COLUMNS)
 
 
-def written_place(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``docs``, read from written files, with ``file`` and ``file_row``; and (file, file_before),
-    the number of rows in the files written before each."""
-    docs = docs.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("file_row"))
+def written_place(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The columns of ``documents`` and ``mix_position``, the row's place in the order that its
+    files were written in; null where ``docs`` was not read from files."""
+    try:
+        docs = docs.select(*COLUMNS, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("file_row"))
+    except AnalysisException:  # rows made in memory have no written order
+        return docs.select(*COLUMNS, F.lit(None).cast("long").alias("mix_position"))
     scratch = Scratch(spark)
     counts = docs.groupBy("file").agg(F.count("*").alias("n"))
     # one row a file, so neither the window nor the table grows with the rows
@@ -70,17 +74,16 @@ def written_place(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, Data
     before = F.coalesce(F.sum("n").over(Window.orderBy(part, "file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     files = scratch.table(counts.select("file", before.alias("file_before")))
     scratch.clear(files)
-    return docs, files
+    # the planner knows the written size, a row a file
+    return docs.join(files, "file").select(*COLUMNS, (F.col("file_before") + F.col("file_row")).alias("mix_position"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, their number, a digest of the text they decode to, and
-    ``mix_position``, the document's place (from 0) in the order that the mix stage wrote."""
+    ``mix_position``, the document's place (from 0) in the order that the mix stage wrote.
+    Null and empty texts have no ids; columns beside those of ``documents`` are left out."""
     let_workers_import(spark)
-    placed, files = written_place(spark, docs)
-    placed = placed.join(files, "file")  # the planner knows the written size, a row a file
-    placed = placed.withColumn("mix_position", F.col("file_before") + F.col("file_row"))
-    out = bpe.encode_decode(placed, public_tokenizers.path("word_bpe_49k.json"), keep=("doc_id", "lang", "source", "mix_position"))
+    out = bpe.encode_decode(written_place(spark, docs), public_tokenizers.path("word_bpe_49k.json"), keep=("doc_id", "lang", "source", "mix_position"))
     return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
                       F.sha2("decoded", 256).alias("decoded_sha256"), "mix_position")
 
