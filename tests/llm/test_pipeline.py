@@ -3,6 +3,7 @@
 import hashlib
 
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline as P
@@ -87,3 +88,28 @@ def test_clean_text_stays_when_its_id_has_a_copy_too(spark):
     a, b = "one text of seven words or so", "quite another text that has no copy at all"
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in [(0, a), (1, a), (1, b), (1, b)]], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted((r.doc_id, r.text) for r in P.drop_near_duplicates(spark, docs, SF_SMALL).collect()) == [(0, a), (1, b)]
+
+
+ODD = [(1, "some words here", "en", "a", 15), (2, None, None, None, None), (None, "", "en", "a", 0), (3, "<|endoftext|> é日🙂", "fr", "b", 1),
+       (4, "long text " * 60_000, "en", "a", 600_000), (4, "long text " * 60_000, "en", "a", 600_000)]
+
+
+def test_encode_of_rows_in_memory_with_clashing_names(spark):
+    lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    docs = spark.createDataFrame([(*r, "f", 1, 2, 3) for r in ODD],
+                                 "doc_id long, text string, lang string, source string, n_chars long, file string, file_row long, file_before long, mix_position int")
+    got = P.encode(spark, docs, SF_SMALL).collect()
+    want = sorted((r[0] or 0, lib.encode(r[1] or "", add_special_tokens=False).ids) for r in ODD)
+    assert sorted((r.doc_id or 0, r.ids) for r in got) == want
+    assert {r.mix_position for r in got} == {None} and all(r.n_tokens == len(r.ids) for r in got)
+    assert P.encode(spark, docs.limit(0), SF_SMALL).count() == 0
+
+
+@pytest.mark.parametrize("name,stage", P.STAGES[:4])
+def test_stages_take_odd_rows_extra_columns_and_empty_tables(spark, name, stage):
+    docs = spark.createDataFrame([(*r, "x", 1) for r in ODD], "doc_id long, text string, lang string, source string, n_chars long, kept string, mix_slot long")
+    out = stage(spark, docs, SF_SMALL)
+    assert out.columns == list(P.COLUMNS)
+    rows = out.collect()
+    assert any(r.doc_id == 1 and r.text == "some words here" for r in rows) or name == "quality_classifier"
+    assert stage(spark, docs.limit(0), SF_SMALL).collect() == []
