@@ -9,15 +9,16 @@ similarity, and a document of any weight needs about K log K darts, not K a shin
 
 Samples are joined in bands. Exact copies, documents of one weighted set, are first
 folded into one numbered node each, so an id that comes again with another text is
-another document. Nodes
-that share band buckets, directly or through others, form a family, found from one link
-a node and bucket. A family is cut into blocks by a hash, bounded in nodes and bytes. Pairs
-of blocks that have a bucket in common are made from the blocks' numbers and dealt out by
-them, and only then joined with the blocks. A pair of blocks is one row, whose exact
-similarities come from one matrix product, and which gives back links that span what it
-found, at most one less than its nodes. One rule holds at every size: two nodes are linked
-if they share a bucket and are similar enough. So no pair is a row, no group is in one
-task, and no pair of nodes that share a bucket goes unchecked.
+another document. Two nodes are linked if they share a band's bucket and are similar
+enough; that rule holds at every size. Nodes that share buckets, directly or through
+others, form a family, found from one link a node and bucket. A family of one block's size
+is verified at once, by one matrix product. In a larger family every node is first compared
+with the hubs of its buckets, which joins a group of near copies by as many links as it has
+nodes. Only pairs of nodes that are still apart remain: groups and loose nodes are cut into
+blocks by a hash, bounded in nodes and bytes, pairs of blocks that have a bucket in common
+are made from the blocks' numbers, and then joined with the blocks. A pair of blocks is one
+row, which gives back links that span what it found. So no pair of nodes is a row, no group
+is in one task, and no pair that shares a bucket goes unchecked unless it is linked already.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 5   # a pair at 0.8 shares no band with probability (1 - 0.8^5)^20 = 0.0004
 CACHE = 300_000
-BLOCK = 64            # nodes of a block, on average
+BLOCK = 256           # nodes of a block, on average
 BLOCK_ITEMS = 1 << 19 # and 64-bit items of their sets
 COLUMNS = 8192        # of the matrices multiplied at once
 GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -268,6 +269,55 @@ def block_links(pairs: DataFrame, least: float) -> DataFrame:
     return pairs.select("x", "y").mapInArrow(run, "a long, b long")
 
 
+def pair_links(pairs: DataFrame, least: float) -> DataFrame:
+    """(a, b) of the rows (a, b, x, y) whose sets x and y are ``least`` similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(common >= least * (len(x) + len(y) - common))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def cut(nodes: DataFrame, group: list[str]) -> DataFrame:
+    """``nodes`` (node, size, group...) with ``of``, the blocks of their group, and ``block``."""
+    sizes = nodes.groupBy(*group).agg(F.count("*").alias("m"), F.sum("size").alias("items"))
+    sizes = sizes.select(*group, F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("items") / BLOCK_ITEMS)).alias("of"))
+    return nodes.join(sizes, group).withColumn("block", F.pmod(F.xxhash64("node"), F.col("of")))
+
+
+def large_links(big: DataFrame, sets: DataFrame, members: DataFrame, links: DataFrame, least: float, scratch: Scratch) -> list[DataFrame]:
+    """Links among the nodes ``big`` (node, family, size) of families of several blocks."""
+    ours = sets.join(big.select("node"), "node", "left_semi").select("node", "bands", "items")
+    x, y = (ours.select(F.col("node").alias(n), F.col("items").alias(s)) for n, s in (("a", "x"), ("b", "y")))
+    star = scratch.table(pair_links(links.join(x, "a").join(y, "b"), least))
+    joined = components(star, scratch)
+    group = scratch.table(big.join(joined, "node", "left").select("node", "family", "size", F.coalesce("label", "node").alias("group")))
+    ours_in = members.select("key", "node").join(group.select("node", "group"), "node")
+    mixed = ours_in.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low != high").select("key")
+    left = scratch.table(ours_in.join(mixed, "key"))
+    if left.isEmpty():
+        return [star]
+    apart = group.join(left.select("node").distinct(), "node")
+    # nodes of a large group are apart from others only; those of small groups are loose and compared in their family
+    many = apart.groupBy("group").agg(F.count("*").alias("m")).filter(F.col("m") >= BLOCK).select("group", F.lit(1).alias("tight"))
+    apart = apart.join(many, "group", "left").select("node", "size", F.coalesce("tight", F.lit(0)).alias("kind"), F.when(F.col("tight") == 1, F.col("group")).otherwise(F.col("family")).alias("of_group"))
+    blocks = scratch.table(cut(apart, ["kind", "of_group"]).select("node", F.struct("kind", "of_group", "block").alias("at")))
+    packed = scratch.table(blocks.join(ours, "node").groupBy("at").agg(F.collect_list(F.struct("node", "bands", "items")).alias("x")))
+    # pairs of blocks by their numbers: those of a bucket that reaches into both
+    touched = scratch.table(left.select("key", "node").join(blocks, "node").select("key", "at").distinct())
+    pairs = touched.join(touched.select("key", F.col("at").alias("with")), "key").filter("at < with")
+    pairs = pairs.filter("NOT (at.kind = 1 AND with.kind = 1 AND at.of_group = with.of_group)").select("at", "with").distinct()
+    alone = packed.filter("at.kind = 0").select("x", F.lit(None).cast(NODES).alias("y"))
+    met = pairs.join(packed, "at").join(packed.select(F.col("at").alias("with"), F.col("x").alias("y")), "with").select("x", "y")
+    return [star, scratch.table(block_links(alone.union(met), least))]
+
+
 def near_links(nodes: DataFrame, docs: DataFrame, text_col: str, id_col: str, least: float, scratch: Scratch) -> DataFrame | None:
     """(node, label) of nodes that have a near copy among the distinct texts. ``nodes``: node, uid, k_text, size, bands."""
     keys = nodes.select("node", F.explode("bands").alias("key"))
@@ -277,21 +327,18 @@ def near_links(nodes: DataFrame, docs: DataFrame, text_col: str, id_col: str, le
         return None
     links = scratch.table(members.filter("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
     families = components(links, scratch).withColumnRenamed("label", "family").join(nodes.select("node", "size"), "node")
-    sizes = families.groupBy("family").agg(F.count("*").alias("m"), F.sum("size").alias("items"))
-    sizes = sizes.select("family", F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("items") / BLOCK_ITEMS)).alias("of"))
-    blocks = scratch.table(families.join(sizes, "family").select("node", "family", "of", F.pmod(F.xxhash64("node"), F.col("of")).alias("block")))
-    sets = packed_sets(docs, nodes.select("node", "uid", "k_text").join(blocks.select("node"), "node"), text_col, id_col)
-    held = blocks.join(sets, "node").join(nodes.select("node", "bands"), "node")
-    packed = scratch.table(held.groupBy("family", "of", "block").agg(F.collect_list(F.struct("node", "bands", "items")).alias("x")))
-    # pairs of blocks by their numbers: those of a bucket that reaches into both
-    touched = scratch.table(members.join(blocks.filter("of > 1"), "node").select("key", "family", "block").distinct())
-    pairs = touched.join(touched.select("key", F.col("block").alias("with")), "key").filter("block < with").select("family", "block", "with").distinct()
-    alone = packed.select("x", F.lit(None).cast(NODES).alias("y"))
-    split = packed.filter("of > 1").select("family", "block", "x")
-    later = split.select("family", F.col("block").alias("with"), F.col("x").alias("y"))
-    apart = pairs.join(split, ["family", "block"]).join(later, ["family", "with"]).select("x", "y")
-    found = scratch.table(block_links(alone.union(apart), least))
-    return components(found, scratch)
+    placed = scratch.table(cut(families, ["family"]).select("node", "family", "size", "of"))
+    found = packed_sets(docs, nodes.select("node", "uid", "k_text").join(placed.select("node"), "node"), text_col, id_col)
+    sets = scratch.table(placed.join(found, "node").join(nodes.select("node", "bands"), "node").select("node", "family", "of", "bands", "items"))
+    whole = sets.filter("of = 1").groupBy("family").agg(F.collect_list(F.struct("node", "bands", "items")).alias("x"))
+    found = [scratch.table(block_links(whole.select("x", F.lit(None).cast(NODES).alias("y")), least))]
+    big = placed.filter("of > 1").select("node", "family", "size")
+    if not big.isEmpty():
+        found += large_links(big, sets, members, links, least, scratch)
+    every = found[0]
+    for more in found[1:]:
+        every = every.union(more)
+    return components(every, scratch)
 
 
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", least: float = SIMILARITY) -> DataFrame:
