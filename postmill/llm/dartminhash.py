@@ -296,7 +296,8 @@ def large_links(big: DataFrame, sets: DataFrame, members: DataFrame, links: Data
     ours = sets.join(big.select("node"), "node", "left_semi").select("node", "bands", "items")
     x, y = (ours.select(F.col("node").alias(n), F.col("items").alias(s)) for n, s in (("a", "x"), ("b", "y")))
     star = scratch.table(pair_links(links.join(x, "a").join(y, "b"), least))
-    joined = components(star, scratch)
+    # nodes linked to the same hub are together; the least one is near enough to their component
+    joined = star.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label"))
     group = scratch.table(big.join(joined, "node", "left").select("node", "family", "size", F.coalesce("label", "node").alias("group")))
     ours_in = members.select("key", "node").join(group.select("node", "group"), "node")
     mixed = ours_in.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low != high").select("key")
