@@ -229,9 +229,9 @@ def ask_own(blocks: DataFrame, proj: Projection, k: int, every: int, confidence:
 
 
 def grouped(asked: DataFrame, count: int) -> DataFrame:
-    """Groups of queries of one cell or neighbouring ones, a row a group."""
-    n = max(1, -(-count // (4 * QUERIES)))
-    placed = asked.select("query_id", "vec", "own", "floor").repartitionByRange(n, "own", "query_id").sortWithinPartitions("own", "query_id")
+    """Groups of queries of one cell or neighbouring ones, a row a group. Partitions follow the
+    cells, so they are joined as they are, into full groups as far as possible."""
+    placed = asked.select("query_id", "vec", "own", "floor").coalesce(max(1, count // (4 * QUERIES))).sortWithinPartitions("own", "query_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
